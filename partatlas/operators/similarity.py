@@ -381,7 +381,7 @@ def similarity_lookup(items: DataFrame, requested: DataFrame) -> DataFrame:
     )
 
 
-def _sku_nodes(index: ItemIndex, pairs: DataFrame, *extra) -> DataFrame:
+def catalog_edges(index: ItemIndex, pairs: DataFrame, *extra) -> DataFrame:
     """Edges between distinct catalogue numbers, named by the id of each."""
     ids = index.skus.select("id", "sku")
     return (
@@ -426,7 +426,7 @@ def threshold_sweep(index: ItemIndex, thresholds: list[float], profile: DataFram
     )
     at_level = pairs.withColumn("_r", reached).withColumn("level", F.col("_r.level"))
     counts = at_level.groupBy("level").agg(F.sum("row_pairs").alias("pairs"))
-    components = component_sizes(index, _sku_nodes(index, at_level, "level"), len(thresholds))
+    components = component_sizes(index, catalog_edges(index, at_level, "level"), len(thresholds))
     n = index.n_rows
     # sum over ordered row pairs: n_i · (all rows' ratios) plus every row with the rows of its own number
     sku_mean = profile.agg(

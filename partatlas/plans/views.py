@@ -54,3 +54,28 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("string").alias("main_category"),
         (F.col("vec_id") % 7).cast("string").alias("sub_category"),
     )
+
+
+def items_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned parts with predictions and confidences derived from their keys and sizes."""
+    from partatlas.operators.cleaning import clean_items
+
+    key = F.col("row_id")
+    guess = (
+        F.when(key % 11 == 0, F.lit("Unknown")).when(key % 5 == 1, F.lit("SMALL")).otherwise(F.col("main_category"))
+    )
+    return clean_items(items_raw(spark, sf_dir), BRAND_NAMES).withColumns(
+        {
+            "predicted_main_category": guess,
+            "main_category_confidence": (key * 7 % 100) / 100.0,
+            "predicted_sub_category": F.when(key % 13 == 0, F.lit("Unknown")).otherwise(F.col("sub_category")),
+            "sub_category_confidence": (key * 3 % 100) / 100.0,
+            "categorization_reason": F.lit("ML prediction"),
+        }
+    )
+
+
+def items_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with their label as cluster; label 9 counts as noise."""
+    label = F.col("main_category").cast("int")
+    return item_vectors(spark, sf_dir).withColumn("cluster", F.when(label == 9, F.lit(-1)).otherwise(label))
