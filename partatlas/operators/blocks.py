@@ -30,7 +30,7 @@ def chunked(members: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
         sized.withColumn("n_chunks", n_chunks)
         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")).cast("int"))
         .groupBy("group_id", "n_chunks", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("members"))
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("members"))
     )
 
 

@@ -30,14 +30,16 @@ class VectorIndex:
 
     def __init__(self, vectors: DataFrame):
         self.vectors = vectors.select(S.ROW, F.col("features").cast("array<double>").alias("features"))
+        norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x * x)) + NORM_GUARD
+        # the norm is written with the points; inlined it would be evaluated once per entry
         self.points = stage(
-            self.vectors.groupBy("features").agg(F.min(S.ROW).alias("id"), F.count(F.lit(1)).alias("n"))
+            self.vectors.groupBy("features")
+            .agg(F.min(S.ROW).alias("id"), F.count(F.lit(1)).alias("n"))
+            .withColumn("norm", norm)
         )
 
     def normalised(self) -> DataFrame:
-        norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x * x)) + NORM_GUARD
-        unit = self.points.withColumn("norm", norm)
-        return unit.select("id", "n", F.transform("features", lambda x: x / F.col("norm")).alias("unit"))
+        return self.points.select("id", "n", F.transform("features", lambda x: x / F.col("norm")).alias("unit"))
 
     def spread_to_rows(self, labels: DataFrame) -> DataFrame:
         """Labels (id, cluster) of distinct vectors given to every row with that vector."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from partatlas import schema as S
 from partatlas.functions.text import tokens
 from partatlas.operators import sku_pairs, tfidf
+from partatlas.operators.best_text import best_partners
 from partatlas.operators.blocks import one_group
 from partatlas.operators.graph import connected_components
 from partatlas.operators.index import ItemIndex
@@ -229,16 +230,16 @@ def best_sku_match(profile: DataFrame) -> DataFrame:
     return profile.select(S.CATALOG, "highest_sku_similarity", "most_similar_sku")
 
 
-BEST_TIERS = (0.9, 0.7, 0.5, 0.3, 0.1, 0.0)
+BEST_TIERS = (0.9, 0.7)
 
 
 def best_description_match(index: ItemIndex, tiers: tuple = BEST_TIERS) -> DataFrame:
     """Most similar other catalogue number by description, and its cosine.
 
     One item per catalogue number (its last row) takes part. Texts look for
-    partners at a high cosine first; only texts that find none go on to the next
-    tier, down to any common term. What is left has cosine 0 with everything,
-    and its best match is the first other catalogue number.
+    partners at a high cosine first, where the prefix join prunes; texts that
+    find none are compared with all others. What is left has cosine 0 with
+    everything, and its best match is the first other catalogue number.
     """
     skus = index.last_rows
     # the two first catalogue numbers of every text, so that each can be excluded once
@@ -262,6 +263,8 @@ def best_description_match(index: ItemIndex, tiers: tuple = BEST_TIERS) -> DataF
         pending = stage(pending.join(done, "text_id", "left_anti"))
         if pending.isEmpty():
             break
+    else:
+        matches = matches.unionByName(stage(best_partners(vectors, pending, heads)))
     best = matches.groupBy("text_id").agg(F.max(F.struct("top", (-F.col("top_id")).alias("neg_id"))).alias("b"))
     facts = heads.join(best, "text_id", "left").select(
         "text_id", "n_skus", "first_id", "second_id", "b.top", (-F.col("b.neg_id")).alias("top_id")

@@ -15,6 +15,8 @@ from partatlas.operators.skew import attach_by_key, self_join_by_key
 from partatlas.staging import stage
 
 SLACK = 1e-8
+CELL_PAIRS = 5000
+SLICE = 1 << 21
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -55,11 +57,12 @@ def idf(df, n_rows: int):
 
 def unit_vectors(weighted: DataFrame) -> DataFrame:
     """(text_id, n_rows, terms, weights) of (text_id, n_rows, term_id, weight), length 1."""
-    entries = F.array_sort(F.collect_list(F.struct("term_id", "weight")))
+    entries = F.sort_array(F.collect_list(F.struct("term_id", "weight")))
+    # the norm is an aggregate of its own: as a projection it would be evaluated once per entry
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
     return (
         weighted.groupBy("text_id", "n_rows")
-        .agg(entries.alias("e"))
-        .withColumn("norm", F.sqrt(F.aggregate("e.weight", F.lit(0.0), lambda acc, w: acc + w * w)))
+        .agg(entries.alias("e"), norm.alias("norm"))
         .select(
             "text_id",
             "n_rows",
@@ -108,28 +111,40 @@ def _prefixes(tau):
     return run
 
 
-def _dots(batches):
-    """Arrow function: dot products of the two sparse vectors of every row."""
-    for batch in batches:
-        n = batch.num_rows
-        sides = []
-        for side in ("i", "j"):
-            offsets, terms = _list_parts(batch.column(f"terms_{side}"))
-            weights = _list_parts(batch.column(f"weights_{side}"))[1].to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(n), np.diff(offsets))
-            sides.append((owner, terms.to_numpy(zero_copy_only=False), weights))
-        (owner_i, terms_i, weights_i), (owner_j, terms_j, weights_j) = sides
-        known, dense = np.unique(np.concatenate([terms_i, terms_j]), return_inverse=True)
-        # within one row the terms ascend, so these keys ascend over the batch
-        keys_i = owner_i * len(known) + dense[: len(terms_i)]
-        keys_j = owner_j * len(known) + dense[len(terms_i) :]
-        at = np.minimum(np.searchsorted(keys_j, keys_i), max(len(keys_j) - 1, 0))
-        hit = np.flatnonzero(keys_j[at] == keys_i) if len(keys_j) else np.array([], dtype=np.int64)
-        dots = np.bincount(owner_i[hit], weights=weights_i[hit] * weights_j[at[hit]], minlength=n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("text_i"), batch.column("text_j"), pa.array(np.round(dots, S.DIGITS))],
-            names=["text_i", "text_j", "desc_sim"],
-        )
+def _dots(key, candidates, vectors):
+    """Dot products of the candidate pairs of one cell, from the vectors they need."""
+    ids = vectors.column("text_id").to_numpy()
+    offsets, terms = _list_parts(vectors.column("terms").combine_chunks())
+    weights = _list_parts(vectors.column("weights").combine_chunks())[1].to_numpy(zero_copy_only=False)
+    known, dense = np.unique(terms.to_numpy(zero_copy_only=False), return_inverse=True)
+    # terms ascend within a vector, so these keys ascend over all vectors of the cell
+    order = np.argsort(ids)
+    owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+    keys = owner * len(known) + dense
+    text_i, text_j = (candidates.column(c).to_numpy() for c in ("text_i", "text_j"))
+    at_i, at_j = (order[np.searchsorted(ids, t, sorter=order)] for t in (text_i, text_j))
+    # look the terms of the shorter vector up in the longer one
+    sizes = np.diff(offsets)
+    short = np.where(sizes[at_i] <= sizes[at_j], at_i, at_j)
+    long = at_i + at_j - short
+    dots = np.zeros(len(short))
+    ends = np.cumsum(sizes[short])
+    begin = 0
+    while begin < len(short):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+        counts = sizes[short[begin:end]]
+        pair = np.repeat(np.arange(begin, end), counts)
+        entry = np.arange(len(pair)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[short[pair]]
+        wanted = long[pair] * len(known) + dense[entry]
+        found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = np.flatnonzero(keys[found] == wanted)
+        products = weights[entry[hit]] * weights[found[hit]]
+        dots[begin:end] = np.bincount(pair[hit] - begin, weights=products, minlength=end - begin)
+        begin = end
+    return pa.table(
+        {"text_i": candidates.column("text_i"), "text_j": candidates.column("text_j"), "desc_sim": np.round(dots, S.DIGITS)}
+    )
 
 
 def prefix_postings(vectors: DataFrame, tau: float) -> DataFrame:
@@ -147,19 +162,25 @@ def _candidate_bound(tau):
 
 
 def verified(candidates: DataFrame, vectors: DataFrame, tau: float) -> DataFrame:
-    """Exact cosines of candidate (text_i, text_j), kept from tau up."""
-    left = vectors.select(
-        F.col("text_id").alias("text_i"), F.col("terms").alias("terms_i"), F.col("weights").alias("weights_i")
-    )
-    right = vectors.select(
-        F.col("text_id").alias("text_j"), F.col("terms").alias("terms_j"), F.col("weights").alias("weights_j")
-    )
-    return (
-        candidates.join(left, "text_i")
-        .join(right, "text_j")
-        .select("text_i", "text_j", "terms_i", "weights_i", "terms_j", "weights_j")
-        .mapInArrow(_dots, "text_i bigint, text_j bigint, desc_sim double")
-        .where((F.col("desc_sim") >= tau) & (F.col("desc_sim") > 0))
+    """Exact cosines of distinct candidates (text_i, text_j), kept from tau up.
+
+    Texts are hashed into so many parts that a cell of two parts holds about
+    CELL_PAIRS candidates. A cell is sent every vector it needs once, not once
+    per candidate.
+    """
+    pairs = stage(candidates)
+    parts = max(1, int(np.sqrt(pairs.count() / CELL_PAIRS)))
+
+    def part(column):
+        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+    placed = pairs.withColumns({"part_i": part("text_i"), "part_j": part("text_j")})
+    cell = [F.col("part_i").alias("cell_i"), F.col("part_j").alias("cell_j")]
+    sides = [placed.select(*cell, F.col(f"text_{side}").alias("text_id")) for side in ("i", "j")]
+    needed = sides[0].unionByName(sides[1]).distinct().join(vectors.select("text_id", "terms", "weights"), "text_id")
+    cells = placed.groupBy("part_i", "part_j").cogroup(needed.groupBy("cell_i", "cell_j"))
+    return cells.applyInArrow(_dots, "text_i bigint, text_j bigint, desc_sim double").where(
+        (F.col("desc_sim") >= tau) & (F.col("desc_sim") > 0)
     )
 
 
