@@ -17,7 +17,7 @@ CELLS_PER_TASK = 64
 MAX_TASKS = 50_000
 
 
-def chunked(members: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
+def chunked(members: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Staged (group_id, n_chunks, chunk, members) of (group_id, id, further fields).
 
     Chunks are picked by the hash of `id`; each lists its members by ascending id.
@@ -25,7 +25,7 @@ def chunked(members: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
     fields = ["id", *[c for c in members.columns if c not in ("group_id", "id")]]
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_members"))
     sized = attach_by_key(members, sizes, "group_id", "n_members", members.count(), ["id"])
-    n_chunks = F.ceil(F.col("n_members") / F.lit(chunk_rows)).cast("int")
+    n_chunks = F.ceil(F.col("n_members") / F.lit(chunk_rows or CHUNK)).cast("int")
     return stage(
         sized.withColumn("n_chunks", n_chunks)
         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")).cast("int"))

@@ -9,12 +9,16 @@ HOT_SHARES = 1000
 HOT_MIN_ROWS = 10_000
 
 
-def _pieces(rows_of_key: Column, total: int, min_rows: int) -> Column:
-    limit = max(total // HOT_SHARES, min_rows, 1)
-    return F.ceil(rows_of_key / F.lit(limit)).cast("int")
+def _limit(total: int, min_rows: int | None) -> int:
+    """Rows of one key that a single task may take."""
+    return max(total // HOT_SHARES, HOT_MIN_ROWS if min_rows is None else min_rows, 1)
 
 
-def hot_keys(counts: DataFrame, key: str, rows_of_key: str, total: int, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def _pieces(rows_of_key: Column, total: int, min_rows: int | None) -> Column:
+    return F.ceil(rows_of_key / F.lit(_limit(total, min_rows))).cast("int")
+
+
+def hot_keys(counts: DataFrame, key: str, rows_of_key: str, total: int, min_rows: int | None = None) -> DataFrame:
     """Keys to cut and the number of pieces of each, broadcast: at most HOT_SHARES rows."""
     pieces = _pieces(F.col(rows_of_key), total, min_rows)
     return F.broadcast(counts.where(pieces > 1).select(key, pieces.alias("_pieces")))
@@ -28,7 +32,7 @@ def attach_by_key(
     total: int,
     spread: list[str],
     how: str = "inner",
-    min_rows: int = HOT_MIN_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Join many `rows` per key with one row of `facts` per key.
 
@@ -36,7 +40,7 @@ def attach_by_key(
     `total` are cut into pieces by the hash of `spread`, and their fact row is
     repeated once per piece (at most 2000 repeats altogether).
     """
-    if total <= max(total // HOT_SHARES, min_rows):
+    if total <= _limit(total, min_rows):
         return rows.join(facts, key, how)  # too few rows for any key to be hot
     piece = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int")
@@ -52,7 +56,7 @@ def attach_by_key(
 
 
 def self_join_by_key(
-    rows: DataFrame, key: str, identity: str, condition, select: list, min_rows: int = HOT_MIN_ROWS
+    rows: DataFrame, key: str, identity: str, condition, select: list, min_rows: int | None = None
 ) -> DataFrame:
     """Pairs of rows with the same key that meet `condition(left, right)`.
 
@@ -60,7 +64,7 @@ def self_join_by_key(
     right, so that its pairs are found by many tasks.
     """
     total = rows.count()
-    if total <= max(total // HOT_SHARES, min_rows):
+    if total <= _limit(total, min_rows):
         same = F.col(f"l.{key}") == F.col(f"r.{key}")
         return rows.alias("l").join(rows.alias("r"), same & condition).select(*select)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from partatlas import schema as S
 from partatlas.functions.lcs import Strings, lcs_pairs, lcs_table, ratio
-from partatlas.operators.blocks import CHUNK, cells, chunked, members_of, one_group
+from partatlas.operators.blocks import cells, chunked, members_of, one_group
 
 SMALL_CELL = 4096  # cells with fewer pairs are handled many at a time
 SLICE = 1 << 19
@@ -89,7 +89,7 @@ def _matching(keep):
     return run
 
 
-def matching_pairs(group_pairs: DataFrame, members: DataFrame, keep: dict[str, str], chunk_rows: int = CHUNK):
+def matching_pairs(group_pairs: DataFrame, members: DataFrame, keep: dict[str, str], chunk_rows: int | None = None):
     """Member pairs of every (group_i, group_j, floor) whose ratio reaches the floor.
 
     `keep` names further columns of `group_pairs` and their types. Where both
@@ -145,7 +145,7 @@ def _profiling(threshold):
     return run
 
 
-def sku_profile(members: DataFrame, threshold: float, chunk_rows: int = CHUNK) -> DataFrame:
+def sku_profile(members: DataFrame, threshold: float, chunk_rows: int | None = None) -> DataFrame:
     """Every catalogue number against all others: counts, sums, and the best partner.
 
     A mean over all partners has no shortcut for LCS, so the work grows with the
