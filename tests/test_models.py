@@ -63,14 +63,19 @@ def test_saved_model_predicts_the_same(spark, items, model, tmp_path):
     assert before == after
 
 
-def failing(prompts):
-    if any("n3x" in p for p in prompts):
-        raise RuntimeError("no answer")
-    return [p.upper()[-5:] for p in prompts]
+def failing():
+    """A service without an answer to some prompts, made here so that it travels with its code."""
+
+    def complete(prompts):
+        if any("n3x" in p for p in prompts):
+            raise RuntimeError("no answer")
+        return [p.upper()[-5:] for p in prompts]
+
+    return complete
 
 
 def test_failures_stay_with_their_rows(items):
-    enriched, log = completion.enrich_descriptions(items, failing)
+    enriched, log = completion.enrich_descriptions(items, failing())
     got = {r.row_id: r.enriched_description for r in enriched.collect()}
     assert all((got[k] == "Unknown") == (k % 4 == 3) for k in range(60))
     assert {r.error for r in log.where("status = 'failed'").collect()} == {"no answer"}
@@ -91,10 +96,10 @@ def test_equal_prompts_are_asked_once(spark, tiny_limits):
 def test_fallback_routes_only_uncertain_rows(items):
     guessed = categorize.init_predictions(items)
     routed = categorize.route_low_confidence(guessed, trained=False)
-    rows = completion.llm_fallback(routed, failing).collect()
+    rows = completion.llm_fallback(routed, failing()).collect()
     assert all((r.predicted_main_category == "Unknown") == (r.row_id % 4 == 3) for r in rows)
     assert {r.categorization_reason for r in rows if r.completion_failed} == {"GPT failed: no answer"}
     nothing = categorize.route_low_confidence(
         guessed.selectExpr("* except (main_category_confidence, sub_category_confidence, predicted_main_category, predicted_sub_category)",
                            "1.0D as main_category_confidence", "1.0D as sub_category_confidence", "'m' as predicted_main_category", "'s' as predicted_sub_category"))
-    assert completion.llm_fallback(nothing, failing).where("completion_failed").count() == 0
+    assert completion.llm_fallback(nothing, failing()).where("completion_failed").count() == 0
