@@ -112,22 +112,24 @@ def train(
         F.coalesce(F.col(S.MAIN), F.lit(S.UNKNOWN)).alias("main"),
         F.coalesce(F.col(S.SUB), F.lit(S.UNKNOWN)).alias("sub"),
     )
-    frame = stage(features.item_features(index, text).join(categories, S.ROW))
+    # one entry per category pair: as many as the models have outputs
+    pairs = [(r["main"], r["sub"]) for r in categories.select("main", "sub").distinct().collect()]
+    main_labels = sorted({m for m, _ in pairs})
+    labelled = _labelled(categories, "main", main_labels).withColumn("number", F.col("label").cast("int"))
+    # laid out by main category, so that each sub model reads only its own rows
+    frame = stage(features.item_features(index, text).join(labelled, S.ROW), by="number")
     scale = _scaler(frame)
     means = clustering.kmeans(scaled(frame, scale), clusters)
-    pairs = [(r["main"], r["sub"]) for r in frame.select("main", "sub").distinct().collect()]
-    main_labels = sorted({m for m, _ in pairs})
-    main = _forest(trees, depth, seed).fit(_labelled(frame, "main", main_labels))
-    wanted = {m: sorted({s for x, s in pairs if x == m}) for m in main_labels}
-    wanted = {m: labels for m, labels in wanted.items() if len(labels) >= 2}
+    main = _forest(trees, depth, seed).fit(frame)
+    wanted = [(k, m, sorted({s for x, s in pairs if x == m})) for k, m in enumerate(main_labels)]
 
     def fit(entry):
-        name, labels = entry
-        rows = frame.where(F.col("main") == name)
+        number, name, labels = entry
+        rows = frame.where(F.col("number") == number).drop("label")
         return name, (_forest(trees, depth, seed).fit(_labelled(rows, "sub", labels)), labels)
 
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        subs = dict(pool.map(fit, wanted.items()))
+        subs = dict(pool.map(fit, [w for w in wanted if len(w[2]) >= 2]))
     return CategoryModel(text, scale, means, main, main_labels, subs)
 
 
@@ -139,6 +141,7 @@ def _scored(frame: DataFrame, model, labels: list[str], prefix: str) -> DataFram
     """Most probable label and its probability."""
     return (
         model.transform(frame)
+        .withColumn(f"{prefix}_number", F.col("prediction").cast("int"))
         .withColumn(f"predicted_{prefix}_category", _named(F.col("prediction"), labels))
         .withColumn(f"{prefix}_category_confidence", F.array_max(vector_to_array("probability")))
         .drop("rawPrediction", "probability", "prediction")
@@ -150,17 +153,21 @@ def predict_main(frame: DataFrame, model: CategoryModel) -> DataFrame:
 
 
 def predict_sub(frame: DataFrame, model: CategoryModel, threshold: float = S.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Rows with a sure main category go to that category's model; the others stay Unknown at 0."""
-    name, sure = F.col("predicted_main_category"), F.col("main_category_confidence") >= threshold
-    has_model = sure & name.isin(list(model.subs)) if model.subs else F.lit(False)
+    """Rows with a sure main category go to that category's model; the others stay Unknown at 0.
+
+    `frame` comes from `predict_main`; staged by `main_number`, each model reads only its own rows.
+    """
+    number, sure = F.col("main_number"), F.col("main_category_confidence") >= threshold
+    numbers = {model.main_labels.index(name): entry for name, entry in model.subs.items()}
+    has_model = sure & number.isin(list(numbers)) if numbers else F.lit(False)
     parts = [
         frame.where(~has_model).withColumns(
             {"predicted_sub_category": F.lit(S.UNKNOWN), "sub_category_confidence": F.lit(0.0)}
         )
     ]
-    for main, (forest, labels) in model.subs.items():
-        parts.append(_scored(frame.where(sure & (name == main)), forest, labels, "sub"))
-    return reduce(DataFrame.unionByName, parts)
+    for main, (forest, labels) in numbers.items():
+        parts.append(_scored(frame.where((number == main) & sure), forest, labels, "sub").drop("sub_number"))
+    return reduce(DataFrame.unionByName, parts).drop("main_number")
 
 
 def predict_cluster(frame: DataFrame, model: CategoryModel) -> DataFrame:
@@ -171,7 +178,7 @@ def predict(items: DataFrame, model: CategoryModel, threshold: float = S.CONFIDE
     """Items with cluster, predicted categories, confidences, originals and change flags."""
     validate_model_input(items)
     frame = stage(features.item_features(ItemIndex(items), model.text))
-    main = stage(predict_main(frame, model))
+    main = stage(predict_main(frame, model), by="main_number")
     found = predict_sub(main, model, threshold).drop("features")
     clusters = predict_cluster(frame, model)
     return track_changes(items.drop(S.CLUSTER).join(found, S.ROW).join(clusters, S.ROW))

@@ -29,9 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and return a scan of the written table."""
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and return a scan of the written table.
+
+    With `by`, the table is laid out by that (number) column, so that reading
+    one value reads only its files.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
