@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partatlas import schema as S
-from partatlas.operators.blocks import cells, chunked, members_of
+from partatlas.operators.blocks import cells, chunked, members_of, task_count
 from partatlas.operators.skew import self_join_by_key
 from partatlas.staging import stage
 
-DENSE_TERMS = 1024
+DENSE_TERMS = 4096
 
 
 def _split(vectors: DataFrame, dense_ids: list[int]) -> DataFrame:
@@ -103,7 +103,11 @@ def best_partners(vectors: DataFrame, pending: DataFrame, heads: DataFrame) -> D
     pairs = spark.createDataFrame([(0, g) for g in sorted(n_chunks)], "group_i bigint, group_j bigint")
     table = cells(pairs, chunks, ["group_i", "group_j", "chunk_i", "chunk_j"])
     keys = ["group_i", "group_j", "chunk_i", "chunk_j"]
-    joined = table.join(_rare_parts(split, n_chunks), keys, "left")
+    # an explicit number of tasks again: the work of a cell is not in its bytes
+    pending_chunks = n_chunks.get(0, 0)
+    tasks = task_count(spark, pending_chunks * (pending_chunks + 1) // 2 + pending_chunks * n_chunks.get(1, 0))
+    rare = _rare_parts(split, n_chunks).repartition(tasks, *keys)
+    joined = table.repartition(tasks, *keys).join(rare, keys, "left")
     none = F.array().cast("array<struct<text_i:bigint,text_j:bigint,part:double>>")
     found = joined.withColumn("rare", F.coalesce("rare", none)).mapInArrow(
         _cell_best(dense_ids), "id bigint, top double, first bigint"

@@ -34,7 +34,7 @@ def chunked(members: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     )
 
 
-def _task_count(spark, n_cells: int) -> int:
+def task_count(spark, n_cells: int) -> int:
     return min(max(spark.sparkContext.defaultParallelism, n_cells // CELLS_PER_TASK), MAX_TASKS)
 
 
@@ -53,7 +53,7 @@ def cells(group_pairs: DataFrame, chunks: DataFrame, keep: list[str]) -> DataFra
         F.col("chunks_i") * F.col("chunks_j")
     )
     n_cells = pairs.agg(F.coalesce(F.sum(per_pair.cast("double")), F.lit(0.0)).alias("c")).first()["c"]
-    tasks = _task_count(chunks.sparkSession, int(n_cells))
+    tasks = task_count(chunks.sparkSession, int(n_cells))
     left = chunks.select(
         F.col("group_id").alias("group_i"), F.col("chunk").alias("chunk_i"), F.col("members").alias("a")
     )

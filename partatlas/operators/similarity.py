@@ -230,7 +230,7 @@ def best_sku_match(profile: DataFrame) -> DataFrame:
     return profile.select(S.CATALOG, "highest_sku_similarity", "most_similar_sku")
 
 
-BEST_TIERS = (0.9, 0.7)
+BEST_TIERS = (0.9,)
 
 
 def best_description_match(index: ItemIndex, tiers: tuple = BEST_TIERS) -> DataFrame:
