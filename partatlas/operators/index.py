@@ -26,7 +26,7 @@ class ItemIndex:
 
     def __init__(self, items: DataFrame, text_col: str | None = None):
         self.items = items
-        self._chosen = choose_text(items, text_col)
+        self.chosen = choose_text(items, text_col)
 
     @cached_property
     def n_rows(self) -> int:
@@ -35,7 +35,7 @@ class ItemIndex:
     @cached_property
     def texts(self) -> DataFrame:
         """(text_id, n_rows, text, text_key) per distinct text."""
-        grouped = self._chosen.groupBy("text").agg(
+        grouped = self.chosen.groupBy("text").agg(
             F.min(S.ROW).alias("text_id"), F.count(F.lit(1)).alias("n_rows")
         )
         return stage(grouped.withColumn("text_key", _text_key(F.col("text"))))
@@ -43,9 +43,9 @@ class ItemIndex:
     @cached_property
     def rows(self) -> DataFrame:
         """(row_id, catalog_no, text_id) per item row."""
-        keyed = self._chosen.select(S.ROW, S.CATALOG, _text_key(F.col("text")).alias("text_key"))
+        keyed = self.chosen.select(S.ROW, S.CATALOG, _text_key(F.col("text")).alias("text_key"))
         facts = self.texts.select("text_key", "text_id", "n_rows")
-        total = self._chosen.count()
+        total = self.chosen.count()
         return stage(attach_by_key(keyed, facts, "text_key", "n_rows", total, [S.ROW]).drop("text_key", "n_rows"))
 
     @cached_property

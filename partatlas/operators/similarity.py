@@ -28,7 +28,7 @@ def combined_score(sku_sim: Column, desc_sim: Column) -> Column:
 def tokenize(index: ItemIndex) -> DataFrame:
     """(row_id, term, tf) of the chosen text of every row."""
     return (
-        index._chosen.select(S.ROW, F.explode(tokens(F.col("text"))).alias("term"))
+        index.chosen.select(S.ROW, F.explode(tokens(F.col("text"))).alias("term"))
         .groupBy(S.ROW, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -43,7 +43,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     """(matches, rows, spark seconds, sql seconds, first difference)"""
     begin = time.monotonic()
     df = query(spark, sf_dir)
-    got = df.toPandas() if False else df.collect()
+    got = df.collect()
     middle = time.monotonic()
     if sql is None:
         return None, len(got), middle - begin, 0.0, None
