@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from partatlas.llm import decontaminate, lines, mixing
+from partatlas.llm import decontaminate, lines, mixing, ordinal
 
 
 def _table(spark, sf_dir, name):
@@ -23,8 +23,13 @@ def op7_line_dedup(spark, sf_dir):
     )
 
 
+def op8_quality(spark, sf_dir):
+    scored = ordinal.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
 def op10_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}
