@@ -2,13 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from partatlas.llm import decontaminate, lines, mixing, ordinal
+from partatlas.llm import bagminhash, decontaminate, lines, mixing, ordinal
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     weights = mixing.label_weights(_table(spark, sf_dir, "labels"))
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), weights)
@@ -32,4 +36,4 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}

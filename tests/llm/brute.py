@@ -1,0 +1,44 @@
+"""Plain versions of the text operators for small tables."""
+
+from collections import Counter
+
+
+def bag(text, k=5):
+    words = (text or "").encode().split()
+    if len(words) < k:
+        return Counter([tuple(words)] if words else [])
+    return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+
+def weighted_jaccard(a, b):
+    union = sum((a | b).values())
+    return sum((a & b).values()) / union if union else 1.0
+
+
+def components(nodes, links):
+    """Smallest node reachable from every node."""
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return {n: root(n) for n in nodes}
+
+
+def near_duplicates(texts, least=0.8):
+    """{doc_id: class} of {doc_id: text}."""
+    bags = {d: bag(t) for d, t in texts.items()}
+    sizes = {d: sum(b.values()) for d, b in bags.items()}
+    ids = sorted(bags)
+    links = [
+        (a, b)
+        for n, a in enumerate(ids)
+        for b in ids[n + 1 :]
+        if min(sizes[a], sizes[b]) >= least * max(sizes[a], sizes[b]) and weighted_jaccard(bags[a], bags[b]) >= least
+    ]
+    return components(ids, links)
