@@ -1,10 +1,13 @@
 """What several text operators share: words, intermediate tables, hashing in tasks."""
 
+import uuid
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partatlas.staging import stage
+from partatlas.staging import shared_folder, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -13,18 +16,29 @@ SHINGLE = 5
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read back; its shuffle files are freed at once."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of every write are freed when it ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return stage(df)
+        yield
     finally:
         if before is None:
-            conf.unset(_CLEANUP)
+            spark.conf.unset(_CLEANUP)
         else:
-            conf.set(_CLEANUP, before)
+            spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back."""
+    with freed_shuffles(df.sparkSession):
+        return stage(df)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """Path of a new folder in the shared folder of the cluster."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
 def words(text: Column) -> Column:

@@ -170,7 +170,7 @@ def rated_features(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) ->
 
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE):
     """(weights, thresholds) from rated documents; nothing rated gives a model that keeps all."""
-    rows = sorted(rated_features(docs, grades, sample).toLocalIterator(), key=lambda r: (r.doc_id, r.grade, r.features))
+    rows = sorted(rated_features(docs, grades, sample).collect(), key=lambda r: (r.doc_id, r.grade, r.features))
     parts = [np.frombuffer(r.features, dtype="<i4") for r in rows]
     if not rows:
         return np.zeros(DIMENSIONS), np.array([-30.0, -20.0])

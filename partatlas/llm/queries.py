@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from partatlas.llm import bagminhash, decontaminate, lines, mixing, ordinal
+from partatlas.llm import bagminhash, decontaminate, lines, mixing, ordinal, tokens
+from partatlas.llm.common import freed_shuffles, new_folder
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +14,13 @@ def op3_near_duplicates(spark, sf_dir):
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark, sf_dir):
+    path = new_folder(spark, "tokens")
+    with freed_shuffles(spark):
+        tokens.write_token_files(_table(spark, sf_dir, "documents"), path)
+    return tokens.read_token_files(spark, path, with_ids=False)
+
+
 def op5_mixing(spark, sf_dir):
     weights = mixing.label_weights(_table(spark, sf_dir, "labels"))
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), weights)
@@ -36,4 +44,4 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_token_files, op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}
