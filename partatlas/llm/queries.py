@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from partatlas.llm import bagminhash, decontaminate, lines, mixing, ordinal, tokens
+from partatlas.llm import bagminhash, decontaminate, embeddings, lines, mixing, ordinal, tokens
 from partatlas.llm.common import freed_shuffles, new_folder
 
 
@@ -10,6 +10,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_vector_links(spark, sf_dir):
+    return embeddings.vector_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_near_duplicates(spark, sf_dir):
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,4 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_token_files, op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_vector_links, op3_near_duplicates, op4_token_files, op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}
