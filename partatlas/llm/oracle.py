@@ -1,5 +1,21 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
+_ESCAPES = r"coalesce(len(regexp_extract_all({0}, '[<\[]\\*(s>|/s>|INST\]|/INST\])')), 0)"
+
+OP1 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")}
+           + length('<s></s>') + CASE role WHEN 'assistant' THEN length('[/INST]') ELSE length('[INST]') END)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 OP5 = r"""
 WITH lab AS (
   SELECT doc_id, CASE WHEN max(quality) < 1 THEN 0.5::DOUBLE WHEN max(coalesce(toxic, 0)) > 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
@@ -66,4 +82,4 @@ SELECT d.doc_id, lists.items IS NULL AS kept, coalesce(len(lists.items), 0)::BIG
 FROM documents d LEFT JOIN lists USING (doc_id)
 """
 
-ORACLE = {"op5_mixing": OP5, "op7_line_dedup": OP7, "op10_decontamination": OP10}
+ORACLE = {"op1_chat_format": OP1, "op5_mixing": OP5, "op7_line_dedup": OP7, "op10_decontamination": OP10}

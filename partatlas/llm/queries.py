@@ -2,14 +2,23 @@
 
 from pyspark.sql import functions as F
 
-from partatlas.llm import bagminhash, decontaminate, embeddings, lines, mixing, ordinal, tokens
-from partatlas.llm.common import freed_shuffles, new_folder
+from partatlas.llm import bagminhash, chat, decontaminate, embeddings, lines, mixing, ordinal, tokens, warc
+from partatlas.llm.common import freed_shuffles, new_folder, written
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark, sf_dir):
+    hard = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame(
+        [(-1, 0, "user", hard), (-1, 1, chat.LEARNED, hard)], "conv_id long, turn long, role string, text string"
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_conversations(written(chat.format_conversations(turns)))
+
+
 def op2_vector_links(spark, sf_dir):
     return embeddings.vector_links(_table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +39,18 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), weights)
 
 
+def op6_warc(spark, sf_dir):
+    path = new_folder(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        warc.page_number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
 def op7_line_dedup(spark, sf_dir):
     return lines.remove_boilerplate(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -48,4 +69,17 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_links, op3_near_duplicates, op4_token_files, op5_mixing, op7_line_dedup, op8_quality, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_vector_links,
+        op3_near_duplicates,
+        op4_token_files,
+        op5_mixing,
+        op6_warc,
+        op7_line_dedup,
+        op8_quality,
+        op10_decontamination,
+    )
+}
