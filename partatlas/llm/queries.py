@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from partatlas.llm import bagminhash, chat, decontaminate, embeddings, lines, mixing, ordinal, tokens, warc
+from partatlas.llm import bagminhash, chat, decontaminate, embeddings, lines, mixing, ordinal, suffix, tokens, warc
 from partatlas.llm.common import freed_shuffles, new_folder, written
 
 
@@ -65,6 +65,16 @@ def op8_quality(spark, sf_dir):
     return scored.select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +90,7 @@ QUERIES = {
         op6_warc,
         op7_line_dedup,
         op8_quality,
+        op9_suffix_dedup,
         op10_decontamination,
     )
 }

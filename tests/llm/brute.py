@@ -42,3 +42,33 @@ def near_duplicates(texts, least=0.8):
         if min(sizes[a], sizes[b]) >= least * max(sizes[a], sizes[b]) and weighted_jaccard(bags[a], bags[b]) >= least
     ]
     return components(ids, links)
+
+
+def repeats(texts, span=50):
+    """{doc_id: (bytes, removed flags)} of {doc_id: text}."""
+    first = {}
+    for d in sorted(texts):
+        data = (texts[d] or "").encode()
+        for p in range(len(data) - span + 1):
+            first.setdefault(data[p : p + span], d)
+    out = {}
+    for d, text in texts.items():
+        data = (text or "").encode()
+        gone = [False] * len(data)
+        for p in range(len(data) - span + 1):
+            if first[data[p : p + span]] < d:
+                gone[p : p + span] = [True] * span
+        out[d] = (data, gone)
+    return out
+
+
+def repeats_digest(texts):
+    """{doc_id: (bytes, removed, spans, sha256 of what stays)}."""
+    import hashlib
+
+    out = {}
+    for d, (data, gone) in repeats(texts).items():
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        out[d] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
