@@ -7,11 +7,14 @@ process stops as soon as its next point comes later than every component held so
 documents agree in a component with the probability of their weighted Jaccard similarity,
 sum of the smaller counts over sum of the larger ones.
 
-Signatures are cut into bands. In each bucket of a band every document meets one leader,
-the pair is verified by the exact multisets of both, and the pairs found are connected.
-Buckets that still hold documents of several components are compared member by member, in
-cells of bounded size, so the leaders lose no link; within one component nothing is left
-to compare. Documents with equal word sequences are one document in all of this.
+Half of a signature is cut into bands. In each bucket of a band every document meets one
+leader, the pair is verified by the exact multisets of both, and the pairs found are
+connected. The leader is the member whose buckets hold most documents altogether: of copies
+that were edited apart, that is the text between them. Buckets that still hold documents of
+several components are compared member by member, in cells of bounded size, by their whole
+signatures, and the pairs that agree enough are verified; so the leaders lose no link, and
+within one component nothing is left to compare. Documents with equal word sequences are one
+document in all of this.
 """
 
 import numpy as np
@@ -23,11 +26,11 @@ from partatlas.llm.common import SHINGLE, WordHashes, as_bytes, hashed_words, mi
 from partatlas.operators.graph import connected_components
 
 BANDS, BAND_ROWS = 25, 5  # finds a pair at 0.8 with probability 1 - 5e-5
-COMPONENTS = BANDS * BAND_ROWS
+COMPONENTS = 250
 SIMILARITY = 0.8
-LEAST_AGREEING = 75  # of 125; a pair at 0.8 agrees in fewer with probability 1e-8
-LEADER_PAIRS = 2000  # verified per piece of a leader
-CELL_ROWS = 512
+SLACK = 4.0  # standard deviations that the agreement of a similar pair may fall short
+LEADER_PAIRS = 500  # verified per piece of a leader
+CELL_ROWS = 4096
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,7 +92,7 @@ def bag_signatures(hashes, offsets):
 
 
 def _band_keys(signatures):
-    rows = signatures.reshape(len(signatures), BANDS, BAND_ROWS)
+    rows = signatures[:, : BANDS * BAND_ROWS].reshape(len(signatures), BANDS, BAND_ROWS)
     keys = np.zeros((len(signatures), BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(BAND_ROWS):
         keys = mixed(keys * np.uint64(33) + rows[:, :, k])
@@ -180,60 +183,56 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Da
     return rows.mapInArrow(verify, "src long, dst long")
 
 
+def _buckets(groups: DataFrame) -> DataFrame:
+    """(key, rep, rows) of all buckets with several documents."""
+    members = groups.where(F.col("n") > 0).select("rep", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    return members.join(shared, "key")
+
+
 def _leader_pairs(members: DataFrame) -> DataFrame:
     """(a, b): every member of a bucket with the leader of the bucket, each pair once."""
-    order = F.struct(F.xxhash64("rep").alias("o"), "rep")
-    leaders = (
-        members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("lead")).where(F.col("rows") > 1)
-    ).select("key", F.col("lead.rep").alias("a"))
+    central = members.groupBy("rep").agg(F.sum("rows").alias("around"))
+    order = F.struct("around", F.xxhash64("rep").alias("o"), "rep")
+    leaders = members.join(central, "rep").groupBy("key").agg(F.max(order).alias("lead")).select("key", F.col("lead.rep").alias("a"))
     return members.join(leaders, "key").where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
 
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that share a bucket and whose sketches agree enough.
+def _open_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of different components that share a bucket and whose signatures agree enough.
 
-    `members` has key, rep, comp, bands and sketch. A bucket is cut into chunks; two chunks
-    meet in a cell, which compares their sketches as matrices. A pair is taken from the first
-    bucket that it shares.
+    `members` has key, rep, rows, comp and sketch. A bucket of more than `CELL_ROWS` is cut into
+    chunks; two chunks meet in a cell, which compares their sketches as matrices.
     """
-    buckets = (
+    chunks = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
+    mixed_ = (
         members.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where(F.col("low") < F.col("high"))
-        .select("key", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("chunks"))
+        .select("key")
     )
-    chunked = members.join(buckets, "key").withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), "chunks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cells = chunked.select("key", "band", "rep", "comp", "bands", "sketch", "chunk", other).select(
-        "key",
-        "band",
-        "rep",
-        "comp",
-        "bands",
-        "sketch",
-        F.least("chunk", "other").alias("i"),
-        F.greatest("chunk", "other").alias("j"),
-        "chunk",
+    cells = (
+        members.join(mixed_, "key")
+        .withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "sketch")
     )
+    agreeing = int(COMPONENTS * least - SLACK * (COMPONENTS * least * (1 - least)) ** 0.5)
 
     def compare(key, table):
         rep, comp, chunk = (table.column(c).to_numpy() for c in ("rep", "comp", "chunk"))
-        band = table.column("band")[0].as_py()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COMPONENTS)
-        bands = np.array(table.column("bands").to_pylist()).reshape(-1, BANDS)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a, b = [], []
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for x in left:
-            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            y = y[(sketch[y] == sketch[x]).sum(axis=1) >= LEAST_AGREEING]
-            y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
+            y = right[comp[right] > comp[x]] if i == j else right[comp[right] != comp[x]]
+            y = y[(sketch[y] == sketch[x]).sum(axis=1) >= agreeing]
             a.append(np.minimum(rep[x], rep[y]))
             b.append(np.maximum(rep[x], rep[y]))
-        none = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -252,11 +251,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")
         )
     )
-    exploded = groups.where(F.col("n") > 0).select("rep", "bands", "sketch", F.posexplode("bands").alias("band", "key"))
-    edges = written(verified(written(_leader_pairs(exploded.select("key", "rep"))), docs, least))
+    buckets = written(_buckets(groups))
+    edges = written(verified(written(_leader_pairs(buckets)), docs, least))
     comps = written(connected_components(edges))
-    with_comp = exploded.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
-    more = written(_open_pairs(with_comp.select("key", "band", "rep", "comp", "bands", "sketch")))
+    with_comp = (
+        buckets.join(groups.select("rep", "sketch"), "rep")
+        .join(comps, F.col("rep") == F.col("node"), "left")
+        .select("key", "rep", "rows", F.coalesce("component", "rep").alias("comp"), "sketch")
+    )
+    more = written(_open_pairs(with_comp, least))
     if not more.isEmpty():
         edges = edges.unionByName(written(verified(more, docs, least)))
         comps = written(connected_components(edges))
