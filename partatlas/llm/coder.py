@@ -28,10 +28,18 @@ MAGIC = b"IDRC1\0"
 _HEAD = "<6sHIIQI"  # magic, id bits, block, documents, ids, blocks
 
 _TOTAL, _SLOTS, _KINDS = 16, 12, 8
+_SLICE = 128  # positions prepared at a time
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48 = np.uint64(16), np.uint64(48)
 
 
+def _ready(low, span):
+    """(which states give a word, whether its bits are settled) of range coder states."""
+    settled = (low ^ (low + span)) < _TOP
+    out = np.flatnonzero(settled | (span < _BOTTOM))
+    return out, settled[out]
+
+
 class _Writer:
     def __init__(self, lanes, capacity):
         self.low = np.zeros(lanes, dtype=np.uint64)
@@ -40,23 +48,21 @@ class _Writer:
         self.size = np.zeros(lanes, dtype=np.int64)
 
     def put(self, at, start, share):
-        """Code [start, start + share) of 65536 in the lanes `at`, a slice or numbers."""
+        """Code [start, start + share) of 65536 in the lanes `at`, a slice from 0 or numbers."""
         low, span = self.low[at], self.range[at] >> _U16
         low = low + span * start
         span = span * share
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            small = span < _BOTTOM
-            out = np.flatnonzero(settled | small)
-            if not len(out):
-                break
-            squeeze = out[~settled[out]]
+        out, settled = _ready(low, span)
+        while len(out):
+            squeeze = out[~settled]
             span[squeeze] = (~low[squeeze] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            lanes = np.arange(len(self.low))[at][out]
+            lanes = out if isinstance(at, slice) else at[out]
             self.words[lanes, self.size[lanes]] = (low[out] >> _U48).astype(np.uint16)
             self.size[lanes] += 1
             low[out] <<= _U16
             span[out] <<= _U16
+            again, settled = _ready(low[out], span[out])
+            out = out[again]
         self.low[at], self.range[at] = low, span
 
     def finish(self):
@@ -87,19 +93,17 @@ class _Reader:
         low, code, span = self.low[at], self.code[at], self.range[at] >> _U16
         low = low + span * start
         span = span * share
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            small = span < _BOTTOM
-            out = np.flatnonzero(settled | small)
-            if not len(out):
-                break
-            squeeze = out[~settled[out]]
+        out, settled = _ready(low, span)
+        while len(out):
+            squeeze = out[~settled]
             span[squeeze] = (~low[squeeze] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            lanes = np.arange(len(self.low))[at][out]
+            lanes = out if isinstance(at, slice) else at[out]
             code[out] = code[out] << _U16 | self.words[self.next[lanes]]
             self.next[lanes] += 1
             low[out] <<= _U16
             span[out] <<= _U16
+            again, settled = _ready(low[out], span[out])
+            out = out[again]
         self.low[at], self.code[at], self.range[at] = low, code, span
 
 
@@ -211,6 +215,40 @@ def _take_raw(reader, at, bits):
     return value
 
 
+def _put_slice(writer, model, lane, part, last, tail, bits, right, tried):
+    """Code some positions of all lanes and learn from them; gives the last two symbols.
+
+    `tail` positions of the last block are left, counted from the first of these, if that block
+    is the last lane.
+    """
+    whole = len(writer.low)
+    keys = lane << 32 | part
+    place = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
+    found = model.keys[place] == keys
+    symbol = np.where(found, place - model.first[:-1, None], -1)
+    seen = np.concatenate([last, symbol], axis=1)
+    lanes = np.broadcast_to(lane, part.shape)
+    guess2, kind2, guess1, kind1, end2, end1 = model.guesses(lanes, seen[:, :-2], seen[:, 1:-1])
+    slot = np.where(found, model.start[place], model.escape[lane])
+    after = np.where(found, slot + model.share[place], 1 << _SLOTS)
+    by2, by1 = found & (symbol == guess2), found & (symbol == guess1)
+    start = np.where(by2, 0, np.where(by1, end2, _spread(slot, end1))).astype(np.uint64)
+    stop = np.where(by2, end2, np.where(by1, end1, _spread(after, end1))).astype(np.uint64)
+    start, share = np.ascontiguousarray(start.T), np.ascontiguousarray((stop - start).T)
+    real = np.ones(part.shape, dtype=bool)
+    if len(lane) == whole:
+        real[-1, max(tail, 0) :] = False
+    fresh = ~found & real
+    for t in range(part.shape[1]):
+        now = len(lane) if real[-1, t] else len(lane) - 1
+        writer.put(slice(0, now), start[t, :now], share[t, :now])
+        raw = np.flatnonzero(fresh[:, t])
+        if len(raw):
+            _put_raw(writer, raw, part[raw, t], bits)
+    _learn(right, tried, lanes[real], *(x[real] for x in (symbol, guess2, kind2, guess1, kind1)))
+    return seen[:, -2:]
+
+
 def encode_blocks(ids, bits):
     """List of word arrays, one for each block of `ids` (int64, below 2**bits)."""
     lanes = -(-len(ids) // BLOCK)
@@ -229,31 +267,9 @@ def encode_blocks(ids, bits):
             continue
         model = _Model(grid[:active, :begin], right, tried)
         lane = np.arange(active)[:, None]
-        part = grid[:active, begin:end]
-        keys = lane << 32 | part
-        place = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-        found = model.keys[place] == keys
-        symbol = np.where(found, place - model.first[:-1, None][:active], -1)
-        seen = np.concatenate([model.last, symbol], axis=1)
-        lanes_2d = np.broadcast_to(lane, part.shape)
-        guess2, kind2, guess1, kind1, end2, end1 = model.guesses(lanes_2d, seen[:, :-2], seen[:, 1:-1])
-        slot = np.where(found, model.start[place], model.escape[lane])
-        after = np.where(found, slot + model.share[place], 1 << _SLOTS)
-        by2, by1 = found & (symbol == guess2), found & (symbol == guess1)
-        start = np.where(by2, 0, np.where(by1, end2, _spread(slot, end1))).astype(np.uint64)
-        stop = np.where(by2, end2, np.where(by1, end1, _spread(after, end1))).astype(np.uint64)
-        start, share = np.ascontiguousarray(start.T), np.ascontiguousarray((stop - start).T)
-        fresh = ~found
-        for t in range(end - begin):
-            now = active if t + begin < tail else lanes - 1
-            writer.put(slice(0, now), start[t, :now], share[t, :now])
-            raw = np.flatnonzero(fresh[:now, t])
-            if len(raw):
-                _put_raw(writer, raw, part[raw, t], bits)
-        real = np.ones(part.shape, dtype=bool)
-        if active == lanes and tail < end:
-            real[-1, tail - begin :] = False
-        _learn(right, tried, lanes_2d[real], *(x[real] for x in (symbol, guess2, kind2, guess1, kind1)))
+        last = model.last
+        for t in range(begin, end, _SLICE):
+            last = _put_slice(writer, model, lane, grid[:active, t : min(t + _SLICE, end)], last, tail - t, bits, right, tried)
     return writer.finish()
 
 
@@ -300,11 +316,13 @@ def decode_blocks(words, sizes, n_ids, bits):
             for kept, x in zip(told, (symbol, guess2, kind2, guess1, kind1)):
                 kept[t, :now] = x
             last2, last1 = last1, symbol
-        lanes_2d = np.broadcast_to(np.arange(active), told[0].shape)
-        real = np.ones(told[0].shape, dtype=bool)
-        if active == lanes and tail < end:
-            real[tail - begin :, -1] = False
-        _learn(right, tried, lanes_2d[real], *(x[real].astype(np.int64) for x in told))
+        for t in range(0, end - begin, _SLICE):
+            some = [x[t : t + _SLICE] for x in told]
+            real = np.ones(some[0].shape, dtype=bool)
+            if active == lanes:
+                real[max(tail - begin - t, 0) :, -1] = False
+            of = np.broadcast_to(np.arange(active), real.shape)
+            _learn(right, tried, of[real], *(x[real].astype(np.int64) for x in some))
     return grid.ravel()[:n_ids]
 
 

@@ -8,6 +8,8 @@ nothing behind by lost or repeated tasks; `data` is complete on its own.
 
 import re
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ class ByteLevelEncoder:
     A word goes with the space before it. Strings of special tokens are ordinary text.
     """
 
-    LIMIT = 250_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,7 +49,7 @@ class ByteLevelEncoder:
         self._forget()
 
     def _forget(self):
-        self.number, self.ids, self.size = {}, [], []
+        self.number, self.ids, self.size = {}, array("I"), array("I")
 
     def encode(self, texts):
         """(ids of all texts, number of ids by text)."""
@@ -58,21 +60,19 @@ class ByteLevelEncoder:
             words = _CUT.split(text)
             words[0] = (words[0],)  # the first word has no space before it
             parts.append(words)
-        fresh = list({w for p in parts for w in p}.difference(self.number))
+        fresh = list(set(chain.from_iterable(parts)).difference(self.number))
         plain = [w[0] if isinstance(w, tuple) else " " + w for w in fresh]
         for word, one in zip(fresh, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            self.number[word] = len(self.ids)
-            ids = np.array(one.ids, dtype=np.int64)
-            self.ids.append(ids)
-            self.size.append(len(ids))
+            self.number[word] = len(self.size)
+            self.ids.extend(one.ids)
+            self.size.append(len(one.ids))
         number = self.number
         counts = [len(p) for p in parts]
-        words = np.fromiter((number[w] for p in parts for w in p), dtype=np.int64, count=sum(counts))
-        size = np.array(self.size, dtype=np.int64)
-        table = np.concatenate([np.zeros(0, dtype=np.int64), *self.ids])
-        begin = np.cumsum(size) - size
+        words = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), dtype=np.int32, count=sum(counts))
+        size, table = np.array(self.size, dtype=np.int32), np.array(self.ids, dtype=np.uint32)
+        begin = np.cumsum(size, dtype=np.int32) - size
         sizes = size[words]
-        out = table[np.repeat(begin[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        out = table[np.repeat(begin[words] - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes) + np.arange(sizes.sum(), dtype=np.int32)]
         of_text = np.repeat(np.arange(len(texts)), counts)
         return out, np.bincount(of_text, sizes, len(texts)).astype(np.int64)
 
