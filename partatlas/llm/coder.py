@@ -365,7 +365,10 @@ def read_shard(data):
     words = np.frombuffer(data, dtype="<u2", offset=at + 4)
     if len(words) != sizes.sum(dtype=np.int64):
         raise ValueError("a token file is cut short")
-    ids = decode_blocks(words, sizes.astype(np.int64), n_ids, bits)
+    try:
+        ids = decode_blocks(words, sizes.astype(np.int64), n_ids, bits)
+    except IndexError:  # a damaged block may ask for words that are not there
+        raise ValueError("a block of a token file is damaged") from None
     raw = ids.astype("<u4").tobytes()
     for k, want in enumerate(sums):
         if zlib.crc32(raw[k * BLOCK * 4 : (k + 1) * BLOCK * 4]) != want:
