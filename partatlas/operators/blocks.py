@@ -24,7 +24,7 @@ def chunked(members: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """
     fields = ["id", *[c for c in members.columns if c not in ("group_id", "id")]]
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_members"))
-    sized = attach_by_key(members, sizes, "group_id", "n_members", members.count(), ["id"])
+    sized = attach_by_key(members, sizes, "group_id", "n_members", ["id"])
     n_chunks = F.ceil(F.col("n_members") / F.lit(chunk_rows or CHUNK)).cast("int")
     return stage(
         sized.withColumn("n_chunks", n_chunks)

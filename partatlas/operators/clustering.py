@@ -44,7 +44,7 @@ class VectorIndex:
     def spread_to_rows(self, labels: DataFrame) -> DataFrame:
         """Labels (id, cluster) of distinct vectors given to every row with that vector."""
         facts = self.points.join(labels, "id").select("features", "n", "cluster")
-        return attach_by_key(self.vectors, facts, "features", "n", self.vectors.count(), [S.ROW]).select(S.ROW, "cluster")
+        return attach_by_key(self.vectors, facts, "features", "n", [S.ROW]).select(S.ROW, "cluster")
 
 
 def _matrix(members, field):

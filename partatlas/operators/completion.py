@@ -19,12 +19,6 @@ from partatlas.staging import stage
 CALLS_AT_ONCE = 8
 PROMPTS_PER_CALL = 256
 
-# Fixed value: the role a completion service is asked to take.
-SYSTEM_MESSAGE = (
-    "You are a professional electrician and expert in electrical supply parts. "
-    "Provide short, plain-English responses."
-)
-
 Complete = Callable[[Sequence[str]], Sequence[str]]
 
 
@@ -66,7 +60,7 @@ def _calling(complete: Complete):
 
 
 def complete_text(
-    prompted: DataFrame, complete: Complete = offline_complete, calls_at_once: int = CALLS_AT_ONCE
+    prompted: DataFrame, complete: Complete, calls_at_once: int = CALLS_AT_ONCE
 ) -> DataFrame:
     """`prompted` (with row_id and prompt) plus result, status and error.
 
@@ -80,7 +74,7 @@ def complete_text(
     )
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     answers = stage(asked.withColumn("_key", F.unhex(F.sha2("prompt", 256))).drop("prompt")).join(counts, "_key")
-    return attach_by_key(rows, answers, "_key", "_n", rows.count(), [S.ROW]).drop("_key", "_n")
+    return attach_by_key(rows, answers, "_key", "_n", [S.ROW]).drop("_key", "_n")
 
 
 def _given(items: DataFrame, column: str, default: str = "") -> Column:
@@ -140,7 +134,7 @@ def category_prompts(items: DataFrame, main: str, short: bool = False) -> DataFr
     )
 
 
-def enrich_descriptions(items: DataFrame, complete: Complete = offline_complete) -> tuple[DataFrame, DataFrame]:
+def enrich_descriptions(items: DataFrame, complete: Complete) -> tuple[DataFrame, DataFrame]:
     """Items with the enriched column, and the completion log."""
     log = stage(complete_text(items.select(S.ROW, enrichment_prompt(items).alias("prompt")), complete))
     answers = log.select(S.ROW, F.col("result").alias(S.ENRICHED))
@@ -167,7 +161,7 @@ def _two_passes(items: DataFrame, complete: Complete, short: bool) -> DataFrame:
     )
 
 
-def reevaluate_categories(items: DataFrame, complete: Complete = offline_complete) -> DataFrame:
+def reevaluate_categories(items: DataFrame, complete: Complete) -> DataFrame:
     """Categories of every row by completion, with change flags.
 
     Where only the sub prompt fails, the main answer is given up as well.
@@ -183,7 +177,7 @@ def reevaluate_categories(items: DataFrame, complete: Complete = offline_complet
     )
 
 
-def llm_fallback(routed: DataFrame, complete: Complete = offline_complete, short: bool = True) -> DataFrame:
+def llm_fallback(routed: DataFrame, complete: Complete, short: bool = True) -> DataFrame:
     """Rows with `needs_completion` get both categories by completion, at confidence 0.
 
     Adds `completion_failed`; the other rows pass through.
@@ -209,7 +203,7 @@ def llm_fallback(routed: DataFrame, complete: Complete = offline_complete, short
 
 
 def fallback_uncertain_parts(
-    routed: DataFrame, complete: Complete = offline_complete, threshold: float = S.CONFIDENCE_THRESHOLD
+    routed: DataFrame, complete: Complete, threshold: float = S.CONFIDENCE_THRESHOLD
 ) -> DataFrame:
     """Replace only the categories whose own confidence is too low, with the long prompts.
 

@@ -84,13 +84,11 @@ def _lowest_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("level", "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
 
 
-def _linked(edges: DataFrame, total: int) -> DataFrame:
+def _linked(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with m, the lowest node around u; hubs are spread over tasks."""
     lowest = _lowest_neighbour(edges).withColumn("m", F.least("m", "u"))
     keyed = lowest.withColumn("key", F.struct("level", "u")).drop("level", "u")
-    return attach_by_key(
-        edges.withColumn("key", F.struct("level", "u")), keyed, "key", "degree", total, ["v"]
-    ).drop("key", "degree")
+    return attach_by_key(edges.withColumn("key", F.struct("level", "u")), keyed, "key", "degree", ["v"]).drop("key", "degree")
 
 
 def _mark(edges: DataFrame):
@@ -109,16 +107,15 @@ def connected_components(edges: DataFrame, levels: bool = False) -> DataFrame:
     star = stage(forest.select("level", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     seen = _mark(star)
     while True:
-        total = seen[0]
         both = star.unionByName(star.select("level", F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            _linked(both, 2 * total)
+            _linked(both)
             .where(F.col("v") > F.col("u"))
             .select("level", F.col("v").alias("u"), F.col("m").alias("v"))
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        small = _linked(large, total)
+        small = _linked(large)
         links = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         star = stage(
             small.select("level", F.explode(links).alias("e"))

@@ -35,18 +35,18 @@ class ItemIndex:
     @cached_property
     def texts(self) -> DataFrame:
         """(text_id, n_rows, text, text_key) per distinct text."""
-        grouped = self.chosen.groupBy("text").agg(
-            F.min(S.ROW).alias("text_id"), F.count(F.lit(1)).alias("n_rows")
+        # by the hash, so that texts travel as values of partial sums and not as keys
+        grouped = self.chosen.groupBy(_text_key(F.col("text")).alias("text_key")).agg(
+            F.min(S.ROW).alias("text_id"), F.count(F.lit(1)).alias("n_rows"), F.first("text").alias("text")
         )
-        return stage(grouped.withColumn("text_key", _text_key(F.col("text"))))
+        return stage(grouped.select("text_id", "n_rows", "text", "text_key"))
 
     @cached_property
     def rows(self) -> DataFrame:
         """(row_id, catalog_no, text_id) per item row."""
         keyed = self.chosen.select(S.ROW, S.CATALOG, _text_key(F.col("text")).alias("text_key"))
         facts = self.texts.select("text_key", "text_id", "n_rows")
-        total = self.chosen.count()
-        return stage(attach_by_key(keyed, facts, "text_key", "n_rows", total, [S.ROW]).drop("text_key", "n_rows"))
+        return stage(attach_by_key(keyed, facts, "text_key", "n_rows", [S.ROW]).drop("text_key", "n_rows"))
 
     @cached_property
     def skus(self) -> DataFrame:

@@ -16,6 +16,9 @@ from partatlas.operators.index import ItemIndex
 from partatlas.operators.skew import attach_by_key
 from partatlas.staging import stage
 
+# Candidate bounds give way by more than rounding to nine digits can move a score.
+BOUND_SLACK = 2e-9
+
 
 def _rounded(column: Column) -> Column:
     return F.round(column, S.DIGITS)
@@ -40,7 +43,7 @@ def tfidf_weights(index: ItemIndex) -> DataFrame:
         "text_id", "n_rows", F.explode(F.arrays_zip("terms", "weights")).alias("e")
     ).select("text_id", "n_rows", F.col("e.terms").alias("term_id"), F.col("e.weights").alias("weight"))
     names = index.vocabulary.select("term_id", "term", "n_texts")
-    return attach_by_key(entries, names, "term_id", "n_texts", index.postings.count(), ["text_id"]).select(
+    return attach_by_key(entries, names, "term_id", "n_texts", ["text_id"]).select(
         "text_id", "n_rows", "term", _rounded(F.col("weight")).alias("weight")
     )
 
@@ -92,7 +95,7 @@ def sku_similarity_pairs(index: ItemIndex, threshold: float = S.SIMILARITY_THRES
 
 def _text_groups(index: ItemIndex, threshold: float) -> DataFrame:
     """Text pairs (and each text with itself) that can reach the threshold, with the ratio they need."""
-    tau = (threshold - S.SKU_WEIGHT) / S.DESC_WEIGHT
+    tau = (threshold - S.SKU_WEIGHT) / S.DESC_WEIGHT - BOUND_SLACK
     between = tfidf.text_pairs(index.vectors, tau).select("text_i", "text_j", "desc_sim")
     own = index.vectors.select(
         F.col("text_id").alias("text_i"), F.col("text_id").alias("text_j"), F.lit(1.0).alias("desc_sim")
@@ -269,7 +272,7 @@ def best_description_match(index: ItemIndex, tiers: tuple = BEST_TIERS) -> DataF
     facts = heads.join(best, "text_id", "left").select(
         "text_id", "n_skus", "first_id", "second_id", "b.top", (-F.col("b.neg_id")).alias("top_id")
     )
-    joined = attach_by_key(skus, facts, "text_id", "n_skus", skus.count(), ["id"])
+    joined = attach_by_key(skus, facts, "text_id", "n_skus", ["id"])
     return _named_best(index, joined, vectors)
 
 
@@ -292,9 +295,8 @@ def _best_partners(vectors: DataFrame, pending: DataFrame, heads: DataFrame, tie
 def _named_best(index: ItemIndex, joined: DataFrame, vectors: DataFrame) -> DataFrame:
     """Settle each catalogue number's own case and replace ids by names."""
     two_first = [r["id"] for r in index.skus.orderBy("id").limit(2).collect()]
-    default = F.when(F.col("id") != F.lit(two_first[0]), F.lit(two_first[0])).otherwise(
-        F.lit(two_first[1] if len(two_first) > 1 else None).cast("long")
-    )
+    lead, follower = (F.lit(x).cast("long") for x in [*two_first, None, None][:2])
+    default = F.when(F.col("id") != lead, lead).otherwise(follower)
     # a text partner at cosine 1 competes with the item's own text by position
     sibling = F.when(F.col("id") == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))
     own_top = F.when(F.col("second_id").isNotNull() & (F.col("top") == 1.0), sibling)
@@ -308,7 +310,7 @@ def _named_best(index: ItemIndex, joined: DataFrame, vectors: DataFrame) -> Data
     names = index.skus.select(F.col("id").alias("best_id"), F.col("sku").alias("most_similar_desc_sku"))
     sizes = chosen.groupBy("best_id").agg(F.count(F.lit(1)).alias("_n"))
     named = names.join(sizes, "best_id")
-    return attach_by_key(chosen, named, "best_id", "_n", index.skus.count(), ["id"], how="left").select(
+    return attach_by_key(chosen, named, "best_id", "_n", ["id"], how="left").select(
         F.col("sku").alias(S.CATALOG), F.col("sim").alias("highest_desc_similarity"), "most_similar_desc_sku"
     )
 
@@ -329,13 +331,13 @@ def description_means(index: ItemIndex) -> DataFrame:
         F.sum(F.col("w") * F.col("n_skus")).alias("v"), F.count(F.lit(1)).alias("n_entries")
     )
     dots = (
-        attach_by_key(entries, total, "term_id", "n_entries", entries.count(), ["text_id"])
+        attach_by_key(entries, total, "term_id", "n_entries", ["text_id"])
         .groupBy("text_id")
         .agg(F.sum(F.col("w") * F.col("v")).alias("uv"), F.sum(F.col("w") * F.col("w")).alias("uu"))
     )
     facts = sizes.join(dots, "text_id", "left")
     mean = (F.coalesce(F.col("uv"), F.lit(0.0)) - F.coalesce(F.col("uu"), F.lit(0.0))) / F.lit(float(n - 1) if n > 1 else None)
-    return attach_by_key(skus, facts, "text_id", "n_skus", n, ["id"]).select(
+    return attach_by_key(skus, facts, "text_id", "n_skus", ["id"]).select(
         F.col("sku").alias(S.CATALOG), _rounded(mean).alias("avg_desc_similarity")
     )
 
@@ -367,7 +369,7 @@ def with_similarity_columns(index: ItemIndex, profile: DataFrame, best_descripti
         "average_similarity",
         "high_similarity_average",
     )
-    return attach_by_key(index.items, facts, S.CATALOG, "n", index.n_rows, [S.ROW], how="left").drop("n")
+    return attach_by_key(index.items, facts, S.CATALOG, "n", [S.ROW], how="left").drop("n")
 
 
 def similarity_lookup(items: DataFrame, requested: DataFrame) -> DataFrame:
@@ -404,7 +406,7 @@ def description_mean_all(index: ItemIndex) -> DataFrame:
     )
     n = float(index.n_rows)
     return v.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("s")).select(
-        (F.col("s") / F.lit(n * n)).alias("average_desc_similarity"),
+        F.try_divide(F.col("s"), F.lit(n * n)).alias("average_desc_similarity"),
         F.when(F.col("s") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("max_desc_similarity"),
     )
 
@@ -433,7 +435,7 @@ def threshold_sweep(index: ItemIndex, thresholds: list[float], profile: DataFram
     n = index.n_rows
     # sum over ordered row pairs: n_i · (all rows' ratios) plus every row with the rows of its own number
     sku_mean = profile.agg(
-        (F.sum(F.col("n") * F.col("row_total") + F.col("n") * F.col("n")) / F.lit(float(n) * n)).alias(
+        F.try_divide(F.sum(F.col("n") * F.col("row_total") + F.col("n") * F.col("n")), F.lit(float(n) * n)).alias(
             "average_sku_similarity"
         )
     )

@@ -3,74 +3,51 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most HOT_SHARES keys can each hold 1/HOT_SHARES of the rows, so the list of
-# hot keys is bounded whatever the data look like and may be broadcast.
-HOT_SHARES = 1000
-HOT_MIN_ROWS = 10_000
+# Rows of one key that a task may take. The list of keys above it, which is broadcast, has at
+# most one entry per TASK_ROWS rows of the table: a million entries for 10^12 rows.
+TASK_ROWS = 1_000_000
+# Rows of one key on either side of a self join that meet in a task.
+PAIR_ROWS = 4_000
 
 
-def _limit(total: int, min_rows: int | None) -> int:
-    """Rows of one key that a single task may take."""
-    return max(total // HOT_SHARES, HOT_MIN_ROWS if min_rows is None else min_rows, 1)
-
-
-def _pieces(rows_of_key: Column, total: int, min_rows: int | None) -> Column:
-    return F.ceil(rows_of_key / F.lit(_limit(total, min_rows))).cast("int")
-
-
-def hot_keys(counts: DataFrame, key: str, rows_of_key: str, total: int, min_rows: int | None = None) -> DataFrame:
-    """Keys to cut and the number of pieces of each, broadcast: at most HOT_SHARES rows."""
-    pieces = _pieces(F.col(rows_of_key), total, min_rows)
-    return F.broadcast(counts.where(pieces > 1).select(key, pieces.alias("_pieces")))
+def _pieces(rows_of_key: Column, limit: int) -> Column:
+    return F.greatest(F.ceil(rows_of_key / F.lit(limit)), F.lit(1)).cast("int")
 
 
 def attach_by_key(
-    rows: DataFrame,
-    facts: DataFrame,
-    key: str,
-    rows_of_key: str,
-    total: int,
-    spread: list[str],
-    how: str = "inner",
-    min_rows: int | None = None,
+    rows: DataFrame, facts: DataFrame, key: str, rows_of_key: str, spread: list[str], how: str = "inner"
 ) -> DataFrame:
     """Join many `rows` per key with one row of `facts` per key.
 
-    `facts[rows_of_key]` says how many rows the key has. Keys above 1/1000 of
-    `total` are cut into pieces by the hash of `spread`, and their fact row is
-    repeated once per piece (at most 2000 repeats altogether).
+    `facts[rows_of_key]` says how many rows the key has. Keys of more than `TASK_ROWS` rows
+    are cut into pieces by the hash of `spread`, and their fact row is repeated once per piece.
     """
-    if total <= _limit(total, min_rows):
-        return rows.join(facts, key, how)  # too few rows for any key to be hot
-    piece = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int")
-    )
-    left = (
-        rows.join(hot_keys(facts, key, rows_of_key, total, min_rows), key, "left")
-        .withColumn("_piece", piece)
-        .drop("_pieces")
-    )
-    last = F.greatest(_pieces(F.col(rows_of_key), total, min_rows), F.lit(1)) - 1
-    right = facts.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+    pieces = _pieces(F.col(rows_of_key), TASK_ROWS)
+    hot = F.broadcast(facts.where(pieces > 1).select(key, pieces.alias("_pieces")))
+    piece = F.pmod(F.xxhash64(*spread), F.coalesce("_pieces", F.lit(1))).cast("int")
+    left = rows.join(hot, key, "left").withColumn("_piece", piece).drop("_pieces")
+    right = facts.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return left.join(right, [key, "_piece"], how).drop("_piece")
 
 
-def self_join_by_key(
-    rows: DataFrame, key: str, identity: str, condition, select: list, min_rows: int | None = None
-) -> DataFrame:
+def self_join_by_key(rows: DataFrame, key: str, identity: str, condition, select: list) -> DataFrame:
     """Pairs of rows with the same key that meet `condition(left, right)`.
 
-    A hot key is cut into pieces on the left and repeated per piece on the
-    right, so that its pairs are found by many tasks.
+    The rows of a key are cut into pieces of about `PAIR_ROWS`, and every piece on the left
+    meets every piece on the right in a cell of its own, so a task never forms more than
+    PAIR_ROWS² pairs of one key at a time, however many rows the key has.
     """
-    total = rows.count()
-    if total <= _limit(total, min_rows):
-        same = F.col(f"l.{key}") == F.col(f"r.{key}")
-        return rows.alias("l").join(rows.alias("r"), same & condition).select(*select)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    marked = rows.join(hot_keys(counts, key, "_n", total, min_rows), key, "left")
-    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    left = marked.withColumn("_piece", F.pmod(F.xxhash64(identity), pieces).cast("int")).alias("l")
-    right = marked.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).alias("r")
-    same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._piece") == F.col("r._piece"))
+    pieces = _pieces(F.col("_n"), PAIR_ROWS)
+    cut = attach_by_key(rows, counts, key, "_n", [identity]).withColumn(
+        "_own", F.pmod(F.xxhash64(F.lit("piece"), identity), pieces).cast("int")
+    )
+    others = F.explode(F.sequence(F.lit(0), pieces - 1))
+    left = cut.withColumn("_other", others).drop("_n").alias("l")
+    right = cut.withColumn("_other", others).drop("_n").alias("r")
+    same = (
+        (F.col(f"l.{key}") == F.col(f"r.{key}"))
+        & (F.col("l._own") == F.col("r._other"))
+        & (F.col("l._other") == F.col("r._own"))
+    )
     return left.join(right, same & condition).select(*select)

@@ -15,7 +15,7 @@ from partatlas.operators.blocks import cells, chunked, members_of, one_group
 
 SMALL_CELL = 4096  # cells with fewer pairs are handled many at a time
 SLICE = 1 << 19
-FLOOR_SLACK = 1e-9
+FLOOR_SLACK = 3e-9  # above what rounding cosine and score to nine digits can move a ratio
 
 MEMBER = "struct<id:bigint,sku:string,n:bigint,last:bigint>"
 

@@ -75,7 +75,7 @@ def unit_vectors(weighted: DataFrame) -> DataFrame:
 def tfidf_vectors(posted: DataFrame, terms: DataFrame, n_rows: int) -> DataFrame:
     """Unit TF-IDF vectors: tf · (ln((1+n)/(1+df)) + 1), normalised."""
     facts = terms.select("term", "term_id", "n_texts", idf(F.col("df"), n_rows).alias("idf"))
-    joined = attach_by_key(posted, facts, "term", "n_texts", posted.count(), ["text_id"])
+    joined = attach_by_key(posted, facts, "term", "n_texts", ["text_id"])
     return unit_vectors(joined.select("text_id", "n_rows", "term_id", (F.col("tf") * F.col("idf")).alias("weight")))
 
 

@@ -79,6 +79,7 @@ def assign_categories(items: DataFrame, settings: Settings, complete: completion
 
 def cluster_items(items: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(labels, feature vectors) of density clustering on SVD text features."""
+    cleaning.validate_model_input(items, S.CLUSTER_COLUMNS)
     index = ItemIndex(items)
     fitted = features.fit_text_features(index, settings.max_features, settings.n_components)
     vectors = stage(features.text_features(index, fitted).select(S.ROW, "features"))
@@ -90,12 +91,12 @@ def run_analysis(
     spark: SparkSession,
     input_path: str,
     output_dir: str,
+    complete: completion.Complete,
     settings: Settings | None = None,
     enrich_texts: bool = True,
     cluster: bool = True,
     chart: bool = True,
     thresholds: list[float] | None = None,
-    complete: completion.Complete = completion.offline_complete,
     names: dict[str, str] | None = None,
     columns: dict[str, str] | None = None,
     key: str | None = None,

@@ -174,11 +174,11 @@ def category_change_stats(spark, d):
 
 def routing_stats(spark, d):
     routed = categorize.route_low_confidence(predicted(spark, d))
-    return statistics.routing_stats(completion.llm_fallback(routed))
+    return statistics.routing_stats(completion.llm_fallback(routed, completion.offline_complete))
 
 
 def enrichment_stats(spark, d):
-    return statistics.enrichment_stats(completion.enrich_descriptions(items(spark, d))[0])
+    return statistics.enrichment_stats(completion.enrich_descriptions(items(spark, d), completion.offline_complete)[0])
 
 
 def request_stats(spark, d):
@@ -370,16 +370,16 @@ def category_prompts_short(spark, d):
 def complete_text(spark, d):
     table = docs(spark, d)
     prompts = table.select("row_id", completion.main_prompt(table, short=True).alias("prompt"))
-    return completion.complete_text(prompts).select("row_id", "result", "status")
+    return completion.complete_text(prompts, completion.offline_complete).select("row_id", "result", "status")
 
 
 def enrich_descriptions(spark, d):
-    return completion.enrich_descriptions(items(spark, d))[0].select("row_id", "enriched_description")
+    return completion.enrich_descriptions(items(spark, d), completion.offline_complete)[0].select("row_id", "enriched_description")
 
 
 def llm_fallback(spark, d):
     routed = categorize.route_low_confidence(predicted(spark, d))
-    return completion.llm_fallback(routed).select(
+    return completion.llm_fallback(routed, completion.offline_complete).select(
         "row_id",
         "predicted_main_category",
         "predicted_sub_category",
@@ -390,7 +390,7 @@ def llm_fallback(spark, d):
 
 
 def fallback_uncertain_parts(spark, d):
-    return completion.fallback_uncertain_parts(predicted(spark, d)).select(
+    return completion.fallback_uncertain_parts(predicted(spark, d), completion.offline_complete).select(
         "row_id",
         "predicted_main_category",
         "predicted_sub_category",
@@ -400,7 +400,7 @@ def fallback_uncertain_parts(spark, d):
 
 
 def reevaluate_categories(spark, d):
-    return completion.reevaluate_categories(items(spark, d)).select(
+    return completion.reevaluate_categories(items(spark, d), completion.offline_complete).select(
         "row_id", "llm_main_category", "llm_sub_category", "main_category_changed", "sub_category_changed"
     )
 

@@ -1,7 +1,5 @@
 """Item columns, defaults, parameters and rule tables."""
 
-from pyspark.sql import types as T
-
 CATALOG = "catalog_no"
 DESCRIPTION = "description"
 MAIN = "main_category"
@@ -34,7 +32,6 @@ EMPTY_CATALOG = "EMPTY"
 # Weights, thresholds and model sizes.
 SKU_WEIGHT = 0.4
 DESC_WEIGHT = 0.6
-SCORER_THRESHOLD = 0.5
 SIMILARITY_THRESHOLD = 0.8
 NETWORK_THRESHOLD = 0.5
 CONFIDENCE_THRESHOLD = 0.8
@@ -100,14 +97,3 @@ MANUFACTURER_PREFIXES = {
     "HYUNDAI": ["HGM", "HMD"],
     "LS": ["TS", "TD"],
 }
-
-ITEM_SCHEMA = T.StructType(
-    [
-        T.StructField(ROW, T.LongType()),
-        T.StructField(CATALOG, T.StringType()),
-        T.StructField(DESCRIPTION, T.StringType()),
-        T.StructField(MAIN, T.StringType()),
-        T.StructField(SUB, T.StringType()),
-        T.StructField(MFR, T.StringType()),
-    ]
-)

@@ -20,7 +20,8 @@ def tiny_limits(monkeypatch):
     """Limits so low that small frames take the paths made for hot keys and many chunks."""
     from partatlas.operators import best_text, blocks, sku_pairs, skew, tfidf
 
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 2)
+    monkeypatch.setattr(skew, "TASK_ROWS", 2)
+    monkeypatch.setattr(skew, "PAIR_ROWS", 2)
     monkeypatch.setattr(blocks, "CHUNK", 3)
     monkeypatch.setattr(sku_pairs, "SMALL_CELL", 4)
     monkeypatch.setattr(tfidf, "CELL_PAIRS", 3)

@@ -28,10 +28,15 @@ def test_missing_columns_are_added(spark):
     assert (got.description, got.main_category, got.mfr_code) == ("Unknown", "Unknown", "Unknown")
 
 
-def test_prefixes(spark):
-    cases = [("ABB123", "ABB"), ("1SDA123456", "ABB"), ("3VA1234", "SIEMENS"), ("abb9", "ABB"), ("Unknown123", "Unknown"), (None, "Unknown")]
-    got = cleaning.extract_manufacturer(frame(spark, [(c,) for c, _ in cases], "catalog_no string")).collect()
-    assert [r.manufacturer for r in got] == [m for _, m in cases]
+def test_every_prefix_of_the_rule_table(spark):
+    rules = [(prefix, name) for name, prefixes in S.MANUFACTURER_PREFIXES.items() for prefix in prefixes]
+    first = [(p, next(n for q, n in rules if p.startswith(q))) for p, _ in rules]  # a rule may begin with another
+    cases = [(p + tail, n) for p, n in first for tail in ("", "-77", "X")]
+    cases += [(p.lower() + "q", n) for p, n in first] + [(" " + p, "Unknown") for p, _ in rules[:3]]
+    cases += [("", "Unknown"), ("~1", "Unknown"), (None, "Unknown")]
+    numbered = [(k, c) for k, (c, _) in enumerate(cases)]
+    got = cleaning.extract_manufacturer(frame(spark, numbered, "row_id long, catalog_no string")).orderBy("row_id").collect()
+    assert [(r.catalog_no, r.manufacturer) for r in got] == cases
 
 
 def test_validation(spark):

@@ -1,6 +1,7 @@
 import pytest
 
 from partatlas import schema as S
+from partatlas.operators.completion import offline_complete
 from partatlas.plans.analysis import Settings, run_analysis
 from partatlas.sources import files
 
@@ -61,7 +62,7 @@ def test_whole_analysis(spark, tmp_path):
     source = write_csv(tmp_path / "items.csv", item_lines())
     out = str(tmp_path / "out")
     settings = Settings(trees=5, depth=4, n_components=4)
-    summary = run_analysis(spark, source, out, settings, thresholds=[0.5, 0.8])
+    summary = run_analysis(spark, source, out, offline_complete, settings, thresholds=[0.5, 0.8])
     assert summary["total_items"] == 24 and summary["clusters"] >= 1
     final = spark.read.parquet(f"{out}/processed_data")
     assert final.count() == 24 and {"most_similar_sku", "cluster", "enriched_description"} <= set(final.columns)
@@ -73,3 +74,19 @@ def test_whole_analysis(spark, tmp_path):
 def test_first_rows(spark):
     frame = spark.range(50).toDF(S.ROW).repartition(5)
     assert [r.row_id for r in files.head_subset(frame, 3).collect()] == [0, 1, 2]
+
+
+def test_a_run_that_dies_leaves_other_marks_alone(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = lambda n: lambda: spark.range(n)
+    assert files.stage_or_resume(spark, path, "first", rows(3)).count() == 3
+
+    def dies():
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        files.stage_or_resume(spark, path, "second", dies)
+    (tmp_path / "s").mkdir(exist_ok=True)
+    assert files.stage_or_resume(spark, path, "first", dies).count() == 3
+    assert files.stage_or_resume(spark, path, "second", rows(5)).count() == 5
+    assert files.stage_or_resume(spark, path, "first", dies).count() == 3

@@ -3,6 +3,7 @@ import random
 import pytest
 
 import brute
+from partatlas import schema as S
 from partatlas.operators import graph, similarity
 from partatlas.operators.index import ItemIndex
 
@@ -141,3 +142,21 @@ def test_components(spark, tiny_limits, seed):
 
 def test_no_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_no_items(make_items):
+    index = ItemIndex(make_items([(1, "A", "x y")]).limit(0))
+    profile = similarity.item_similarity_profile(index)
+    assert similarity.similar_pairs(index).collect() == []
+    assert similarity.best_description_match(index).collect() == []
+    assert profile.collect() == []
+    swept = similarity.threshold_sweep(index, [0.5, 0.8], profile).collect()
+    assert [(r.total_items, r.similar_pairs, r.average_sku_similarity) for r in swept] == [(0, 0, None)] * 2
+    assert len(similarity.similarity_statistics(index, 0.8, profile).collect()) == 1
+
+
+def test_score_that_rounding_lifts_to_the_threshold():
+    # ratio 1 and cosine 0.666666666 round to 0.8; the bounds on both sides have to let it pass
+    tau = (0.8 - S.SKU_WEIGHT) / S.DESC_WEIGHT - similarity.BOUND_SLACK
+    assert tau < 0.666666666
+    assert (0.8 - S.DESC_WEIGHT * 0.666666666) / S.SKU_WEIGHT <= 1 + similarity.sku_pairs.FLOOR_SLACK
