@@ -303,7 +303,7 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .where((F.col("copies") > 1) & (F.col("bytes") >= least_bytes))
         .select("digest", "copies", "latest")
     )
-    joined = attach_by_key(keyed, groups, "digest", "copies", pages.count(), ["page_id"], how="left")
+    joined = attach_by_key(keyed, groups, "digest", "copies", ["page_id"], how="left")
     same = F.col("page_id").eqNullSafe(F.col("latest"))
     return joined.select("page_id", "url", "payload", F.when(F.col("latest").isNotNull() & ~same, F.col("latest")).alias("refers_to"))
 

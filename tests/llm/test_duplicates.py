@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-import brute
+import plain
 from partatlas.llm import bagminhash, embeddings, suffix
 from partatlas.llm.common import WordHashes, hashed_words
 
@@ -33,7 +33,7 @@ def test_signature_estimates_weighted_jaccard():
         b = " ".join(f"a{k} b{k} c{k} d{k} e{k} " * int(t) for k, t in enumerate(np.maximum(times + rng.integers(-4, 5, 4), 1)))
         hashes, offsets = bagminhash.shingle_hashes(*hashed_words([a.encode(), b.encode()], known))
         signature = bagminhash.bag_signatures(hashes, offsets)
-        true = brute.weighted_jaccard(brute.bag(a), brute.bag(b))
+        true = plain.weighted_jaccard(plain.bag(a), plain.bag(b))
         off.append((signature[0] == signature[1]).mean() - true)
     assert abs(np.mean(off)) < 0.012 and np.std(off) < 0.05
 
@@ -51,7 +51,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
             texts[len(texts) * 3 + 1] = " ".join(_edited(rng, words, int(rng.integers(0, 4))))
     texts |= {500: texts[1], 501: " " + texts[1].replace(" ", "\n"), 502: "", 503: "  ", 504: "one two", 505: "one two", 506: "one  two three"}
     got = {r.doc_id: (r.component_id, r.kept) for r in bagminhash.near_duplicates(_docs(spark, texts.items())).collect()}
-    want = brute.near_duplicates(texts)
+    want = plain.near_duplicates(texts)
     assert got == {d: (c, c == d) for d, c in want.items()}
 
 
@@ -76,7 +76,7 @@ def _brute_vectors(rows):
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
                     n[a], n[b] = n[a] + 1, n[b] + 1
                     links.append((a, b))
-    comp = brute.components(list(n), links)
+    comp = plain.components(list(n), links)
     return sorted((i, n[i], comp[i], comp[i] == i) for i in n)
 
 
@@ -135,7 +135,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, limits):
         r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), __import__("hashlib").sha256(r.kept).hexdigest())
         for r in suffix.remove_repeats(_docs(spark, texts.items())).collect()
     }
-    assert got == brute.repeats_digest(texts)
+    assert got == plain.repeats_digest(texts)
 
 
 def test_repeats_of_equal_ids_and_nulls(spark):
