@@ -157,7 +157,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Da
     members = pairs.join(pieces, "a").select("a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"), "b")
     rows = (
         leaders.unionByName(members)
-        .join(texts, F.col("b") == F.col("doc_id"))
+        .join(texts.hint("merge"), F.col("b") == F.col("doc_id"))  # one plan at every size
         .select("a", "piece", (F.col("a") != F.col("b")).alias("member"), "b", "text")
         .repartition("a", "piece")
         .sortWithinPartitions("a", "piece", "member", "b")

@@ -60,7 +60,7 @@ def mixed(x):
 class WordHashes(dict):
     """Hash of every word seen, so that a repeated word is hashed once."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word):
         import xxhash
@@ -80,7 +80,7 @@ def hashed_words(texts, known):
     return flat, ends
 
 
-def sub_batches(texts, budget=4_000_000):
+def sub_batches(texts, budget=1_500_000):
     """Ranges (begin, end) of texts with about `budget` bytes each, one text at least."""
     begin, held = 0, 0
     for k, text in enumerate(texts):
