@@ -2,7 +2,7 @@
 
 The caller supplies the function that answers prompts; the job around it asks
 every distinct prompt once, bounds how many calls run at a time by the number of
-partitions, and turns a failing prompt into a row with an error.
+partitions of a wave, and turns a failing prompt into a row with an error.
 """
 
 from collections.abc import Callable, Sequence
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from partatlas import schema as S
 from partatlas.operators import categorize
 from partatlas.operators.skew import attach_by_key
-from partatlas.staging import stage
+from partatlas.sources.files import exists
+from partatlas.staging import new_path, stage
 
 CALLS_AT_ONCE = 8
 PROMPTS_PER_CALL = 256
+CALLS_PER_WAVE = 16  # of each partition
+_ANSWERS = "result string, status string, error string, _key binary"
 
 Complete = Callable[[Sequence[str]], Sequence[str]]
 
@@ -60,21 +63,33 @@ def _calling(complete: Complete):
 
 
 def complete_text(
-    prompted: DataFrame, complete: Complete, calls_at_once: int = CALLS_AT_ONCE
+    prompted: DataFrame, complete: Complete, calls_at_once: int = CALLS_AT_ONCE, store: str | None = None
 ) -> DataFrame:
     """`prompted` (with row_id and prompt) plus result, status and error.
 
-    The answers are written before they are joined back, so a lost executor
-    never asks a finished prompt again.
+    Prompts are asked in waves of a bounded number, and the answers of every wave are written
+    before the next begins. A task that fails asks its part of one wave again. With `store`, a
+    folder for answers, a later run asks only prompts that have no good answer there.
     """
+    spark = prompted.sparkSession
     rows = stage(prompted.withColumn("_key", F.unhex(F.sha2("prompt", 256))))
     distinct = rows.groupBy("_key").agg(F.first("prompt").alias("prompt"), F.count(F.lit(1)).alias("_n"))
-    asked = distinct.repartition(calls_at_once, "_key").select("prompt").mapInPandas(
-        _calling(complete), "result string, status string, error string, prompt string"
-    )
+    path = store or new_path(spark)
+    open_ = distinct
+    if store and exists(spark, store):
+        good = spark.read.schema(_ANSWERS).parquet(store).where("status = 'ok'")
+        open_ = stage(distinct.join(good, "_key", "left_anti"))
+    waves = max(1, -(-open_.count() // (calls_at_once * PROMPTS_PER_CALL * CALLS_PER_WAVE)))
+    for wave in range(waves):
+        now = open_.where(F.pmod(F.xxhash64("_key"), F.lit(waves)) == wave)
+        asked = now.repartition(calls_at_once, "_key").select("prompt").mapInPandas(
+            _calling(complete), "result string, status string, error string, prompt string"
+        )
+        asked.withColumn("_key", F.unhex(F.sha2("prompt", 256))).drop("prompt").write.mode("append").parquet(path)
+    answer = F.max_by(F.struct("result", "status", "error"), F.col("status") == "ok").alias("a")
+    answers = spark.read.schema(_ANSWERS).parquet(path).groupBy("_key").agg(answer).select("_key", "a.*")
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    answers = stage(asked.withColumn("_key", F.unhex(F.sha2("prompt", 256))).drop("prompt")).join(counts, "_key")
-    return attach_by_key(rows, answers, "_key", "_n", [S.ROW]).drop("_key", "_n")
+    return attach_by_key(rows, answers.join(counts, "_key"), "_key", "_n", [S.ROW]).drop("_key", "_n")
 
 
 def _given(items: DataFrame, column: str, default: str = "") -> Column:
@@ -207,7 +222,8 @@ def fallback_uncertain_parts(
 ) -> DataFrame:
     """Replace only the categories whose own confidence is too low, with the long prompts.
 
-    The sub prompt embeds the main category that holds by then.
+    The sub prompt embeds the main category that holds by then. A category that was sent to
+    completion has confidence 0 afterwards, also if completion failed.
     """
     rows = stage(routed)
     low_main = F.col("main_category_confidence") < threshold

@@ -29,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and return a scan of the written table.
 
@@ -36,6 +41,6 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     one value reads only its files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

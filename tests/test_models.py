@@ -93,6 +93,30 @@ def test_equal_prompts_are_asked_once(spark, tiny_limits):
     assert asked.value == 2
 
 
+def test_waves_and_restart_ask_open_prompts_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(completion, "PROMPTS_PER_CALL", 1)
+    monkeypatch.setattr(completion, "CALLS_PER_WAVE", 1)
+    rows = spark.createDataFrame([(k, f"p{k % 7}") for k in range(30)], "row_id long, prompt string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def answering(broken):
+        def complete(prompts):
+            asked.add(len(prompts))
+            if any(p in broken for p in prompts):
+                raise RuntimeError("down")
+            return [p.upper() for p in prompts]
+
+        return complete
+
+    store = str(tmp_path / "answers")
+    first = completion.complete_text(rows, answering({"p3", "p5"}), 2, store)
+    assert first.where("status = 'failed'").select("prompt").distinct().count() == 2
+    before = asked.value
+    second = completion.complete_text(rows, answering(set()), 2, store)
+    assert sorted((r.row_id, r.result) for r in second.collect()) == [(k, f"P{k % 7}") for k in range(30)]
+    assert asked.value - before == 2
+
+
 def test_fallback_routes_only_uncertain_rows(items):
     guessed = categorize.init_predictions(items)
     routed = categorize.route_low_confidence(guessed, trained=False)
