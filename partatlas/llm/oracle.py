@@ -76,9 +76,11 @@ sizes AS (SELECT item_id, count(*) AS n FROM its GROUP BY item_id),
 found AS (
   SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n) AS share
   FROM ds JOIN its USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9),
-lists AS (SELECT doc_id, list(item_id ORDER BY item_id) AS items, max(share) AS share FROM found GROUP BY doc_id)
-SELECT d.doc_id, lists.items IS NULL AS kept, coalesce(len(lists.items), 0)::BIGINT AS n_items,
-       coalesce(lists.items, []::BIGINT[]) AS items, coalesce(share, 0.0::DOUBLE) AS share
+lists AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(share) AS share
+  FROM found GROUP BY doc_id)
+SELECT d.doc_id, lists.items IS NULL AS kept, coalesce(lists.n, 0)::BIGINT AS n_items,
+       coalesce(lists.items, '') AS items, coalesce(share, 0.0::DOUBLE) AS share
 FROM documents d LEFT JOIN lists USING (doc_id)
 """
 

@@ -76,7 +76,8 @@ def op9_suffix_dedup(spark, sf_dir):
 
 
 def op10_decontamination(spark, sf_dir):
-    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 QUERIES = {
