@@ -84,4 +84,75 @@ SELECT d.doc_id, lists.items IS NULL AS kept, coalesce(lists.n, 0)::BIGINT AS n_
 FROM documents d LEFT JOIN lists USING (doc_id)
 """
 
-ORACLE = {"op1_chat_format": OP1, "op5_mixing": OP5, "op7_line_dedup": OP7, "op10_decontamination": OP10}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30),
+c AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n
+  FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lang_total, size.v
+  FROM groups g JOIN kept k USING (lang) JOIN size USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM grid),
+away AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(away.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN away ON away.lang = a.lang AND away.source = a.source AND away.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS g, count(*)::BIGINT AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1 : j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[j + 1 :], ' ')),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT DISTINCT c.lang, c.phrase FROM f c JOIN f d ON d.lang = c.lang AND d.k > c.k AND c.k > 1
+  WHERE 100 * d.f >= 80 * c.f AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM least WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = least.lang AND i.phrase = least.phrase))
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {
+    "op1_chat_format": OP1,
+    "op5_mixing": OP5,
+    "op7_line_dedup": OP7,
+    "op10_decontamination": OP10,
+    "op11_divergence": OP11,
+    "op13_collocations": OP13,
+}

@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from partatlas.llm import bagminhash, chat, decontaminate, embeddings, lines, mixing, ordinal, suffix, tokens, warc
+from partatlas.llm import (
+    bagminhash,
+    chat,
+    collocations,
+    decontaminate,
+    divergence,
+    embeddings,
+    langid,
+    lines,
+    mixing,
+    ordinal,
+    suffix,
+    tokens,
+    warc,
+)
 from partatlas.llm.common import freed_shuffles, new_folder, written
 
 
@@ -80,6 +94,21 @@ def op10_decontamination(spark, sf_dir):
     return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,5 +122,8 @@ QUERIES = {
         op8_quality,
         op9_suffix_dedup,
         op10_decontamination,
+        op11_divergence,
+        op12_language_id,
+        op13_collocations,
     )
 }
