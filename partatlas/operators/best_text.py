@@ -1,9 +1,10 @@
 """Best text partner by cosine where no threshold can prune: exact, without pair tables.
 
-The cosine is split in two. The few most frequent terms, which most texts share,
-are multiplied as dense matrices chunk against chunk. All other terms are held
-by few texts each, so their products are summed by an equi-join on the term and
-sent to the cell of the two chunks.
+Pending texts meet each other and all others in the tiles of a grid. In a tile the cosine is
+split in two: the few most frequent terms, which most texts share, are multiplied as
+dense matrices; all other terms are held by few texts of a tile, so their products are
+summed by merging the sorted terms of both sides. Products of single terms exist in
+arrays only, and a text leaves a tile with one partner.
 """
 
 import numpy as np
@@ -12,35 +13,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partatlas import schema as S
-from partatlas.operators.blocks import cells, chunked, members_of, task_count
-from partatlas.operators.skew import self_join_by_key
-from partatlas.staging import stage
-
-DENSE_TERMS = 4096
-
-
-def _split(vectors: DataFrame, dense_ids: list[int]) -> DataFrame:
-    """Adds `dense`, the positions and weights of frequent terms, and `rare`, all other entries."""
-    # ids are the highest of the vocabulary, so one comparison tells the two apart
-    first = dense_ids[0] if dense_ids else 0
-    entries = F.arrays_zip("terms", "weights")
-    return vectors.withColumn("e", entries).withColumns(
-        {
-            "dense": F.filter("e", lambda x: x["terms"] >= first),
-            "rare": F.filter("e", lambda x: x["terms"] < first),
-        }
-    )
+from partatlas.operators.blocks import grid, members_of
+
+DENSE_TERMS = 2048
 
 
-def _matrix(members, dense_ids):
-    start, entries = members_of(members.field("dense"))
-    out = np.zeros((len(members), len(dense_ids)))
+def _entries(members, first_dense):
+    """(owner, term, weight) of the entries of all members, the rare ones and the frequent ones."""
+    start, terms = members_of(members.field("terms"))
+    terms = terms.to_numpy(zero_copy_only=False)
+    weights = members_of(members.field("weights"))[1].to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(members)), np.diff(start))
-    at = np.searchsorted(dense_ids, entries.field("terms").to_numpy(zero_copy_only=False))
-    out[owner, at] = entries.field("weights").to_numpy(zero_copy_only=False)
+    rare = terms < first_dense
+    return [(owner[at], terms[at], weights[at]) for at in (rare, ~rare)]
+
+
+def _dense(entries, rows, dense_ids):
+    out = np.zeros((rows, len(dense_ids)))
+    owner, terms, weights = entries
+    out[owner, np.searchsorted(dense_ids, terms)] = weights
     return out
 
 
+def _merged(a, b, shape):
+    """Sums of products over terms that both sides hold, as a matrix."""
+    order = np.argsort(b[1], kind="stable")
+    owner_b, terms_b, weights_b = (x[order] for x in b)
+    begin, end = (np.searchsorted(terms_b, a[1], side) for side in ("left", "right"))
+    counts = end - begin
+    at_a = np.repeat(np.arange(len(counts)), counts)
+    at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[at_a]
+    cell = a[0][at_a] * shape[1] + owner_b[at_b]
+    return np.bincount(cell, a[2][at_a] * weights_b[at_b], shape[0] * shape[1]).astype(np.float64).reshape(shape)
+
+
 def _best(ids, sims, first_ids):
     """Per row the highest cosine above 0 and the lowest first id that has it."""
     order = np.argsort(first_ids)
@@ -52,35 +58,29 @@ def _best(ids, sims, first_ids):
     )
 
 
-def _cell_best(dense_ids):
+def _tile_best(dense_ids):
     dense_ids = np.array(dense_ids, dtype=np.int64)
+    # ids ascend with frequency, so one comparison tells frequent terms
+    first_dense = int(dense_ids[0]) if len(dense_ids) else np.iinfo(np.int64).max
 
     def run(batches):
         for batch in batches:
             start_a, a_all = members_of(batch.column("a"))
             start_b, b_all = members_of(batch.column("b"))
-            start_r, rare = members_of(batch.column("rare"))
-            same_group = (batch.column("group_i").to_numpy() == batch.column("group_j").to_numpy())
+            inside = batch.column("inside").to_numpy(zero_copy_only=False)
             diagonal = batch.column("diagonal").to_numpy(zero_copy_only=False)
             for cell in range(batch.num_rows):
                 a = a_all.slice(start_a[cell], start_a[cell + 1] - start_a[cell])
                 b = b_all.slice(start_b[cell], start_b[cell + 1] - start_b[cell])
-                r = rare.slice(start_r[cell], start_r[cell + 1] - start_r[cell])
-                ids_a, ids_b = (m.field("id").to_numpy() for m in (a, b))
-                sims = _matrix(a, dense_ids) @ _matrix(b, dense_ids).T
-                if len(r):
-                    i = np.searchsorted(ids_a, r.field("text_i").to_numpy())
-                    j = np.searchsorted(ids_b, r.field("text_j").to_numpy())
-                    part = r.field("part").to_numpy()
-                    np.add.at(sims, (i, j), part)
-                    if diagonal[cell]:
-                        np.add.at(sims, (j, i), part)
+                (rare_a, dense_a), (rare_b, dense_b) = _entries(a, first_dense), _entries(b, first_dense)
+                sims = _merged(rare_a, rare_b, (len(a), len(b)))
+                sims += _dense(dense_a, len(a), dense_ids) @ _dense(dense_b, len(b), dense_ids).T
                 sims = np.round(sims, S.DIGITS)
                 if diagonal[cell]:
                     np.fill_diagonal(sims, 0.0)
-                yield _best(ids_a, sims, b.field("first").to_numpy())
-                if same_group[cell] and not diagonal[cell]:
-                    yield _best(ids_b, sims.T, a.field("first").to_numpy())
+                yield _best(a.field("id").to_numpy(), sims, b.field("first").to_numpy())
+                if inside[cell] and not diagonal[cell]:
+                    yield _best(b.field("id").to_numpy(), sims.T, a.field("first").to_numpy())
 
     return run
 
@@ -91,65 +91,12 @@ def best_partners(vectors: DataFrame, pending: DataFrame, heads: DataFrame) -> D
     entries = vectors.select(F.explode("terms").alias("term_id"))
     frequent = entries.groupBy("term_id").count().orderBy(F.desc("term_id")).limit(DENSE_TERMS)
     dense_ids = sorted(r["term_id"] for r in frequent.select("term_id").collect())
-    group = F.when(F.col("pending"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    flagged = (
-        vectors.join(pending.withColumn("pending", F.lit(True)), "text_id", "left")
-        .withColumn("pending", F.coalesce("pending", F.lit(False)))
+    members = (
+        vectors.join(pending.withColumn("group_id", F.lit(0).cast("bigint")), "text_id", "left")
         .join(heads.select("text_id", F.col("first_id").alias("first")), "text_id")
+        .select(F.coalesce("group_id", F.lit(1)).alias("group_id"), F.col("text_id").alias("id"), "first", "terms", "weights")
     )
-    split = stage(_split(flagged, dense_ids).select(F.col("text_id").alias("id"), "first", group.alias("group_id"), "dense", "rare"))
-    chunks = chunked(split.select("group_id", "id", "first", "dense"))
-    n_chunks = {r["group_id"]: r["n_chunks"] for r in chunks.select("group_id", "n_chunks").distinct().collect()}
-    pairs = spark.createDataFrame([(0, g) for g in sorted(n_chunks)], "group_i bigint, group_j bigint")
-    table = cells(pairs, chunks, ["group_i", "group_j", "chunk_i", "chunk_j"])
-    keys = ["group_i", "group_j", "chunk_i", "chunk_j"]
-    # an explicit number of tasks again: the work of a cell is not in its bytes
-    pending_chunks = n_chunks.get(0, 0)
-    tasks = task_count(spark, pending_chunks * (pending_chunks + 1) // 2 + pending_chunks * n_chunks.get(1, 0))
-    rare = _rare_parts(split, n_chunks).repartition(tasks, *keys)
-    joined = table.repartition(tasks, *keys).join(rare, keys, "left")
-    none = F.array().cast("array<struct<text_i:bigint,text_j:bigint,part:double>>")
-    found = joined.withColumn("rare", F.coalesce("rare", none)).mapInArrow(
-        _cell_best(dense_ids), "id bigint, top double, first bigint"
-    )
+    pairs = spark.createDataFrame([(0, 0, True), (0, 1, False)], "group_i bigint, group_j bigint, inside boolean")
+    found = grid(pairs, members, ["inside"], _tile_best(dense_ids), "id bigint, top double, first bigint")
     best = found.groupBy("id").agg(F.max(F.struct("top", (-F.col("first")).alias("neg_id"))).alias("b"))
     return best.select(F.col("id").alias("text_id"), F.col("b.top").alias("top"), (-F.col("b.neg_id")).alias("top_id"))
-
-
-def _rare_parts(split: DataFrame, n_chunks: dict[int, int]) -> DataFrame:
-    """Per cell, the summed products of rare terms of every pair with a pending text."""
-    rare = stage(
-        split.select("id", "group_id", F.explode("rare").alias("e")).select(
-            "id", "group_id", F.col("e.terms").alias("term_id"), F.col("e.weights").alias("w")
-        )
-    )
-    left, right = F.col("l.id"), F.col("r.id")
-    once = (F.col("l.group_id") == 0) & ((F.col("r.group_id") == 1) | (left < right))
-    products = self_join_by_key(
-        rare,
-        "term_id",
-        "id",
-        once,
-        [left.alias("text_i"), right.alias("text_j"), F.col("r.group_id").alias("group_j"), (F.col("l.w") * F.col("r.w")).alias("p")],
-    )
-    sums = products.groupBy("text_i", "text_j", "group_j").agg(F.sum("p").alias("part"))
-
-    def chunk(column, group):
-        return F.pmod(F.xxhash64(column), F.lit(n_chunks.get(group, 1))).cast("int")
-
-    ends = sums.withColumns(
-        {
-            "ci": chunk("text_i", 0),
-            "cj": F.when(F.col("group_j") == 0, chunk("text_j", 0)).otherwise(chunk("text_j", 1)),
-        }
-    )
-    # inside the pending group a cell lists the lower chunk first
-    swap = (F.col("group_j") == 0) & (F.col("ci") > F.col("cj"))
-
-    def either(first, second):
-        return F.when(swap, F.col(second)).otherwise(F.col(first))
-
-    entry = F.struct(either("text_i", "text_j").alias("text_i"), either("text_j", "text_i").alias("text_j"), "part")
-    return ends.groupBy(
-        F.lit(0).cast("bigint").alias("group_i"), "group_j", either("ci", "cj").alias("chunk_i"), either("cj", "ci").alias("chunk_j")
-    ).agg(F.collect_list(entry).alias("rare"))

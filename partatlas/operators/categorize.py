@@ -1,25 +1,21 @@
 """Supervised categories: training, prediction, routing of uncertain rows."""
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partatlas import schema as S
-from partatlas.operators import clustering, features
+from partatlas.operators import clustering, features, keyed_forest
 from partatlas.operators.cleaning import validate_model_input
 from partatlas.operators.index import ItemIndex
 from partatlas.staging import stage
 
-FITS_AT_ONCE = 4
 MAX_DEPTH = 30  # the deepest trees Spark grows
 SEED = 42
 
@@ -39,14 +35,19 @@ REASON_FAILED = "GPT failed"
 
 @dataclass
 class CategoryModel:
-    """Everything a prediction needs. `subs` maps a main category to its model and labels."""
+    """Everything a prediction needs.
+
+    `main_labels` is (value, label), `subs` the trees of all main categories with several
+    sub-categories, keyed by the label of the main category, `sub_labels` (key, value, label).
+    """
 
     text: features.TextFeatures
     scale: tuple
     kmeans: KMeansModel
     main: RandomForestClassificationModel
-    main_labels: list[str]
-    subs: dict = field(default_factory=dict)
+    main_labels: DataFrame
+    subs: DataFrame
+    sub_labels: DataFrame
 
 
 def init_predictions(items: DataFrame) -> DataFrame:
@@ -69,25 +70,18 @@ def _forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
     )
 
 
-def _labelled(frame: DataFrame, column: str, labels: list[str]) -> DataFrame:
-    table = F.create_map(*[x for k, v in enumerate(labels) for x in (F.lit(v), F.lit(float(k)))])
-    return frame.withColumn("label", F.element_at(table, F.col(column)))
-
+def scaled(frame: DataFrame, scale: tuple) -> DataFrame:
+    arrays = frame.withColumn("features", vector_to_array("features"))
+    return features.scaled(arrays, scale).withColumn("features", array_to_vector("features"))
 
-def _scaler(frame: DataFrame) -> tuple:
-    """Population mean and deviation per position, from one summary pass."""
-    spark_scaler: StandardScalerModel = StandardScaler(
-        inputCol="features", outputCol="scaled", withMean=True, withStd=True
-    ).fit(frame)
-    n = frame.count()
-    deviation = spark_scaler.std.toArray() * np.sqrt((n - 1) / n if n > 1 else 0.0)
-    return spark_scaler.mean.toArray().tolist(), np.where(deviation > 0, deviation, 1.0).tolist()
 
-
-def scaled(frame: DataFrame, scale: tuple) -> DataFrame:
-    means, deviations = (F.array(*[F.lit(x) for x in part]) for part in scale)
-    values = F.zip_with(vector_to_array("features"), means, lambda x, m: x - m)
-    return frame.withColumn("features", array_to_vector(F.zip_with(values, deviations, lambda x, s: x / s)))
+def _sub_labels(known: DataFrame) -> DataFrame:
+    """(key, value, label) of the sub-categories of main categories that have several, in sorted order."""
+    found = known.select("key", F.col("sub").alias("value")).distinct()
+    several = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    # the window sees each sub-category of a main category once
+    order = Window.partitionBy("key").orderBy("value")
+    return found.join(several, "key", "left_semi").withColumn("label", F.row_number().over(order) - 1)
 
 
 def train(
@@ -101,73 +95,55 @@ def train(
 ) -> CategoryModel:
     """Text features, k-means, one forest for main and one per eligible main category.
 
-    Each fit is a distributed job over the staged feature table; a few of the
-    per-category fits run at the same time so that small ones do not queue.
+    The main forest and k-means are distributed fits over the staged feature table; the forests
+    of all main categories are grown in one grouped pass.
     """
     validate_model_input(items)
     index = ItemIndex(items)
     text = features.fit_text_features(index, max_features, n_components)
+    main_labels = stage(features.label_encode(items, S.MAIN))
     categories = items.select(
         S.ROW,
-        F.coalesce(F.col(S.MAIN), F.lit(S.UNKNOWN)).alias("main"),
+        F.coalesce(F.col(S.MAIN), F.lit(S.UNKNOWN)).alias("value"),
         F.coalesce(F.col(S.SUB), F.lit(S.UNKNOWN)).alias("sub"),
-    )
-    # one entry per category pair: as many as the models have outputs
-    pairs = [(r["main"], r["sub"]) for r in categories.select("main", "sub").distinct().collect()]
-    main_labels = sorted({m for m, _ in pairs})
-    labelled = _labelled(categories, "main", main_labels).withColumn("number", F.col("label").cast("int"))
-    # laid out by main category, so that each sub model reads only its own rows
-    frame = stage(features.item_features(index, text).join(labelled, S.ROW), by="number")
-    scale = _scaler(frame)
+    ).join(main_labels, "value")
+    labelled = categories.select(S.ROW, "sub", F.col("label").alias("key"), F.col("label").cast("double").alias("label"))
+    frame = stage(features.item_features(index, text).join(labelled, S.ROW))
+    scale = features.fit_scale(frame)
     means = clustering.kmeans(scaled(frame, scale), clusters)
     main = _forest(trees, depth, seed).fit(frame)
-    wanted = [(k, m, sorted({s for x, s in pairs if x == m})) for k, m in enumerate(main_labels)]
-
-    def fit(entry):
-        number, name, labels = entry
-        rows = frame.where(F.col("number") == number).drop("label")
-        return name, (_forest(trees, depth, seed).fit(_labelled(rows, "sub", labels)), labels)
-
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        subs = dict(pool.map(fit, [w for w in wanted if len(w[2]) >= 2]))
-    return CategoryModel(text, scale, means, main, main_labels, subs)
+    sub_labels = stage(_sub_labels(frame))
+    known = frame.drop("label").join(sub_labels.withColumnRenamed("value", "sub"), ["key", "sub"])
+    rows = known.select("key", S.ROW, "label", vector_to_array("features").alias("features"))
+    subs = stage(keyed_forest.train_forests(rows, trees, depth, seed))
+    return CategoryModel(text, scale, means, main, main_labels, subs, sub_labels)
 
 
-def _named(prediction: Column, labels: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), prediction.cast("int") + 1)
-
-
-def _scored(frame: DataFrame, model, labels: list[str], prefix: str) -> DataFrame:
-    """Most probable label and its probability."""
+def predict_main(frame: DataFrame, model: CategoryModel) -> DataFrame:
+    """`frame` with main_number, the most probable main category and its probability."""
+    names = model.main_labels.select(F.col("label").alias("main_number"), F.col("value").alias("predicted_main_category"))
     return (
-        model.transform(frame)
-        .withColumn(f"{prefix}_number", F.col("prediction").cast("int"))
-        .withColumn(f"predicted_{prefix}_category", _named(F.col("prediction"), labels))
-        .withColumn(f"{prefix}_category_confidence", F.array_max(vector_to_array("probability")))
+        model.main.transform(frame)
+        .withColumn("main_number", F.col("prediction").cast("int"))
+        .withColumn("main_category_confidence", F.array_max(vector_to_array("probability")))
         .drop("rawPrediction", "probability", "prediction")
+        .join(names, "main_number")
     )
 
 
-def predict_main(frame: DataFrame, model: CategoryModel) -> DataFrame:
-    return _scored(frame, model.main, model.main_labels, "main")
-
-
 def predict_sub(frame: DataFrame, model: CategoryModel, threshold: float = S.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Rows with a sure main category go to that category's model; the others stay Unknown at 0.
+    """Rows with a sure main category go to that category's forest; the others stay Unknown at 0.
 
-    `frame` comes from `predict_main`; staged by `main_number`, each model reads only its own rows.
+    `frame` comes from `predict_main`.
     """
-    number, sure = F.col("main_number"), F.col("main_category_confidence") >= threshold
-    numbers = {model.main_labels.index(name): entry for name, entry in model.subs.items()}
-    has_model = sure & number.isin(list(numbers)) if numbers else F.lit(False)
-    parts = [
-        frame.where(~has_model).withColumns(
-            {"predicted_sub_category": F.lit(S.UNKNOWN), "sub_category_confidence": F.lit(0.0)}
-        )
-    ]
-    for main, (forest, labels) in numbers.items():
-        parts.append(_scored(frame.where((number == main) & sure), forest, labels, "sub").drop("sub_number"))
-    return reduce(DataFrame.unionByName, parts).drop("main_number")
+    sure = frame.where(F.col("main_category_confidence") >= threshold)
+    rows = sure.select(F.col("main_number").alias("key"), S.ROW, vector_to_array("features").alias("features"))
+    names = model.sub_labels.select("key", "label", F.col("value").alias("predicted_sub_category"))
+    found = keyed_forest.score_forests(rows, model.subs).join(names, ["key", "label"]).select(
+        S.ROW, "predicted_sub_category", F.col("confidence").alias("sub_category_confidence")
+    )
+    unknown = {"predicted_sub_category": S.UNKNOWN, "sub_category_confidence": 0.0}
+    return frame.join(found, S.ROW, "left").fillna(unknown).drop("main_number")
 
 
 def predict_cluster(frame: DataFrame, model: CategoryModel) -> DataFrame:
@@ -178,7 +154,7 @@ def predict(items: DataFrame, model: CategoryModel, threshold: float = S.CONFIDE
     """Items with cluster, predicted categories, confidences, originals and change flags."""
     validate_model_input(items)
     frame = stage(features.item_features(ItemIndex(items), model.text))
-    main = stage(predict_main(frame, model), by="main_number")
+    main = stage(predict_main(frame, model))
     found = predict_sub(main, model, threshold).drop("features")
     clusters = predict_cluster(frame, model)
     return track_changes(items.drop(S.CLUSTER).join(found, S.ROW).join(clusters, S.ROW))
@@ -215,25 +191,25 @@ def failures(items: DataFrame) -> DataFrame:
 
 
 def save_model(model: CategoryModel, path: str, spark) -> None:
-    """Models as Spark ML folders by category number, tables as parquet."""
+    """Models as Spark ML folders, tables as parquet."""
     root = PurePosixPath(path) if "://" not in path else path.rstrip("/")
     at = lambda name: f"{root}/{name}"
-    model.text.terms.write.mode("overwrite").parquet(at("terms"))
     basis = [(k, row.tolist()) for k, row in enumerate(model.text.basis)]
-    spark.createDataFrame(basis, "position bigint, row array<double>").write.mode("overwrite").parquet(at("basis"))
     facts = [(model.text.max_features, model.text.n_components, *model.scale)]
-    spark.createDataFrame(
-        facts, "max_features int, n_components int, means array<double>, deviations array<double>"
-    ).write.mode("overwrite").parquet(at("settings"))
-    labels = [(-1, "", model.main_labels)]
+    tables = {
+        "terms": model.text.terms,
+        "basis": spark.createDataFrame(basis, "position bigint, row array<double>"),
+        "settings": spark.createDataFrame(
+            facts, "max_features int, n_components int, means array<double>, deviations array<double>"
+        ),
+        "main_labels": model.main_labels,
+        "subs": model.subs,
+        "sub_labels": model.sub_labels,
+    }
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(at(name))
     model.kmeans.write().overwrite().save(at("kmeans"))
     model.main.write().overwrite().save(at("main"))
-    for k, (name, (forest, sub_labels)) in enumerate(sorted(model.subs.items())):
-        labels.append((k, name, sub_labels))
-        forest.write().overwrite().save(at(f"sub_{k}"))
-    spark.createDataFrame(labels, "number int, category string, labels array<string>").write.mode(
-        "overwrite"
-    ).parquet(at("labels"))
 
 
 def load_model(path: str, spark) -> CategoryModel:
@@ -244,17 +220,10 @@ def load_model(path: str, spark) -> CategoryModel:
     text = features.TextFeatures(
         spark.read.parquet(at("terms")), matrix, settings["max_features"], settings["n_components"]
     )
-    labels = {r["number"]: r for r in spark.read.parquet(at("labels")).collect()}
-    subs = {
-        r["category"]: (RandomForestClassificationModel.load(at(f"sub_{k}")), r["labels"])
-        for k, r in labels.items()
-        if k >= 0
-    }
     return CategoryModel(
         text,
         (settings["means"], settings["deviations"]),
         KMeansModel.load(at("kmeans")),
         RandomForestClassificationModel.load(at("main")),
-        labels[-1]["labels"],
-        subs,
+        *(spark.read.parquet(at(name)) for name in ("main_labels", "subs", "sub_labels")),
     )

@@ -106,16 +106,16 @@ def trainable_rows(items: DataFrame) -> DataFrame:
     return items.where(known[0] & known[1])
 
 
-def enrichment_coverage(items: DataFrame) -> DataFrame:
+def enrichment_coverage(items: DataFrame, share: float = S.ENRICHED_SHARE) -> DataFrame:
     """Share of rows with an enriched description, and whether a run has to fill them."""
     filled = F.count(S.ENRICHED) if S.ENRICHED in items.columns else F.lit(0).cast("long")
     counted = items.agg(F.count(F.lit(1)).alias("n_rows"), filled.alias("n_enriched"))
     return counted.withColumn(
-        "needs_enrichment", ~(F.col("n_enriched") > F.lit(S.ENRICHED_SHARE) * F.col("n_rows"))
+        "needs_enrichment", ~(F.col("n_enriched") > F.lit(float(share)) * F.col("n_rows"))
     )
 
 
-def needs_enrichment(items: DataFrame) -> bool:
+def needs_enrichment(items: DataFrame, share: float = S.ENRICHED_SHARE) -> bool:
     if S.ENRICHED not in items.columns:
         return True
-    return enrichment_coverage(items).first()["needs_enrichment"]
+    return enrichment_coverage(items, share).first()["needs_enrichment"]

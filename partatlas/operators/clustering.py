@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from partatlas import schema as S
 from partatlas.functions.forest import spanning_edges
-from partatlas.operators.blocks import cells, chunked, members_of, one_group
+from partatlas.operators.blocks import grid, members_of
 from partatlas.operators.graph import connected_components
 from partatlas.operators.order import positions
+from partatlas.operators.pivots import PivotCells, pivot_cells
 from partatlas.operators.skew import attach_by_key
 from partatlas.staging import stage
 
@@ -70,13 +71,8 @@ def _column(members, field):
     return members.field(field).to_numpy(zero_copy_only=False)
 
 
-def _all_cells(points: DataFrame) -> DataFrame:
-    pair, members = one_group(points)
-    return cells(pair, chunked(members), [])
-
-
 def neighbour_pairs(index: VectorIndex, threshold: float = S.SIMILARITY_THRESHOLD) -> DataFrame:
-    """Pairs of distinct vectors with cosine >= threshold."""
+    """Pairs of distinct vectors with cosine >= threshold; groups too far apart never meet."""
 
     def run(batches):
         for batch in batches:
@@ -97,11 +93,11 @@ def neighbour_pairs(index: VectorIndex, threshold: float = S.SIMILARITY_THRESHOL
                     names=["row_i", "row_j", "cosine", "row_pairs"],
                 )
 
-    table = _all_cells(index.normalised())
-    return table.mapInArrow(run, "row_i bigint, row_j bigint, cosine double, row_pairs bigint")
+    cells = pivot_cells(stage(index.normalised()), threshold)
+    return grid(cells.within(), cells.points, [], run, "row_i bigint, row_j bigint, cosine double, row_pairs bigint")
 
 
-def _neighbour_counts(table: DataFrame, threshold: float) -> DataFrame:
+def _neighbour_counts(cells: PivotCells, threshold: float) -> DataFrame:
     """Rows within reach of every distinct vector, itself included."""
 
     def run(batches):
@@ -114,10 +110,11 @@ def _neighbour_counts(table: DataFrame, threshold: float) -> DataFrame:
                 for members, counts in parts:
                     yield pa.RecordBatch.from_arrays([members.field("id"), pa.array(counts)], names=["id", "near"])
 
-    return table.mapInArrow(run, "id bigint, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
+    counted = grid(cells.within(), cells.points, [], run, "id bigint, near bigint")
+    return counted.groupBy("id").agg(F.sum("near").alias("near"))
 
 
-def _core_forest(table: DataFrame, threshold: float) -> DataFrame:
+def _core_forest(cells: PivotCells, cores: DataFrame, threshold: float) -> DataFrame:
     """Edges that connect the core vectors as all their neighbour pairs would."""
 
     def run(batches):
@@ -127,11 +124,11 @@ def _core_forest(table: DataFrame, threshold: float) -> DataFrame:
                 src, dst = spanning_edges(_column(a, "id")[i], _column(b, "id")[j])
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return table.mapInArrow(run, "src bigint, dst bigint")
+    return grid(cells.within(), cores, [], run, "src bigint, dst bigint")
 
 
-def _border_labels(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Lowest cluster among the core neighbours of every other vector (side a)."""
+def _border_labels(cells: PivotCells, others: DataFrame, cores: DataFrame, threshold: float) -> DataFrame:
+    """Lowest cluster among the core neighbours of every other vector."""
 
     def run(batches):
         for batch in batches:
@@ -143,15 +140,10 @@ def _border_labels(pairs: DataFrame, threshold: float) -> DataFrame:
                     [a.field("id").take(pa.array(hit)), pa.array(lowest[hit])], names=["id", "cluster"]
                 )
 
-    return pairs.mapInArrow(run, "id bigint, cluster bigint").groupBy("id").agg(F.min("cluster").alias("cluster"))
-
-
-def _two_groups(others: DataFrame, cores: DataFrame) -> DataFrame:
-    """Cells of group 0 (`others`) against group 1 (`cores`)."""
-    pair = others.sparkSession.range(1).select(F.col("id").alias("group_i"), (F.col("id") + 1).alias("group_j"))
-    tagged = others.withColumn("cluster", F.lit(None).cast("long")).withColumn("group_id", F.lit(0).cast("long"))
-    members = tagged.unionByName(cores.withColumn("group_id", F.lit(1).cast("long")))
-    return cells(pair, chunked(members), [])
+    sides = [others.withColumn("cluster", F.lit(None).cast("long")), cores]
+    sides = [df.select("id", "unit", "cluster", (F.col("group_id") * 2 + k).alias("group_id")) for k, df in enumerate(sides)]
+    found = grid(cells.between(), sides[0].unionByName(sides[1]), [], run, "id bigint, cluster bigint")
+    return found.groupBy("id").agg(F.min("cluster").alias("cluster"))
 
 
 def dbscan(
@@ -165,17 +157,17 @@ def dbscan(
     included. Clusters are numbered by their lowest core row; a border row takes
     the lowest cluster among its core neighbours; the rest is noise, −1.
     """
-    points = stage(index.normalised())
-    counts = stage(_neighbour_counts(_all_cells(points), threshold))
-    flagged = stage(points.join(counts.where(F.col("near") >= min_neighbours).select("id", F.lit(True).alias("core")), "id", "left"))
-    cores = flagged.where("core").select("id", "n", "unit")
-    linked = connected_components(_core_forest(_all_cells(cores), threshold))
+    cells = pivot_cells(stage(index.normalised()), threshold)
+    counts = stage(_neighbour_counts(cells, threshold))
+    flagged = stage(cells.points.join(counts.where(F.col("near") >= min_neighbours).select("id", F.lit(True).alias("core")), "id", "left"))
+    cores = flagged.where("core").select("group_id", "id", "unit")
+    linked = connected_components(_core_forest(cells, cores, threshold))
     component = cores.select("id").join(linked.withColumnRenamed("node", "id"), "id", "left")
     component = stage(component.withColumn("component", F.coalesce("component", "id")))
     numbered = positions(component.select("component").distinct(), ["component"], "cluster")
     core_labels = stage(component.join(numbered, "component").select("id", "cluster"))
-    others = flagged.where(F.col("core").isNull()).select("id", "n", "unit")
-    border = _border_labels(_two_groups(others, cores.join(core_labels, "id")), threshold)
+    others = flagged.where(F.col("core").isNull()).select("group_id", "id", "unit")
+    border = _border_labels(cells, others, cores.join(core_labels, "id"), threshold)
     noise = others.select("id").join(border, "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(NOISE)))
     labels = core_labels.unionByName(noise).withColumn("cluster", F.col("cluster").cast("int"))
     return index.spread_to_rows(labels)

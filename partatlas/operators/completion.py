@@ -6,6 +6,7 @@ partitions of a wave, and turns a failing prompt into a row with an error.
 """
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,14 @@ _ANSWERS = "result string, status string, error string, _key binary"
 Complete = Callable[[Sequence[str]], Sequence[str]]
 
 
+@dataclass(frozen=True)
+class Calls:
+    """How prompts are asked: so many calls at once, and a folder that keeps the answers for later runs."""
+
+    at_once: int = CALLS_AT_ONCE
+    store: str | None = None
+
+
 def offline_complete(prompts: Sequence[str]) -> list[str]:
     """Deterministic stand-in for a service: the first three words after the last colon.
 
@@ -68,30 +77,39 @@ def complete_text(
     """`prompted` (with row_id and prompt) plus result, status and error.
 
     Prompts are asked in waves of a bounded number, and the answers of every wave are written
-    before the next begins. A task that fails asks its part of one wave again. With `store`, a
-    folder for answers, a later run asks only prompts that have no good answer there.
+    before the next begins. The open prompts are laid out by wave once, so a wave reads its own
+    only. A task that fails asks its part of one wave again. With `store`, a folder for answers,
+    a later run asks only prompts that have no good answer there.
     """
     spark = prompted.sparkSession
     rows = stage(prompted.withColumn("_key", F.unhex(F.sha2("prompt", 256))))
-    distinct = rows.groupBy("_key").agg(F.first("prompt").alias("prompt"), F.count(F.lit(1)).alias("_n"))
+    distinct = rows.groupBy("_key").agg(F.first("prompt").alias("prompt"))
     path = store or new_path(spark)
-    open_ = distinct
     if store and exists(spark, store):
         good = spark.read.schema(_ANSWERS).parquet(store).where("status = 'ok'")
-        open_ = stage(distinct.join(good, "_key", "left_anti"))
-    waves = max(1, -(-open_.count() // (calls_at_once * PROMPTS_PER_CALL * CALLS_PER_WAVE)))
-    for wave in range(waves):
-        now = open_.where(F.pmod(F.xxhash64("_key"), F.lit(waves)) == wave)
-        asked = now.repartition(calls_at_once, "_key").select("prompt").mapInPandas(
+        distinct = distinct.join(good, "_key", "left_anti")
+    # how many prompts are open is only known once they are written, so the key says the wave
+    waves = max(1, -(-rows.select("_key").distinct().count() // (calls_at_once * PROMPTS_PER_CALL * CALLS_PER_WAVE)))
+    wave = F.pmod(F.xxhash64("_key"), F.lit(waves)).cast("int")
+    open_ = stage(distinct.withColumn("wave", wave).repartition("wave"), by="wave")
+    for now in sorted(r["wave"] for r in open_.select("wave").distinct().collect()):
+        asked = open_.where(F.col("wave") == now).repartition(calls_at_once, "_key").select("prompt").mapInPandas(
             _calling(complete), "result string, status string, error string, prompt string"
         )
         asked.withColumn("_key", F.unhex(F.sha2("prompt", 256))).drop("prompt").write.mode("append").parquet(path)
+    if not exists(spark, path):
+        spark.createDataFrame([], _ANSWERS).write.parquet(path)
     answer = F.max_by(F.struct("result", "status", "error"), F.col("status") == "ok").alias("a")
-    answers = spark.read.schema(_ANSWERS).parquet(path).groupBy("_key").agg(answer).select("_key", "a.*")
+    answers = asked_prompts(spark, path).groupBy("_key").agg(answer).select("_key", "a.*")
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     return attach_by_key(rows, answers.join(counts, "_key"), "_key", "_n", [S.ROW]).drop("_key", "_n")
 
 
+def asked_prompts(spark, store: str) -> DataFrame:
+    """The log of a folder of answers: result, status and error of every prompt that was asked."""
+    return spark.read.schema(_ANSWERS).parquet(store)
+
+
 def _given(items: DataFrame, column: str, default: str = "") -> Column:
     return F.coalesce(F.col(column), F.lit(default)) if column in items.columns else F.lit(default)
 
@@ -149,25 +167,30 @@ def category_prompts(items: DataFrame, main: str, short: bool = False) -> DataFr
     )
 
 
-def enrich_descriptions(items: DataFrame, complete: Complete) -> tuple[DataFrame, DataFrame]:
+def enrich_descriptions(items: DataFrame, complete: Complete, calls: Calls = Calls()) -> tuple[DataFrame, DataFrame]:
     """Items with the enriched column, and the completion log."""
-    log = stage(complete_text(items.select(S.ROW, enrichment_prompt(items).alias("prompt")), complete))
+    prompted = items.select(S.ROW, enrichment_prompt(items).alias("prompt"))
+    log = stage(complete_text(prompted, complete, calls.at_once, calls.store))
     answers = log.select(S.ROW, F.col("result").alias(S.ENRICHED))
     return items.drop(S.ENRICHED).join(answers, S.ROW), log
 
 
-def _two_passes(items: DataFrame, complete: Complete, short: bool) -> DataFrame:
+def _two_passes(items: DataFrame, complete: Complete, short: bool, calls: Calls) -> DataFrame:
     """(row_id, main_answer, sub_answer, failed, error): the sub prompt embeds the main answer.
 
     A row whose main prompt fails is not asked for a sub-category.
     """
-    first = stage(complete_text(items.select(S.ROW, main_prompt(items, short).alias("prompt")), complete)).select(
+    asked = items.select(S.ROW, main_prompt(items, short).alias("prompt"))
+    first = stage(complete_text(asked, complete, calls.at_once, calls.store)).select(
         S.ROW, F.col("result").alias("main_answer"), F.col("status").alias("main_status"), F.col("error").alias("main_error")
     )
     answered = items.join(first.where(F.col("main_status") == "ok"), S.ROW)
     second = stage(
         complete_text(
-            answered.select(S.ROW, sub_prompt(items, F.col("main_answer"), short).alias("prompt")), complete
+            answered.select(S.ROW, sub_prompt(items, F.col("main_answer"), short).alias("prompt")),
+            complete,
+            calls.at_once,
+            calls.store,
         )
     ).select(S.ROW, F.col("result").alias("sub_answer"), F.col("status").alias("sub_status"), F.col("error").alias("sub_error"))
     failed = ~(F.col("main_status").eqNullSafe("ok") & F.col("sub_status").eqNullSafe("ok"))
@@ -176,12 +199,12 @@ def _two_passes(items: DataFrame, complete: Complete, short: bool) -> DataFrame:
     )
 
 
-def reevaluate_categories(items: DataFrame, complete: Complete) -> DataFrame:
+def reevaluate_categories(items: DataFrame, complete: Complete, calls: Calls = Calls()) -> DataFrame:
     """Categories of every row by completion, with change flags.
 
     Where only the sub prompt fails, the main answer is given up as well.
     """
-    answers = _two_passes(items, complete, short=False)
+    answers = _two_passes(items, complete, False, calls)
     known = answers.select(
         S.ROW,
         F.when(F.col("failed"), F.lit(S.UNKNOWN)).otherwise(F.col("main_answer")).alias("llm_main_category"),
@@ -192,7 +215,7 @@ def reevaluate_categories(items: DataFrame, complete: Complete) -> DataFrame:
     )
 
 
-def llm_fallback(routed: DataFrame, complete: Complete, short: bool = True) -> DataFrame:
+def llm_fallback(routed: DataFrame, complete: Complete, short: bool = True, calls: Calls = Calls()) -> DataFrame:
     """Rows with `needs_completion` get both categories by completion, at confidence 0.
 
     Adds `completion_failed`; the other rows pass through.
@@ -200,7 +223,7 @@ def llm_fallback(routed: DataFrame, complete: Complete, short: bool = True) -> D
     routed = stage(routed)
     base = [c for c in routed.columns if c not in categorize.PREDICTION_DEFAULTS]
     sent = routed.where("needs_completion")
-    answers = _two_passes(sent, complete, short)
+    answers = _two_passes(sent, complete, short, calls)
     unknown = F.lit(S.UNKNOWN)
     done = sent.select(*base).join(answers, S.ROW).select(
         *base,
@@ -218,7 +241,7 @@ def llm_fallback(routed: DataFrame, complete: Complete, short: bool = True) -> D
 
 
 def fallback_uncertain_parts(
-    routed: DataFrame, complete: Complete, threshold: float = S.CONFIDENCE_THRESHOLD
+    routed: DataFrame, complete: Complete, threshold: float = S.CONFIDENCE_THRESHOLD, calls: Calls = Calls()
 ) -> DataFrame:
     """Replace only the categories whose own confidence is too low, with the long prompts.
 
@@ -228,14 +251,15 @@ def fallback_uncertain_parts(
     rows = stage(routed)
     low_main = F.col("main_category_confidence") < threshold
     low_sub = F.col("sub_category_confidence") < threshold
-    first = stage(complete_text(rows.where(low_main).select(S.ROW, main_prompt(rows).alias("prompt")), complete))
+    asked = rows.where(low_main).select(S.ROW, main_prompt(rows).alias("prompt"))
+    first = stage(complete_text(asked, complete, calls.at_once, calls.store))
     main = rows.join(first.select(S.ROW, F.col("result").alias("_main"), F.col("status").alias("_ms")), S.ROW, "left")
     main = stage(
         main.withColumn("_failed", F.coalesce(F.col("_ms") != "ok", F.lit(False)))
         .withColumn("_name", F.coalesce("_main", "predicted_main_category"))
     )
     to_ask = main.where(low_sub & ~F.col("_failed")).select(S.ROW, sub_prompt(main, F.col("_name")).alias("prompt"))
-    second = stage(complete_text(to_ask, complete))
+    second = stage(complete_text(to_ask, complete, calls.at_once, calls.store))
     both = main.join(second.select(S.ROW, F.col("result").alias("_sub"), F.col("status").alias("_ss")), S.ROW, "left")
     failed = F.col("_failed") | F.coalesce(F.col("_ss") != "ok", F.lit(False))
     return both.withColumns(

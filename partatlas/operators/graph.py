@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partatlas import schema as S
-from partatlas.functions.forest import spanning_edges
+from partatlas.functions.forest import maximum_forest, spanning_edges
 from partatlas.operators.skew import attach_by_key
 from partatlas.staging import stage
 
@@ -130,3 +130,61 @@ def connected_components(edges: DataFrame, levels: bool = False) -> DataFrame:
     roots = star.select("level", F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     found = star.select("level", F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     return found if levels else found.drop("level")
+
+
+def _maximum_forest_of_partition(batches):
+    """Arrow function: a maximum spanning forest of the edges of this partition."""
+    held, size = [], 0
+
+    def reduced():
+        src, dst, weight = (np.concatenate(x) for x in zip(*held))
+        at = maximum_forest(src, dst, weight)
+        return src[at], dst[at], weight[at]
+
+    def batch_of(columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["src", "dst", "weight"])
+
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "weight")))
+        size += batch.num_rows
+        if size > FOREST_LIMIT:
+            held = [reduced()]
+            size = len(held[0][0])
+            if size > FOREST_LIMIT // 2:
+                yield batch_of(held[0])
+                held, size = [], 0
+    if held:
+        yield batch_of(reduced())
+
+
+def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight): a maximum spanning forest of weighted edges, whose components at any weight are the graph's.
+
+    An edge that is not in the forest of some of the edges is not in that of all, so every
+    partition is reduced to its own forest first. Borůvka's rounds follow: each component takes the
+    heaviest edge that leaves it (of equal ones, the lowest), and components so connected become one.
+    """
+    spark = edges.sparkSession
+    plain = edges.where(F.col("src") != F.col("dst")).select(
+        F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")
+    )
+    local = plain.mapInArrow(_maximum_forest_of_partition, "src bigint, dst bigint, weight double")
+    open_ = stage(local.select("*", F.col("src").alias("u"), F.col("dst").alias("v")))
+    forest = spark.createDataFrame([], "src bigint, dst bigint, weight double")
+    ends = F.array(F.col("u"), F.col("v"))
+    order = F.struct("weight", -F.least("src", "dst"), -F.greatest("src", "dst"))
+    edge = F.struct("src", "dst", "weight", "u", "v")
+    while not open_.isEmpty():
+        first = open_.select(F.explode(ends).alias("node"), order.alias("o"), edge.alias("e")).groupBy("node").agg(F.max_by("e", "o").alias("e"))
+        chosen = stage(first.select("e.*").distinct())
+        forest = forest.unionByName(chosen.select("src", "dst", "weight"))
+        joined = connected_components(chosen.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+        sizes = open_.select(F.explode(ends).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        facts = stage(joined.join(sizes, "node"))
+        for end in ("u", "v"):
+            named = facts.select(F.col("node").alias(end), F.col("component").alias("_label"), "degree")
+            open_ = attach_by_key(open_, named, end, "degree", ["src", "dst"]).drop(end, "degree").withColumnRenamed("_label", end)
+        between = open_.where(F.col("u") != F.col("v")).withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
+        best = between.groupBy("u", "v").agg(F.max_by(F.struct("src", "dst", "weight"), order).alias("e"))
+        open_ = stage(best.select("e.*", "u", "v"))
+    return forest

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from partatlas import schema as S
 from partatlas.functions.text import tokens
-from partatlas.operators import sku_pairs, tfidf
+from partatlas.operators import qgrams, sku_pairs, tfidf
 from partatlas.operators.best_text import best_partners
-from partatlas.operators.blocks import one_group
-from partatlas.operators.graph import connected_components
+from partatlas.operators.blocks import grid
+from partatlas.operators.graph import connected_components, maximum_spanning_forest
 from partatlas.operators.index import ItemIndex
 from partatlas.operators.skew import attach_by_key
 from partatlas.staging import stage
@@ -83,9 +83,7 @@ def _ordered(pairs: DataFrame, *extra) -> DataFrame:
 
 def sku_similarity_pairs(index: ItemIndex, threshold: float = S.SIMILARITY_THRESHOLD) -> DataFrame:
     """Pairs of distinct catalogue numbers with ratio >= threshold and their row pairs."""
-    pair, members = one_group(index.skus)
-    floored = pair.withColumn("floor", F.lit(float(threshold)))
-    pairs = sku_pairs.matching_pairs(floored, members, {}).withColumn("sku_sim", _rounded(F.col("sku_sim")))
+    pairs = qgrams.pairs_above(index.skus, threshold).withColumn("sku_sim", _rounded(F.col("sku_sim")))
     return (
         _ordered(pairs, "sku_sim")
         .where(F.col("sku_sim") >= threshold)
@@ -94,36 +92,44 @@ def sku_similarity_pairs(index: ItemIndex, threshold: float = S.SIMILARITY_THRES
 
 
 def _text_groups(index: ItemIndex, threshold: float) -> DataFrame:
-    """Text pairs (and each text with itself) that can reach the threshold, with the ratio they need."""
+    """Pairs of different texts that can reach the threshold, with the ratio they need."""
     tau = (threshold - S.SKU_WEIGHT) / S.DESC_WEIGHT - BOUND_SLACK
     between = tfidf.text_pairs(index.vectors, tau).select("text_i", "text_j", "desc_sim")
-    own = index.vectors.select(
-        F.col("text_id").alias("text_i"), F.col("text_id").alias("text_j"), F.lit(1.0).alias("desc_sim")
-    )
     floor = (F.lit(float(threshold)) - F.lit(S.DESC_WEIGHT) * F.col("desc_sim")) / F.lit(S.SKU_WEIGHT)
-    return between.unionByName(own).withColumn("floor", floor)
+    return between.withColumn("floor", floor)
+
+
+def _pairs_of_equal_text(index: ItemIndex, threshold: float) -> DataFrame:
+    """Pairs of profiles with one text, which need a ratio of (t - 0.6) / 0.4."""
+    floor = (threshold - S.DESC_WEIGHT) / S.SKU_WEIGHT
+    with_terms = index.profiles.join(index.vectors.select("text_id"), "text_id", "left_semi")
+    if floor > 1.0 + sku_pairs.FLOOR_SLACK:
+        with_terms = with_terms.limit(0)
+    return _ordered(qgrams.pairs_above(with_terms, floor, "text_id"), "sku_sim").withColumn("desc_sim", F.lit(1.0))
 
 
 def _pairs_without_common_terms(index: ItemIndex, threshold: float, groups: DataFrame) -> DataFrame:
     """Pairs that reach a threshold of at most 0.4 on the catalogue number alone."""
-    pair, members = one_group(index.profiles.select("id", "sku", "n", "last"))
-    floored = pair.withColumn("floor", F.lit(threshold / S.SKU_WEIGHT))
-    pairs = _ordered(sku_pairs.matching_pairs(floored, members, {}), "sku_sim")
+    pairs = _ordered(qgrams.pairs_above(index.profiles, threshold / S.SKU_WEIGHT), "sku_sim")
     text = index.profiles.select("id", "text_id")
     located = pairs.join(text.toDF("row_i", "text_a"), "row_i").join(text.toDF("row_j", "text_b"), "row_j")
     located = located.withColumn("text_i", F.least("text_a", "text_b")).withColumn(
         "text_j", F.greatest("text_a", "text_b")
     )
-    sharing = groups.select("text_i", "text_j")
+    own = index.vectors.select(F.col("text_id").alias("text_i"), F.col("text_id").alias("text_j"))
+    sharing = groups.select("text_i", "text_j").unionByName(own)
     return located.join(sharing, ["text_i", "text_j"], "left_anti").withColumn("desc_sim", F.lit(0.0))
 
 
-def similar_pairs(index: ItemIndex, threshold: float = S.SIMILARITY_THRESHOLD, strict: bool = False) -> DataFrame:
+def similar_pairs(
+    index: ItemIndex, threshold: float = S.SIMILARITY_THRESHOLD, strict: bool = False, equal_texts: bool = True
+) -> DataFrame:
     """Pairs of profiles with a combined score at (or, if strict, above) the threshold.
 
     A profile is a distinct catalogue number with a distinct text; `row_pairs`
     counts the row pairs behind it, and a profile of several rows is also paired
-    with itself. `expand_rows` lists the single row pairs.
+    with itself. `expand_rows` lists the single row pairs. Without `equal_texts`, only profiles of
+    different texts are paired.
 
     The text pairs come first: the score can only be reached if the cosine is at
     least (t − 0.4) / 0.6, and each text pair then says which ratio it needs.
@@ -133,17 +139,17 @@ def similar_pairs(index: ItemIndex, threshold: float = S.SIMILARITY_THRESHOLD, s
         {"text_i": "group_i", "text_j": "group_j"}
     )
     members = index.profiles.withColumnRenamed("text_id", "group_id")
-    found = sku_pairs.matching_pairs(
-        wanted, members, {"group_i": "bigint", "group_j": "bigint", "desc_sim": "double"}
-    )
+    found = sku_pairs.matching_pairs(wanted, members, {"desc_sim": "double"})
     pairs = _ordered(found, "sku_sim", "desc_sim")
+    if equal_texts:
+        pairs = pairs.unionByName(_pairs_of_equal_text(index, threshold))
     if threshold <= S.SKU_WEIGHT:
         apart = _pairs_without_common_terms(index, threshold, groups)
         pairs = pairs.unionByName(apart.select(*pairs.columns))
     pairs = pairs.withColumn("row_pairs", F.col("n_i") * F.col("n_j"))
-    scored = pairs.unionByName(_own_pairs(index)).withColumn(
-        "combined", combined_score(F.col("sku_sim"), F.col("desc_sim"))
-    )
+    if equal_texts:
+        pairs = pairs.unionByName(_own_pairs(index))
+    scored = pairs.withColumn("combined", combined_score(F.col("sku_sim"), F.col("desc_sim")))
     reached = F.col("combined") > threshold if strict else F.col("combined") >= threshold
     return scored.where(reached).select(
         "row_i",
@@ -208,6 +214,31 @@ def similar_pairs_detail(index: ItemIndex, pairs: DataFrame) -> DataFrame:
     return scores
 
 
+def network_stars(index: ItemIndex, threshold: float = S.NETWORK_THRESHOLD) -> DataFrame:
+    """(text_id, head, id, catalog_no, size): the part of the network that equal texts make, a row per profile.
+
+    Catalogue numbers with one text score 0.6 or more whatever they are, so each text is a clique.
+    It is written as a star: its `size`, and every member with the first one. Texts of a single
+    catalogue number are left out. Together with `similar_pairs` of different texts
+    (`equal_texts=False`) this is the network; `expand_stars` gives the edges.
+    """
+    if threshold >= S.DESC_WEIGHT:
+        raise ValueError(f"equal texts alone do not reach a score above {threshold}")
+    members = index.profiles.join(index.vectors.select("text_id"), "text_id", "left_semi")
+    facts = members.groupBy("text_id").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    named = attach_by_key(members.select("text_id", "id", "sku"), facts, "text_id", "size", ["id"])
+    return named.select("text_id", "head", "id", F.col("sku").alias(S.CATALOG), "size")
+
+
+def expand_stars(index: ItemIndex, stars: DataFrame) -> DataFrame:
+    """(row_i, row_j, catalog_no_i, catalog_no_j, combined) of every two members of a star."""
+    wanted = stars.select("text_id", "id")
+    members = index.profiles.join(wanted, ["text_id", "id"], "left_semi")
+    pairs = _ordered(qgrams.pairs_above(members, 0.0, "text_id"), "sku_sim")
+    score = combined_score(F.col("sku_sim"), F.lit(1.0))
+    return pairs.select("row_i", "row_j", "catalog_no_i", "catalog_no_j", score.alias("combined"))
+
+
 def item_similarity_profile(index: ItemIndex, threshold: float = S.SIMILARITY_THRESHOLD) -> DataFrame:
     """Per catalogue number: partners, mean ratio, mean of the ratios at or above the threshold, best partner."""
     profile = stage(sku_pairs.sku_profile(index.skus, threshold))
@@ -229,8 +260,59 @@ def item_similarity_profile(index: ItemIndex, threshold: float = S.SIMILARITY_TH
     )
 
 
-def best_sku_match(profile: DataFrame) -> DataFrame:
-    return profile.select(S.CATALOG, "highest_sku_similarity", "most_similar_sku")
+SKU_TIERS = (0.9, 0.75)
+
+
+def best_sku_match(index: ItemIndex, tiers: tuple = SKU_TIERS) -> DataFrame:
+    """Most similar other catalogue number and the ratio; the first one where several are as similar.
+
+    Numbers look for partners at a high ratio first, where the index prunes; only those that find
+    none go on to the next, and what is left at the end meets all others.
+    """
+    pending = index.skus.select("id")
+    found = None
+    for tier in tiers:
+        asking = pending.withColumn("pending", F.lit(True))
+        members = index.skus.join(asking, "id", "left").withColumn("pending", F.coalesce("pending", F.lit(False)))
+        pairs = stage(qgrams.indexed_pairs(members, tier, pending="pending"))
+        best = stage(_best_of_pairs(pairs).join(pending, "id", "left_semi"))
+        found = best if found is None else found.unionByName(best)
+        pending = stage(pending.join(best, "id", "left_anti"))
+        if pending.isEmpty():
+            break
+    else:
+        rest = _best_of_all(index, pending)
+        found = rest if found is None else found.unionByName(rest)
+    names = index.skus.select(F.col("id").alias("top_id"), F.col("sku").alias("most_similar_sku"))
+    return (
+        index.skus.select("id", F.col("sku").alias(S.CATALOG))
+        .join(found, "id", "left")
+        .join(names, "top_id", "left")
+        .select(S.CATALOG, _rounded(F.col("top")).alias("highest_sku_similarity"), "most_similar_sku")
+    )
+
+
+def _best(parts: DataFrame) -> DataFrame:
+    """(id, top, top_id) of (id, top, top_id) with several rows per id; ties go to the lowest top_id."""
+    best = parts.groupBy("id").agg(F.max(F.struct("top", (-F.col("top_id")).alias("neg_id"))).alias("b"))
+    return best.select("id", F.col("b.top").alias("top"), (-F.col("b.neg_id")).alias("top_id"))
+
+
+def _best_of_pairs(pairs: DataFrame) -> DataFrame:
+    ends = F.array(
+        F.struct(F.col("a.id").alias("id"), F.col("sku_sim").alias("top"), F.col("b.id").alias("top_id")),
+        F.struct(F.col("b.id").alias("id"), F.col("sku_sim").alias("top"), F.col("a.id").alias("top_id")),
+    )
+    return _best(pairs.select(F.explode(ends).alias("e")).select("e.*"))
+
+
+def _best_of_all(index: ItemIndex, pending: DataFrame) -> DataFrame:
+    """The best partner of every pending catalogue number among all."""
+    asking = pending.withColumn("group_id", F.lit(0).cast("long"))
+    members = index.skus.join(asking, "id", "left").withColumn("group_id", F.coalesce("group_id", F.lit(1)))
+    pairs = index.skus.sparkSession.createDataFrame([(0, 0), (0, 1)], "group_i bigint, group_j bigint")
+    parts = grid(pairs, members, [], sku_pairs.profiling(2.0), sku_pairs.PROFILE)
+    return _best(parts.where(F.col("partners") > 0).join(pending, "id", "left_semi"))
 
 
 BEST_TIERS = (0.9,)
@@ -380,10 +462,13 @@ def similarity_lookup(items: DataFrame, requested: DataFrame) -> DataFrame:
         seen = known.select(F.col(S.CATALOG).alias(f"catalog_no_{side}"), F.lit(True).alias(f"known_{side}"))
         wanted = wanted.join(seen, f"catalog_no_{side}", "left")
     found = F.coalesce(F.col("known_i") & F.col("known_j"), F.lit(False))
-    score = sku_pairs.sku_similarity(F.col("catalog_no_i"), F.col("catalog_no_j"))
-    return wanted.select(
-        "catalog_no_i", "catalog_no_j", found.alias("found"), F.when(found, _rounded(score)).alias("sku_sim")
+    flagged = stage(wanted.select("catalog_no_i", "catalog_no_j", found.alias("found")))
+    scored = flagged.where("found").select("catalog_no_i", "catalog_no_j").mapInArrow(
+        sku_pairs.ratios, "catalog_no_i string, catalog_no_j string, sku_sim double"
     )
+    unknown = flagged.where("NOT found").withColumn("sku_sim", F.lit(None).cast("double"))
+    known_pairs = scored.select("catalog_no_i", "catalog_no_j", F.lit(True).alias("found"), _rounded(F.col("sku_sim")).alias("sku_sim"))
+    return known_pairs.unionByName(unknown)
 
 
 def catalog_edges(index: ItemIndex, pairs: DataFrame, *extra) -> DataFrame:
@@ -411,27 +496,37 @@ def description_mean_all(index: ItemIndex) -> DataFrame:
     )
 
 
-def threshold_sweep(index: ItemIndex, thresholds: list[float], profile: DataFrame | None = None) -> DataFrame:
+def threshold_sweep(
+    index: ItemIndex, thresholds: list[float], profile: DataFrame | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """Pair, mean and component statistics for every threshold.
 
-    Pairs are found once, at the lowest threshold; components of all thresholds
-    are found in one run over edges labelled with their threshold.
+    `pairs`, if given, are the similar pairs at the lowest threshold or below.
+
+    Pairs are found once, at the lowest threshold. Their maximum spanning forest has the
+    components of every threshold, so it takes the place of the pairs there: with a row per
+    catalogue number at most, it is labelled with the thresholds an edge reaches.
     """
     spark = index.items.sparkSession
     if profile is None:
         profile = item_similarity_profile(index)
-    pairs = stage(similar_pairs(index, min(thresholds)))
+    pairs = stage(similar_pairs(index, min(thresholds))) if pairs is None else pairs.where(F.col("combined") >= min(thresholds))
     levels = spark.createDataFrame([(k, float(t)) for k, t in enumerate(thresholds)], "level int, threshold double")
-    # the thresholds a pair reaches, as an array, so that no join is needed
+    sums = pairs.agg(
+        *[F.sum(F.when(F.col("combined") >= float(t), F.col("row_pairs"))).alias(f"at_{k}") for k, t in enumerate(thresholds)]
+    )
+    counts = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"at_{k}").alias("pairs")) for k in range(len(thresholds))])).alias("c")).select("c.*")
+    edges = catalog_edges(index, pairs, F.col("combined").alias("weight"))
+    if len(thresholds) > 1:
+        edges = maximum_spanning_forest(edges)
     reached = F.explode(
         F.filter(
             F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(t)).alias("t")) for k, t in enumerate(thresholds)]),
-            lambda x: x.t <= F.col("combined"),
+            lambda x: x.t <= F.col("weight"),
         )
     )
-    at_level = pairs.withColumn("_r", reached).withColumn("level", F.col("_r.level"))
-    counts = at_level.groupBy("level").agg(F.sum("row_pairs").alias("pairs"))
-    components = component_sizes(index, catalog_edges(index, at_level, "level"), len(thresholds))
+    at_level = edges.withColumn("_r", reached).select("src", "dst", F.col("_r.level").alias("level"))
+    components = component_sizes(index, at_level, len(thresholds))
     n = index.n_rows
     # sum over ordered row pairs: n_i · (all rows' ratios) plus every row with the rows of its own number
     sku_mean = profile.agg(

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from partatlas import schema as S
 from partatlas.functions.lcs import Strings, lcs_pairs, lcs_table, ratio
-from partatlas.operators.blocks import cells, chunked, members_of, one_group
+from partatlas.operators.blocks import grid, members_of, one_group
 
 SMALL_CELL = 4096  # cells with fewer pairs are handled many at a time
 SLICE = 1 << 19
+LOOKUP_ROWS = 4096
 FLOOR_SLACK = 3e-9  # above what rounding cosine and score to nine digits can move a ratio
 
 MEMBER = "struct<id:bigint,sku:string,n:bigint,last:bigint>"
+PROFILE = (
+    "id bigint, partners bigint, total double, row_total double, high_partners bigint, "
+    "high_total double, top double, top_id bigint"
+)
 
 
 def _both_sides(batch):
@@ -89,18 +94,18 @@ def _matching(keep):
     return run
 
 
-def matching_pairs(group_pairs: DataFrame, members: DataFrame, keep: dict[str, str], chunk_rows: int | None = None):
+def matching_pairs(group_pairs: DataFrame, members: DataFrame, keep: dict[str, str]) -> DataFrame:
     """Member pairs of every (group_i, group_j, floor) whose ratio reaches the floor.
 
     `keep` names further columns of `group_pairs` and their types. Where both
     groups are the same, every unordered pair of members is looked at once.
     """
-    table = cells(group_pairs, chunked(members, chunk_rows), [*keep, "floor"])
     kept = "".join(f"{name} {kind}, " for name, kind in keep.items())
-    return table.mapInArrow(_matching(list(keep)), f"{kept}a {MEMBER}, b {MEMBER}, sku_sim double")
+    schema = f"{kept}a {MEMBER}, b {MEMBER}, sku_sim double"
+    return grid(group_pairs, members, [*keep, "floor"], _matching(list(keep)), schema)
 
 
-def _profiling(threshold):
+def profiling(threshold):
     """Arrow function: per member of every cell, sums and the best partner over the other side."""
 
     def side(ids, n_other, ids_other, sims, counted):
@@ -145,18 +150,18 @@ def _profiling(threshold):
     return run
 
 
-def sku_profile(members: DataFrame, threshold: float, chunk_rows: int | None = None) -> DataFrame:
+def sku_profile(members: DataFrame, threshold: float) -> DataFrame:
     """Every catalogue number against all others: counts, sums, and the best partner.
 
     A mean over all partners has no shortcut for LCS, so the work grows with the
-    square of the distinct catalogue numbers; what is shuffled and written stays
-    at one row per member and cell. Ties for the best partner go to the lowest id.
+    square of the distinct catalogue numbers; what is shuffled stays at one row per
+    member and block, and what is handed on at one per member and tile. Ties for the best partner go to the lowest id.
     """
-    pair, everything = one_group(members)
-    parts = cells(pair, chunked(everything, chunk_rows), []).mapInArrow(
-        _profiling(threshold),
-        "id bigint, partners bigint, total double, row_total double, high_partners bigint, "
-        "high_total double, top double, top_id bigint",
+    parts = grid(
+        *one_group(members),
+        [],
+        profiling(threshold),
+        PROFILE,
     )
     return (
         parts.groupBy("id")
@@ -181,8 +186,20 @@ def sku_profile(members: DataFrame, threshold: float, chunk_rows: int | None = N
     )
 
 
+def ratios(batches):
+    """Arrow function: the ratio of the two catalogue numbers of every row."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, LOOKUP_ROWS):
+            part = batch.slice(begin, LOOKUP_ROWS)
+            strings = Strings(part.column(0).to_pylist() + part.column(1).to_pylist())
+            left = np.arange(part.num_rows)
+            lcs = lcs_pairs(strings, left, left + part.num_rows)
+            lengths = strings.lengths[left] + strings.lengths[left + part.num_rows]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(ratio(lcs, lengths))], names=[*batch.schema.names[:2], "sku_sim"])
+
+
 def sku_similarity(a, b):
-    """The same ratio as a column expression, for single lookups rather than volume."""
+    """The same ratio as a column expression, to check the others by."""
     row = F.aggregate(
         F.split(a, ""),
         F.array_repeat(F.lit(0), F.length(b) + 1),

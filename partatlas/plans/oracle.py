@@ -282,6 +282,43 @@ FALLBACK = f"""{PREDICTED}, first_pass AS (SELECT *, {_answer(MAIN_SHORT)} AS ma
 fallback AS (
   SELECT *, {_answer(_sub_short('ma'))} AS sa, mf OR len({_tail(_sub_short('ma'))}) = 0 AS failed FROM first_pass)"""
 
+
+
+def _limited(n: int) -> str:
+    """CTEs kept(term) and lim(text_id, n_rows, term, w): unit vectors over the n most frequent terms."""
+    return f"""kept AS (SELECT term FROM vocab ORDER BY occurrences DESC, term LIMIT {n}),
+lim AS (
+  SELECT text_id, n_rows, term, w / sqrt(sum(w * w) OVER (PARTITION BY text_id)) AS w
+  FROM weighted WHERE term IN (FROM kept))"""
+
+
+# Parts whose descriptions are the answers to their enrichment prompts.
+ENRICHED = f"""{RAW}, plain AS (
+  SELECT row_id, catalog_no, {FILLED}, {MAPPED} AS mfr_code
+  FROM raw WHERE catalog_no IS NOT NULL AND catalog_no <> 'EMPTY'),
+items AS (SELECT * REPLACE ({_answer(ENRICH)} AS description) FROM plain)"""
+
+
+def _analysis() -> str:
+    network = (
+        "SELECT DISTINCT least(sku_i, sku_j), greatest(sku_i, sku_j) FROM every "
+        "WHERE sku_i <> sku_j AND round(0.4 * s + 0.6 * d, 9) > 0.5"
+    )
+    return f"""WITH RECURSIVE {ENRICHED}, {_scored(0.7)}, {SKU_PROFILE}, {_sweep([0.7, 0.8, 0.9])},
+    counted(name, value) AS (
+      SELECT 'processed_data', count(*) FROM items UNION ALL SELECT 'cluster_results/assignments', count(*) FROM items
+      UNION ALL SELECT 'similarity/combined', count(*) FROM scored WHERE combined >= 0.8
+      UNION ALL SELECT 'similarity/sku', count(*) FROM sp WHERE s >= 0.8
+      UNION ALL SELECT 'similarity/desc', count(*) FROM text_pairs WHERE d >= 0.8
+      UNION ALL SELECT 'charts/network_vertices', count(*) FROM skus
+      UNION ALL SELECT 'charts/network_edges', count(*) FROM ({network})
+      UNION ALL SELECT 'enriched', count(*) FILTER (description <> 'Unknown') FROM items
+      UNION ALL SELECT printf('similar_pairs at %.1f', threshold), similar_pairs FROM sweep
+      UNION ALL SELECT printf('connected_components at %.1f', threshold), connected_components FROM sweep
+      UNION ALL SELECT printf('largest_component_size at %.1f', threshold), largest_component_size FROM sweep)
+    SELECT name, value::BIGINT AS value FROM counted"""
+
+
 TABLE = "row_id, catalog_no, description, main_category, sub_category, mfr_code"
 
 ORACLE = {
@@ -438,5 +475,33 @@ ORACLE = {
     "davies_bouldin": f"WITH {CLUSTERED}, {DAVIES} SELECT davies_bouldin FROM db",
     "cluster_metrics": f"""WITH {SILHOUETTE}, {CALINSKI}, {DAVIES}, {CLIQUES} SELECT silhouette, calinski_harabasz, davies_bouldin,
         round(avg_degree, 6) AS avg_degree, num_components, largest_component FROM sil JOIN ch ON true JOIN db ON true JOIN cliques ON true""",
+    "ensure_columns": f"WITH {RAW} SELECT row_id, catalog_no, 'Unknown' AS description, main_category, 'Unknown' AS sub_category, mfr_code FROM raw",
+    "tfidf_features": f"WITH {DOCS}, {UNIT}, {_limited(1000)} SELECT text_id, term, round(w, 9) AS weight FROM lim",
+    "gram_matrix": f"""WITH {DOCS}, {UNIT}, {_limited(100)} SELECT a.term AS term_i, b.term AS term_j, round(sum(a.n_rows * a.w * b.w), 6) AS product
+        FROM lim a JOIN lim b ON a.text_id = b.text_id AND a.term <= b.term GROUP BY ALL""",
+    "analyze_clusters": f"""WITH {SILHOUETTE}, {CALINSKI}, {DAVIES}, {CLIQUES},
+        measured AS (SELECT * FROM sil JOIN ch ON true JOIN db ON true JOIN cliques ON true),
+        long(part, key, value) AS (
+          SELECT 'summary', 'n_clusters', count(DISTINCT cluster)::DOUBLE FROM kept UNION ALL
+          SELECT 'summary', 'n_noise', count(*) FILTER (cluster = -1) FROM vectors UNION ALL SELECT 'summary', 'n_items', count(*) FROM vectors UNION ALL
+          SELECT 'metrics', 'silhouette', silhouette FROM measured UNION ALL SELECT 'metrics', 'calinski_harabasz', calinski_harabasz FROM measured UNION ALL
+          SELECT 'metrics', 'davies_bouldin', davies_bouldin FROM measured UNION ALL SELECT 'metrics', 'avg_degree', avg_degree FROM measured UNION ALL
+          SELECT 'metrics', 'num_components', num_components FROM measured UNION ALL SELECT 'metrics', 'largest_component', largest_component FROM measured UNION ALL
+          SELECT 'sizes', cluster::VARCHAR, count(*) FROM vectors GROUP BY cluster UNION ALL
+          SELECT 'categories', concat_ws('/', cluster, 'main', main_category), count(*) FROM vectors WHERE cluster <> -1 GROUP BY ALL UNION ALL
+          SELECT 'categories', concat_ws('/', cluster, 'sub', sub_category), count(*) FROM vectors WHERE cluster <> -1 GROUP BY ALL)
+        SELECT part, key, round(value, 6) AS value FROM long""",
+    "chart_tables": f"""WITH {ITEMS}, {_scored(0.5, strict=True)}, c(chart, n_rows) AS (
+        SELECT 'category_distribution', count(DISTINCT main_category) FROM items UNION ALL
+        SELECT 'top_subcategories', least(20, count(DISTINCT sub_category)) FROM items UNION ALL
+        SELECT 'network_vertices', count(DISTINCT catalog_no) FROM items UNION ALL
+        SELECT 'network_edges', count(*) FROM (SELECT DISTINCT least(sku_i, sku_j), greatest(sku_i, sku_j) FROM scored WHERE sku_i <> sku_j) UNION ALL
+        SELECT 'layout', count(*) FROM items UNION ALL SELECT 'chart_statistics', 1 UNION ALL
+        SELECT 'cluster_distribution', count(DISTINCT length(sub_category)) FROM items UNION ALL
+        SELECT 'category_cluster_crosstab', count(*) FROM (SELECT DISTINCT main_category, length(sub_category) FROM items))
+        SELECT chart, n_rows::BIGINT AS n_rows FROM c""",
+    "run_pipeline": _analysis(),
+    "network_stars": f"""WITH {ITEMS}, {UNIT}, {PROFILES} SELECT id, sku AS catalog_no, count(*) OVER (PARTITION BY text_id) AS size
+        FROM profiles WHERE text_id IN (SELECT text_id FROM unit) QUALIFY count(*) OVER (PARTITION BY text_id) > 1""",
     "attach_clusters": f"WITH {VECTORS} SELECT row_id, main_category, sub_category, cluster FROM vectors",
 }

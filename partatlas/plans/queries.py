@@ -1,5 +1,8 @@
 """One query per operator over the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partatlas import schema as S
@@ -18,8 +21,9 @@ from partatlas.operators import (
 )
 from partatlas.operators.index import ItemIndex
 from partatlas.plans import views
-from partatlas.plans.analysis import Settings, assign_categories
+from partatlas.plans.analysis import Settings, assign_categories, run_analysis
 from partatlas.sources import files
+from partatlas.staging import new_path, stage
 
 THRESHOLDS = [0.7, 0.8, 0.9]
 VECTOR_THRESHOLD = 0.4  # the embeddings have no denser neighbourhoods
@@ -68,6 +72,11 @@ def fill_defaults(spark, d):
     return cleaning.fill_defaults(cleaning.cast_keys(cleaning.ensure_columns(raw(spark, d))))
 
 
+def ensure_columns(spark, d):
+    """Parts of a file that has neither descriptions nor sub-categories."""
+    return cleaning.ensure_columns(raw(spark, d).drop("description", "sub_category"))
+
+
 def map_manufacturer(spark, d):
     return cleaning.map_manufacturer(raw(spark, d), views.BRAND_NAMES).select("row_id", "mfr_code")
 
@@ -243,7 +252,7 @@ def item_similarity_profile(spark, d):
 
 
 def best_sku_match(spark, d):
-    return similarity.best_sku_match(similarity.item_similarity_profile(parts_index(spark, d)))
+    return similarity.best_sku_match(parts_index(spark, d))
 
 
 def best_description_match(spark, d):
@@ -300,6 +309,10 @@ def network_edges(spark, d):
     return graph.network_edges(above, graph.graph_vertices(index.items))
 
 
+def network_stars(spark, d):
+    return similarity.network_stars(parts_index(spark, d)).drop("head", "text_id")
+
+
 def connected_components(spark, d):
     index = parts_index(spark, d)
     edges = similarity.catalog_edges(index, similarity.similar_pairs(index))
@@ -322,6 +335,34 @@ def truncated_svd(spark, d):
     return features.text_features(index, features.fit_text_features(index)).select("row_id", "features")
 
 
+def _limited(spark, d, max_features):
+    index = docs_index(spark, d)
+    terms = stage(features.limited_terms(index, max_features))
+    return terms, stage(features.tfidf_features(index.postings, terms))
+
+
+def tfidf_features(spark, d):
+    terms, vectors = _limited(spark, d, S.TFIDF_MAX_FEATURES)
+    entries = vectors.select("text_id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+    named = entries.join(F.broadcast(terms), F.col("e.terms") == F.col("position"))  # at most max_features rows
+    return named.select("text_id", "term", F.round("e.weights", 9).alias("weight"))
+
+
+def gram_matrix(spark, d):
+    """Products of the hundred most frequent terms over all documents."""
+    terms, vectors = _limited(spark, d, 100)
+    rows = features.gram_matrix(vectors, terms.count())
+    pairs = rows.select("position", F.posexplode("products").alias("other", "product"))
+    first = terms.select(F.col("position").alias("i"), F.col("term").alias("term_i"))
+    second = terms.select(F.col("position").alias("j"), F.col("term").alias("term_j"))
+    return (
+        pairs.where("position <= other AND product > 0")
+        .join(F.broadcast(first), F.col("position") == F.col("i"))  # a hundred rows
+        .join(F.broadcast(second), F.col("other") == F.col("j"))
+        .select("term_i", "term_j", F.round("product", 6).alias("product"))
+    )
+
+
 def standard_scale(spark, d):
     scaled = features.standard_scale(views.item_vectors(spark, d).select("row_id", "features"))
     return scaled.select("row_id", F.posexplode("features").alias("position", "value")).select(
@@ -450,6 +491,23 @@ def all_cluster_metrics(spark, d):
     )
 
 
+def analyze_clusters(spark, d):
+    """All tables of a cluster analysis as (part, key, value)."""
+    tables = cluster_metrics.analyze_clusters(clustered(spark, d), _labels(spark, d), views.item_vectors(spark, d))
+    measures = ["silhouette", "calinski_harabasz", "davies_bouldin", "avg_degree", "num_components", "largest_component"]
+
+    def wide(name, columns):
+        entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in columns])
+        return tables[name].select(F.lit(name).alias("part"), F.explode(entries).alias("e")).select("part", "e.*")
+
+    sizes = tables["sizes"].select(F.lit("sizes").alias("part"), F.col("cluster").cast("string").alias("key"), F.col("size").cast("double").alias("value"))
+    profile = tables["categories"].select(
+        F.lit("categories").alias("part"), F.concat_ws("/", "cluster", "level", "category").alias("key"), F.col("n").cast("double").alias("value")
+    )
+    every = wide("summary", ["n_clusters", "n_noise", "n_items"]).unionByName(wide("metrics", measures)).unionByName(sizes).unionByName(profile)
+    return every.withColumn("value", F.round("value", 6))
+
+
 def attach_clusters(spark, d):
     return clustering.attach_clusters(views.item_vectors(spark, d).drop("features"), _labels(spark, d))
 
@@ -462,6 +520,50 @@ def layout_of_similarity(spark, d):
     return charts.layout_of_similarity(parts_index(spark, d))
 
 
+def chart_tables(spark, d):
+    """Every chart table of the parts, with clusters by their brand, and its number of rows."""
+    table = items(spark, d).withColumn("cluster", F.length("sub_category"))
+    index = ItemIndex(table)
+    above = similarity.similar_pairs(index, S.NETWORK_THRESHOLD, strict=True)
+    tables = charts.chart_tables(table, above, charts.layout_of_similarity(index))
+    counts = [t.agg(F.lit(name).alias("chart"), F.count(F.lit(1)).alias("n_rows")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def run_pipeline(spark, d):
+    """The whole analysis of the parts, from a file to its result tables, as counts read from these."""
+    source, out = f"{new_path(spark)}.parquet", new_path(spark)
+    files.write_items(raw(spark, d), source)
+    settings = Settings(trees=5, depth=5, n_components=8, completion_version="offline")
+    run_analysis(
+        spark, source, out, completion.offline_complete, settings, thresholds=THRESHOLDS, names=views.BRAND_NAMES, key="row_id"
+    )
+    one = lambda name, column, value: spark.read.json(f"{out}/{name}.json").select(F.lit(column).alias("name"), value.cast("long").alias("value"))
+    rows = lambda name: spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("value"))
+    swept = spark.read.json(f"{out}/similarity_statistics.json").select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.format_string("%s at %.1f", F.lit(c), "threshold").alias("name"), F.col(c).cast("long").alias("value"))
+                    for c in ("similar_pairs", "connected_components", "largest_component_size")
+                ]
+            )
+        ).alias("e")
+    ).select("e.*")
+    found = [
+        rows("processed_data"),
+        rows("similarity/combined"),
+        rows("similarity/sku"),
+        rows("similarity/desc"),
+        rows("charts/network_vertices"),
+        rows("charts/network_edges"),
+        rows("cluster_results/assignments"),
+        one("enrichment_statistics", "enriched", F.col("enriched")),
+        swept,
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -479,7 +581,8 @@ QUERIES = {
         enrichment_prompt, category_prompts, category_prompts_short, complete_text, enrich_descriptions, llm_fallback,
         fallback_uncertain_parts, reevaluate_categories, neighbour_pairs, dbscan, kmeans_assign, cluster_summary,
         cluster_sizes, cluster_category_profile, silhouette, calinski_harabasz, davies_bouldin, all_cluster_metrics,
-        attach_clusters, layout_of_vectors, layout_of_similarity,
+        attach_clusters, layout_of_vectors, layout_of_similarity, ensure_columns, tfidf_features, gram_matrix,
+        analyze_clusters, chart_tables, run_pipeline, network_stars,
     )
 }
 QUERIES["clean_items"] = items

@@ -69,3 +69,25 @@ def test_kmeans_labels(spark):
     table = frame(spark, [[0, 0], [0, 0.1], [9, 9], [9, 9.1]])
     found = {r.row_id: r.cluster for r in clustering.kmeans_assign(table, k=2).collect()}
     assert found[0] == found[1] != found[2] == found[3]
+
+
+def test_silhouette_of_far_clusters_asks_for_few_distances(spark, tiny_limits):
+    rng = random.Random(3)
+    centres = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(15)]
+    points = [(x + rng.gauss(0, 0.5), y + rng.gauss(0, 0.5)) for x, y in centres for _ in range(4)] + [(500, 500), (7, 7)]
+    clusters = [k for k in range(15) for _ in range(4)] + [15, -1]
+    labels, vectors = labelled(spark, clusters, points)
+    open_ = cluster_metrics.open_clusters(cluster_metrics._clustered(labels, vectors)).count()
+    assert open_ < 0.25 * 61 * 15
+    gap = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
+    total = 0.0
+    for p, c in zip(points, clusters):
+        if c in (15, -1):
+            continue
+        means = {}
+        for other in range(16):
+            near = [gap(p, q) for q, d in zip(points, clusters) if d == other]
+            means[other] = sum(near) / (len(near) - (other == c))
+        inside = means.pop(c)
+        total += (min(means.values()) - inside) / max(min(means.values()), inside)
+    assert cluster_metrics.silhouette(labels, vectors).first().silhouette == pytest.approx(total / 61, abs=1e-6)

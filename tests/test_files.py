@@ -1,8 +1,9 @@
 import pytest
 
 from partatlas import schema as S
+from partatlas.operators import cleaning, completion
 from partatlas.operators.completion import offline_complete
-from partatlas.plans.analysis import Settings, run_analysis
+from partatlas.plans.analysis import Settings, enrich, run_analysis
 from partatlas.sources import files
 
 
@@ -24,6 +25,13 @@ def test_rows_keep_their_file_order(spark, tmp_path):
     assert [r.catalog_no for r in rows] == [f"AB-{k:03d}" for k in range(24)]
 
 
+def test_declared_schema(spark, tmp_path):
+    path = write_csv(tmp_path / "items.csv", ["CatalogNo,Description,Weight", "A1,bolt,2.5", "A2,,x"])
+    items = files.read_items(spark, path, schema="CatalogNo string, Description string, Weight double")
+    assert dict(items.dtypes)["Weight"] == "double"
+    assert [(r.catalog_no, r.description, r.Weight) for r in items.orderBy(S.ROW).collect()] == [("A1", "bolt", 2.5), ("A2", None, None)]
+
+
 @pytest.mark.parametrize("suffix", ["csv", "parquet", "json"])
 def test_round_trip(spark, tmp_path, suffix):
     items = files.read_items(spark, write_csv(tmp_path / "items.csv", item_lines(5)))
@@ -69,6 +77,45 @@ def test_whole_analysis(spark, tmp_path):
     assert spark.read.json(f"{out}/similarity_statistics.json").count() == 2
     assert files.exists(spark, f"{out}/charts/layout") and files.exists(spark, f"{out}/cluster_results/metrics")
     assert files.exists(spark, f"{out}/models/main")
+    for name in ("combined", "sku", "desc"):
+        assert files.exists(spark, f"{out}/similarity/{name}")
+    asked = spark.read.json(f"{out}/request_statistics.json").first()
+    assert asked.total_requests == asked.successful_requests + asked.failed_requests >= 24
+    assert spark.read.json(f"{out}/enrichment_statistics.json").first().total == 24
+    method, parameters, labels, vectors = files.load_clusters(spark, f"{out}/cluster_results")
+    assert method == "dbscan" and parameters["min_neighbours"] == settings.min_neighbours
+    assert labels.count() == vectors.count() == 24 and set(labels.columns) == {S.ROW, "cluster"}
+    with pytest.raises(FileNotFoundError):
+        files.load_clusters(spark, f"{out}/nowhere")
+
+
+def test_a_run_that_was_killed_asks_open_prompts_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(completion, "PROMPTS_PER_CALL", 1)
+    monkeypatch.setattr(completion, "CALLS_PER_WAVE", 1)
+    items = cleaning.clean_items(files.read_items(spark, write_csv(tmp_path / "items.csv", item_lines(12))))
+    folder = files.answer_folder(str(tmp_path / "out"), "v1")
+    calls = completion.Calls(2, folder)
+
+    def service(dies):
+        asked = spark.sparkContext.accumulator(0)
+
+        def complete(prompts):
+            if dies and any("AB-007" in p for p in prompts):
+                raise SystemExit  # takes the worker along
+            asked.add(len(prompts))
+            return offline_complete(prompts)
+
+        return complete, asked
+
+    with pytest.raises(Exception):
+        enrich(items, service(True)[0], Settings(), calls).count()
+    kept = completion.asked_prompts(spark, folder).where("status = 'ok'").count()
+    assert 0 < kept < 12
+    complete, asked = service(False)
+    assert enrich(items, complete, Settings(), calls).where("enriched_description <> 'Unknown'").count() == 12
+    assert asked.value == 12 - kept
+    complete, asked = service(False)
+    assert enrich(items, complete, Settings(), calls).count() == 12 and asked.value == 0
 
 
 def test_first_rows(spark):

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from partatlas.operators import categorize, completion, features
+from partatlas.operators import categorize, completion, features, keyed_forest
 from partatlas.operators.index import ItemIndex
 
 KINDS = {"A/B": ["bolt steel", "nut steel"], "A_B": ["cable wire", "wire copper"], "Solo": ["lamp bulb"]}
@@ -37,7 +38,9 @@ def test_svd_keeps_inner_products_at_full_rank(items):
 
 
 def test_only_categories_with_two_sub_categories_get_a_model(items, model):
-    assert set(model.subs) == {"A/B", "A_B"}
+    names = {r.label: r.value for r in model.main_labels.collect()}
+    assert {names[r.key] for r in model.subs.collect()} == {"A/B", "A_B"}
+    assert {(names[r.key], r.value) for r in model.sub_labels.collect()} == {("A/B", "A/B0"), ("A/B", "A/B1"), ("A_B", "A_B0"), ("A_B", "A_B1")}
     eligible = {r.main_category: r.eligible for r in categorize.sub_model_eligibility(items).collect()}
     assert eligible == {"A/B": True, "A_B": True, "Solo": False}
 
@@ -53,6 +56,41 @@ def test_predictions(items, model):
     assert sum(not r.main_category_changed for r in rows) > 50
 
 
+def test_forests_of_three_hundred_keys(spark, monkeypatch):
+    monkeypatch.setattr(keyed_forest, "SHARD_ROWS", 40)
+    monkeypatch.setattr(keyed_forest, "PIECE_ROWS", 30)
+    rng = np.random.default_rng(6)
+    rows = []
+    for key in range(300):
+        for _ in range(100 if key == 7 else 12):  # one key is cut into shards and pieces
+            label = int(rng.integers(0, 2 + key % 3))
+            rows.append((key, len(rows), label, [label + rng.normal(0, 0.1), rng.normal(), float(key), rng.normal()]))
+    frame = spark.createDataFrame(rows, "key int, row_id long, label int, features array<double>")
+    forests = keyed_forest.train_forests(frame, 8, 6, 1)
+    trees = forests.groupBy("key").count().collect()
+    assert len(trees) == 300 and all(r["count"] >= 8 for r in trees)
+    again = keyed_forest.train_forests(frame.repartition(5), 8, 6, 1)
+    assert sorted(map(str, forests.where("key < 9").collect())) == sorted(map(str, again.where("key < 9").collect()))
+    scored = keyed_forest.score_forests(frame.unionByName(frame.where("key = 0").withColumn("key", F.lit(999))), forests)
+    got = {r.row_id: (r.key, r.label, r.confidence) for r in scored.collect()}
+    assert len(got) == len(rows) and all(got[r][0] == k for k, r, _, _ in rows)
+    assert np.mean([got[r][1] == label for _, r, label, _ in rows]) > 0.97 and all(0 < c <= 1 for _, _, c in got.values())
+    # the plan does not know how many keys there are
+    few = keyed_forest.score_forests(frame.where("key < 2"), keyed_forest.train_forests(frame.where("key < 2"), 8, 6, 1))
+    assert scored._jdf.queryExecution().logical().toString().count("\n") < 1.5 * few._jdf.queryExecution().logical().toString().count("\n")
+
+
+def test_one_tree_separates_what_can_be_separated():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] > 0.3).astype(int) + 2 * (x[:, 1] > 0)).astype(np.int64)
+    cuts = [keyed_forest._cuts(x[:, f]) for f in range(3)]
+    binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
+    feature, threshold, low, high, share = keyed_forest.grow(binned, cuts, y, 4, 10, rng)
+    assert np.allclose(share.sum(axis=1), 1) and ((feature < 0) == (low < 0)).all()
+    assert (share[keyed_forest._leaves(x, feature, threshold, low, high)].argmax(axis=1) == y).mean() > 0.93
+
+
 def test_saved_model_predicts_the_same(spark, items, model, tmp_path):
     categorize.save_model(model, str(tmp_path / "model"), spark)
     again = categorize.load_model(str(tmp_path / "model"), spark)
@@ -117,6 +155,40 @@ def test_waves_and_restart_ask_open_prompts_only(spark, tmp_path, monkeypatch):
     assert asked.value - before == 2
 
 
+def test_a_wave_reads_its_own_prompts_only(spark, monkeypatch):
+    monkeypatch.setattr(completion, "PROMPTS_PER_CALL", 1)
+    monkeypatch.setattr(completion, "CALLS_PER_WAVE", 4)
+    rows = spark.createDataFrame([(k, f"prompt {k}") for k in range(120)], "row_id long, prompt string")
+    laid, original = [], completion.stage
+
+    def watched(df, by=None):
+        out = original(df, by)
+        if by == "wave":
+            laid.append(out)
+        return out
+
+    monkeypatch.setattr(completion, "stage", watched)
+    assert completion.complete_text(rows, failing(), 2).count() == 120
+    (open_,) = laid
+    waves = [r.wave for r in open_.select("wave").distinct().collect()]
+    assert len(waves) > 8
+    assert all(sum(f"/wave={w}/" in path for w in waves) == 1 for path in open_.inputFiles())
+    scan = open_.where("wave = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(wave" in scan  # other waves are not opened
+
+
+def test_gram_matrix_is_the_sum_of_products(spark, monkeypatch):
+    monkeypatch.setattr(features, "GRAM_SLICE", 3)
+    monkeypatch.setattr(features, "GRAM_SLOTS", 2)
+    rng = np.random.default_rng(4)
+    dense = rng.random((23, 7)) * (rng.random((23, 7)) < 0.4)
+    times = rng.integers(1, 5, 23)
+    rows = [(int(n), np.flatnonzero(x).tolist(), x[x > 0].tolist()) for n, x in zip(times, dense)]
+    frame = spark.createDataFrame(rows, "n_rows long, terms array<long>, weights array<double>").repartition(5)
+    got = {r.position: r.products for r in features.gram_matrix(frame, 7).collect()}
+    assert np.allclose([got[k] for k in range(7)], (dense * times[:, None]).T @ dense)
+
+
 def test_fallback_routes_only_uncertain_rows(items):
     guessed = categorize.init_predictions(items)
     routed = categorize.route_low_confidence(guessed, trained=False)

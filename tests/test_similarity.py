@@ -109,6 +109,8 @@ def test_lookup(spark, make_items):
     asked = spark.createDataFrame([("ABC", "AC"), ("ABC", "nope")], "catalog_no_i string, catalog_no_j string")
     got = {r.catalog_no_j: (r.found, r.sku_sim) for r in similarity.similarity_lookup(items, asked).collect()}
     assert got == {"AC": (True, 0.8), "nope": (False, None)}
+    nothing = spark.createDataFrame([(None, "AC")], "catalog_no_i string, catalog_no_j string")
+    assert [(r.found, r.sku_sim) for r in similarity.similarity_lookup(items, nothing).collect()] == [(False, None)]
 
 
 def test_similarity_columns_reach_every_row(make_items, tiny_limits):
@@ -160,3 +162,17 @@ def test_score_that_rounding_lifts_to_the_threshold():
     tau = (0.8 - S.SKU_WEIGHT) / S.DESC_WEIGHT - similarity.BOUND_SLACK
     assert tau < 0.666666666
     assert (0.8 - S.DESC_WEIGHT * 0.666666666) / S.SKU_WEIGHT <= 1 + similarity.sku_pairs.FLOOR_SLACK
+
+
+def test_stars_and_cross_pairs_are_the_network(make_items, tiny_limits):
+    rows = random_rows(12) + [(500 + k, f"H{k}", "hot item") for k in range(40)]
+    index = ItemIndex(make_items(rows))
+    stars = similarity.network_stars(index)
+    assert stars.count() <= len(rows)  # not a row per pair of the forty
+    cross = similarity.similar_pairs(index, S.NETWORK_THRESHOLD, strict=True, equal_texts=False)
+    columns = ["row_i", "row_j", "combined"]
+    got = similarity.expand_stars(index, stars).select(*columns).unionByName(cross.select(*columns)).collect()
+    whole = similarity.similar_pairs(index, S.NETWORK_THRESHOLD, strict=True).where("row_i <> row_j").select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(whole) > 40 * 39 / 2
+    with pytest.raises(ValueError):
+        similarity.network_stars(index, 0.7)
