@@ -1,7 +1,7 @@
 """Phrases whose words keep together, mined level by level over ranked ids.
 
 Level 1 are words, level k the phrases of k words. What occurs often enough at a level gets
-an id by falling frequency. Two neighbouring ids of level k that overlap in all but one word
+an id by falling frequency (bucket by bucket, interleaved). Two neighbouring ids of level k that overlap in all but one word
 form a phrase of level k + 1, so every level does the same: put ids in the place of
 what a text holds there, count neighbouring pairs, keep the frequent ones, rank them anew.
 
@@ -9,8 +9,8 @@ Texts are laid out in splits of some million words that later levels read as arr
 split counts its pairs in tiles of ids: a tile that many pairs fall into is an array that a
 pair addresses directly (ids are ranked by frequency, so these are the first tiles), the pairs
 of all others are sorted. Counts of all splits meet in buckets of hashed pairs, so a bucket
-has its share of pairs however frequent any of them is, and it tells every split
-which of its pairs are frequent: no table of ids has to fit into a task.
+has its share of pairs however frequent any of them is. It ranks its frequent pairs and tells
+every split which of its pairs these are, so no table of ids has to fit into a task.
 """
 
 from collections import defaultdict
@@ -18,11 +18,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partatlas.llm.common import as_bytes, freed_shuffles, mixed, new_folder, written
-from partatlas.operators.order import positions
 
 LEAST = 30
 LONGEST = 4
@@ -35,13 +35,14 @@ WORD_BYTES = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 9
 LONG = 1 << 22  # bytes of a text that are split at a time
 SPLIT_WORDS = 1 << 21
 BUCKET_WORDS = 1 << 20
+WORD_BUCKETS = 4  # buckets of words for each of pairs
 TILE_BITS = 11
 DENSE_TILES = 8  # tiles on either side that may be dense
 DENSE_SHARE = 32  # a tile is dense if it has a pair for every so many of its fields
 
 _SEQ = "split long, kind string, lang string, word string, local int, n long, ids binary"
 _BLOCK = "split long, kind string, bucket int, first int, codes binary, counts binary, ids binary"
-_PAIR = "a long, b long, f long, leads boolean, split long, local int"
+_FOUND = "kind string, lang string, word string, a long, b long, f long, id long, split long, locals binary, ids binary"
 
 
 def _segments(text: bytes):
@@ -132,7 +133,7 @@ def _levelled(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     path = new_folder(spark, name)
     with freed_shuffles(spark):
-        rows.write.option("parquet.block.size.row.check.min", "1").parquet(path)
+        rows.write.option("parquet.block.size.row.check.min", "1").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -167,16 +168,17 @@ def _bucket_of(codes, buckets):
     return (mixed(codes.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def next_level(sequences: DataFrame, ids: DataFrame, buckets: int) -> DataFrame:
+def next_level(sequences: DataFrame, maps: DataFrame, buckets: int) -> DataFrame:
     """Rows of kind `seq` and `block` (split, bucket, first, codes, counts) of the next level.
 
-    `ids` (split, local, id) are the frequent items of every split. The pairs of a split are
+    `maps` (split, locals, ids) are the frequent items of every split. The pairs of a split are
     numbered bucket by bucket from 1; `first` is the number of a block's first pair.
     """
 
     def pair(key, own, known):
         split = key[0].as_py()
-        local, ident = known.column("local").to_numpy(), known.column("id").to_numpy()
+        local = np.frombuffer(b"".join(known.column("locals").to_pylist()), np.int32)
+        ident = np.frombuffer(b"".join(known.column("ids").to_pylist()), np.int64)
         for sequence in own.column("ids").to_pylist():
             items = np.frombuffer(sequence, np.int32)
             table = np.full(max(int(items.max(initial=0)), int(local.max(initial=0))) + 1, -1, np.int64)
@@ -207,15 +209,57 @@ def next_level(sequences: DataFrame, ids: DataFrame, buckets: int) -> DataFrame:
         return pa.Table.from_batches(parts, schema)
 
     left = sequences.select("split", "ids").groupBy("split")
-    right = ids.select(F.col("split").alias("of"), "local", "id").groupBy("of")
+    right = maps.select(F.col("split").alias("of"), "locals", "ids").groupBy("of")
     return _levelled(left.cogroup(right).applyInArrow(whole, _BLOCK), "level")
 
 
-def frequent_pairs(blocks: DataFrame, least: int) -> DataFrame:
-    """(a, b, f, leads, split, local): pairs that occur `least` times, a row per split that has them.
+def _found(columns, f, code, split, local, least, bucket, buckets):
+    """Table of a bucket: the frequent keys with their ids, and for every split its frequent items.
 
-    One row of each pair `leads`.
+    `code` numbers the keys of the rows from 0, `f` counts each key, `columns` are the keys'
+    fields. The k-th most frequent key of a bucket has the id k * buckets + bucket: keys are dealt
+    into buckets by hash, so that follows the frequency over all buckets as well.
     """
+    often = np.flatnonzero(f >= least)
+    often = often[np.argsort(-f[often], kind="stable")]
+    ident = np.full(len(f), -1, np.int64)
+    ident[often] = np.arange(len(often)) * buckets + bucket
+    keep = np.flatnonzero(ident[code] >= 0)
+    keep = keep[np.argsort(split[keep], kind="stable")]
+    split, local, ids = split[keep], local[keep].astype(np.int32), ident[code[keep]]
+    starts = np.flatnonzero(np.diff(split, prepend=-1))
+    cuts = list(zip(starts, [*starts[1:], len(split)]))
+    fields = {name: values.take(pa.array(often)) for name, values in columns.items()}
+    schema = _batch(_FOUND, 0).schema
+    keys = _batch(_FOUND, len(often), kind="key", f=f[often], id=ident[often], **fields)
+    maps = _batch(
+        _FOUND, len(cuts), kind="map", split=split[starts],
+        locals=[local[x:y].tobytes() for x, y in cuts], ids=[ids[x:y].tobytes() for x, y in cuts],
+    )
+    return pa.Table.from_batches([keys, maps], schema)
+
+
+def frequent_words(items: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Rows of kind `key` (lang, word, f, id) and `map` (split, locals, ids) of the frequent words."""
+
+    def add(key, rows):
+        names = [rows.column(c).combine_chunks().cast(pa.binary()) for c in ("lang", "word")]
+        known = pc.binary_join_element_wise(*names, CUT).dictionary_encode()
+        code = known.indices.to_numpy()
+        _, first = np.unique(code, return_index=True)
+        columns = {c: rows.column(c).combine_chunks().take(pa.array(first)) for c in ("lang", "word")}
+        f = np.zeros(len(first), np.int64)
+        np.add.at(f, code, rows.column("n").to_numpy())
+        split, local = rows.column("split").to_numpy(), rows.column("local").to_numpy()
+        return _found(columns, f, code, split, local, least, key[0].as_py(), buckets)
+
+    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = items.select(bucket, "split", "lang", "word", "local", "n")
+    return _levelled(dealt.groupBy("bucket").applyInArrow(add, _FOUND), "frequent")
+
+
+def frequent_pairs(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Rows of kind `key` (a, b, f, id) and `map` (split, locals, ids) of the frequent pairs."""
 
     def add(key, rows):
         lengths = [len(x) // 8 for x in rows.column("codes").to_pylist()]
@@ -224,29 +268,21 @@ def frequent_pairs(blocks: DataFrame, least: int) -> DataFrame:
         split = np.repeat(rows.column("split").to_numpy(), lengths)
         starts = np.cumsum([0, *lengths[:-1]])
         local = np.arange(len(codes)) + np.repeat(rows.column("first").to_numpy() - starts, lengths)
-        order = np.argsort(codes, kind="stable")
-        leads = np.diff(codes[order], prepend=-1) != 0
-        first = np.flatnonzero(leads)
-        sums = np.add.reduceat(counts[order].astype(np.int64), first)
-        f = np.repeat(sums, np.diff([*first, len(codes)]))
-        keep = f >= least
-        order = order[keep]
-        return pa.table(
-            {
-                "a": codes[order] >> 32, "b": codes[order] & 0xFFFFFFFF, "f": f[keep], "leads": leads[keep],
-                "split": split[order], "local": local[order].astype(np.int32),
-            }
-        )
-
-    return written(blocks.select("bucket", "split", "first", "codes", "counts").groupBy("bucket").applyInArrow(add, _PAIR))
-
-
-def _ranked(items: DataFrame, ties: list[str]) -> DataFrame:
-    """`items` with `id` by falling frequency."""
-    found = written(positions(items.withColumn("_less", -F.col("f")), ["_less", *ties], "id").drop("_less"))
-    if found.count() >= 1 << 31:
+        found, code = np.unique(codes, return_inverse=True)
+        f = np.zeros(len(found), np.int64)
+        np.add.at(f, code, counts)
+        columns = {"a": pa.array(found >> 32), "b": pa.array(found & 0xFFFFFFFF)}
+        return _found(columns, f, code, split, local, least, key[0].as_py(), buckets)
+
+    dealt = blocks.select("bucket", "split", "first", "codes", "counts")
+    return _levelled(dealt.groupBy("bucket").applyInArrow(add, _FOUND), "frequent")
+
+
+def _keys(found: DataFrame, *columns: str) -> DataFrame:
+    keys = found.where("kind = 'key'").select(*columns, "f", "id")
+    if (keys.agg(F.max("id").alias("m")).first()["m"] or 0) >= 1 << 31:
         raise ValueError("more frequent phrases of one length than ids")
-    return found
+    return keys
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -258,18 +294,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     table = word_splits(docs)
     items = table.where("kind = 'item'").select("split", "lang", "word", "local", "n")
     sizes = written(items.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = _ranked(
-        items.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), ["lang", "word"]
-    )
-    levels = [words]
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // BUCKET_WORDS))
-    ids = items.join(words.select("lang", "word", "id"), ["lang", "word"]).select("split", "local", "id")
-    for length in range(2, longest + 1):
-        table = next_level(table.where("kind = 'seq'"), ids, buckets)
-        found = frequent_pairs(table.where("kind = 'block'"), least)
-        levels.append(_ranked(found.where("leads").select("a", "b", "f"), ["a", "b"]))
-        ids = found.join(levels[-1].select("a", "b", "id"), ["a", "b"]).select("split", "local", "id")
+    found = frequent_words(items, least, WORD_BUCKETS * buckets)
+    levels = [_keys(found, "lang", "word")]
+    for _ in range(2, longest + 1):
+        maps = found.where("kind = 'map'").select("split", "locals", "ids")
+        table = next_level(table.where("kind = 'seq'"), maps, buckets)
+        found = frequent_pairs(table.where("kind = 'block'"), least, buckets)
+        levels.append(_keys(found, "a", "b"))
     return levels, sizes
 
 
