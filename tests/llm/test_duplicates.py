@@ -144,3 +144,30 @@ def test_repeats_of_equal_ids_and_nulls(spark):
     got = sorted((r.doc_id or -1, r.n_bytes, len(r.kept)) for r in suffix.remove_repeats(_docs(spark, rows)).collect())
     assert got == [(-1, 120, 120), (1, 120, 120), (1, 120, 120), (1, 121, 121), (2, 120, 0), (2, 121, 1)]
     assert suffix.remove_repeats(_docs(spark, rows).limit(0)).collect() == []
+
+
+def test_windows_stay_bounded_as_tables_grow():
+    # vectors that share a prefix with one in a random direction, and the chance to miss a pair
+    agree = 1 - np.arccos(embeddings.COSINE) / np.pi
+    shared = []
+    for rows in (200, 50_000, 200_000, 800_000, 3_200_000, 10**9):
+        prefix, passes = embeddings.resolution(rows)
+        assert (1 - agree**prefix) ** passes <= embeddings.MISSED
+        shared.append(rows / 2**prefix)
+    assert max(shared) <= embeddings.TILE and embeddings.resolution(200_000) == (10, 14)
+
+
+def test_long_prefixes_find_planted_links(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PREFIX", 14)  # as for some millions of vectors
+    monkeypatch.setattr(embeddings, "TILE", 4)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(150, 16))
+    near = base[:60] + rng.normal(size=(60, 16)) * 0.13 * np.linalg.norm(base[:60], axis=1, keepdims=True) / 4
+    points = np.concatenate([base, near])
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    links = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.98)) if i < j}
+    frame = spark.createDataFrame([(k, p.tolist(), 1) for k, p in enumerate(points)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.vector_links(frame).collect()}
+    component = plain.components(range(len(points)), links)
+    assert len(links) > 30
+    assert got == {k: (sum(k in e for e in links), component[k]) for k in range(len(points))}

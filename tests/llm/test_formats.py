@@ -55,7 +55,6 @@ def test_token_files_equal_whole_texts(spark, monkeypatch):
     tokens.write_token_files(spark.createDataFrame(rows, "doc_id long, text string, part int"), path)
     got = tokens.read_token_files(spark, path).orderBy("start").collect()
     tokenizer = Tokenizer.from_file(tokens.vocabulary_path())
-    tokenizer.encode_special_tokens = True
     at = 0
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     for (doc_id, text, _), row in zip(order, got, strict=True):
@@ -164,6 +163,56 @@ def test_only_wanted_payloads_are_read():
         list(warc.records(io.BytesIO(broken), {}))
 
 
+def _foreign(payload, padding=0, cut=0):
+    """A record of another writer, with a long HTTP header and a stated length that is wrong."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\nX-Long: " + b"p" * padding + b"\r\n\r\n"
+    data = warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "Content-Type": "application/http"}, http + payload)
+    return data[: len(data) - cut]
+
+
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "mixed"
+    (folder / "deeper").mkdir(parents=True)
+    info = warc.record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:i>"}, b"software: x\r\n")
+    (folder / "a.warc").write_bytes(info + _foreign(b"x" * 100, 6000) + _foreign(b"", 10))
+    # a gzip member for each record
+    (folder / "deeper" / "b.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(_foreign(b"y" * 5000, 9000)))
+    whole = warc.read_archive(spark, str(folder)).collect()
+    bare = warc.read_archive(spark, str(folder), payload=False).collect()
+    assert sorted((r.record_type, r.payload_bytes) for r in whole) == sorted((r.record_type, r.payload_bytes) for r in bare)
+    assert sorted(r.payload_bytes for r in whole) == [0, 13, 13, 100, 5000]
+    assert all(r.payload is None for r in bare) and {len(r.payload) for r in whole} == {0, 13, 100, 5000}
+    only = warc.read_archive(spark, str(folder)).where("record_type = 'warcinfo'")
+    assert only.count() == 2 and all(r.target_uri is None for r in only.collect())
+    (folder / "notes.txt").write_text("x")
+    with pytest.raises(Exception, match="not a WARC file"):
+        warc.read_archive(spark, str(folder)).collect()
+
+
+@pytest.mark.parametrize("wanted", [{}, {"record_type": {"none"}}])
+@pytest.mark.parametrize("with_payload", [True, False])
+def test_cut_records_are_errors(wanted, with_payload):
+    import gzip
+    import io
+
+    for cut in (10, 3000):
+        data = _foreign(b"z" * 4000, 100, cut)
+        with pytest.raises(ValueError, match="cut short"):
+            list(warc.records(io.BytesIO(data), wanted, with_payload))
+        with pytest.raises(ValueError, match="cut short"):
+            list(warc.records(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(data))), wanted, with_payload, seekable=False))
+
+
+def test_pages_without_address(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, "a", "x"), (2, "u", None, "x")], "page_id long, url string, html string, record_type string")
+    path = str(tmp_path / "w")
+    warc.write_archive(pages, path)
+    got = {warc_row.record_id: (warc_row.target_uri, warc_row.payload_bytes) for warc_row in warc.read_archive(spark, path).collect()}
+    assert sorted(got.values(), key=str) == sorted([(None, 1), ("u", 0)], key=str)
+
+
 def _rated(n):
     rng = np.random.default_rng(9)
     good = [f"word{k}" for k in range(60)]
@@ -198,10 +247,58 @@ def test_grades_on_held_out_documents(spark):
 def test_thresholds_are_in_order():
     rng = np.random.default_rng(0)
     docs, feats = np.repeat(np.arange(200), 5), rng.integers(0, 50, 1000)
-    _, thresholds = ordinal.fit(docs, feats, rng.integers(0, 3, 200))
+    _, thresholds = ordinal.fit(docs, feats, rng.integers(0, 3, 200), 50)
     assert thresholds[0] <= thresholds[1]
 
 
+def test_screening_equals_a_plain_count(spark):
+    rows = list(_rated(90))
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").repartition(3)
+    grades = spark.createDataFrame([(d, g) for d, _, g in rows], "doc_id long, grade int")
+    rated = ordinal.rated_features(docs, grades)
+    by_grade = np.array([30, 30, 30])
+    of, feats = ordinal.features([t.encode() for _, t, _ in rows], ordinal.WordFeatures())
+    residual = ordinal._residuals(by_grade)[np.array([g for _, _, g in rows])]
+    told = {}
+    for f in np.unique(feats):
+        has = of[feats == f]
+        if len(has) >= 4:
+            value = abs(residual[has].sum() - len(has) * residual.mean()) / (len(has) * max(1 - len(has) / 90, 1 / 90)) ** 0.5
+            told[int(f)] = value
+    best = sorted(told, key=lambda f: (-round(told[f], 9), f))[:40]
+    got = ordinal.screened_features(rated, by_grade, most=40).tolist()
+    # ties at the end may fall either way by rounding
+    least = told[best[-1]]
+    assert all(told[f] >= least - 1e-9 for f in got) and len(got) == 40
+
+
+def test_special_tokens_as_the_library_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|> x", "a b<|endoftext|>c  d <|endoftext|>", "<|endoftext|><|endoftext|>", None, "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(tokens.vocabulary_path())
+    for flag in (False, True):
+        library.encode_special_tokens = flag
+        path = str(tmp_path / f"t{flag}")
+        tokens.write_token_files(docs, path, special_as_text=flag)
+        got = {r.doc_id: r.ids for r in tokens.read_token_files(spark, path).collect()}
+        assert got == {d: [*library.encode(t or "", add_special_tokens=False).ids, 2] for d, t in enumerate(texts)}
+
+
+def test_pipeline_hands_on_columns_of_any_name(spark):
+    names = ["of", "from", "words", "times", "copy", "row", "kept", "expected_grade", "tail_probability", "given_0_kept", "size", "taken"]
+    rows = [(d, f"word{d} " * 30, "en", f"s{d % 2}", 7, *[f"{n}{d}" for n in names]) for d in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    folder = SF_DIR
+    for stage in (corpus_pipeline.quality, corpus_pipeline.mixture):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given tables")
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
