@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partatlas.llm.common import as_bytes, sub_batches
+from partatlas.llm.common import as_bytes, sub_batches, written
 
 BITS = 18
 SHAPES = ("capitals", "symbols", "bars", "marks", "digits", "long", "short", "repeated", "size", "length")
@@ -24,6 +24,8 @@ DIMENSIONS = (1 << BITS) + len(SHAPES) * LEVELS
 SAMPLE = 12_000
 GRADES = 3
 KEEP = 0.5
+LEAST = 4  # rated documents that a feature has to be in
+SCREENED = 4096  # features that enter the fit
 
 
 def grade_labels(labels: DataFrame) -> DataFrame:
@@ -102,36 +104,35 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(docs, feats, grades, rounds=400, rate=0.3, sparsity=3e-4, least=4, screened=4096):
-    """(weights, thresholds) of rated documents by adaptive gradient steps with an L1 pull.
+def _start(by_grade):
+    """Thresholds of the model without weights, from the number of documents of each grade."""
+    share = np.cumsum(by_grade)[:-1] / max(by_grade.sum(), 1)
+    share = np.clip(share, 1e-3, 1 - 1e-3)
+    return np.log(share / (1 - share))
 
-    `docs` and `feats` are the pairs of `features`. Features in fewer than `least` documents are
-    left out; of the others, the `screened` that best tell the residuals of the empty model enter.
+
+def _residuals(by_grade):
+    """What the model without weights leaves unexplained of a document of each grade."""
+    below = np.concatenate([[0.0], _sigmoid(_start(by_grade)), [1.0]])
+    return 1 - below[1:] - below[:-1]
+
+
+def fit(docs, feats, grades, n_features, rounds=400, rate=0.3, sparsity=3e-4):
+    """(weights of the features 0 to n_features - 1, thresholds) by adaptive gradient steps with an L1 pull.
+
+    `docs` and `feats` are pairs of a document and a feature that it has, sorted by document.
     """
     n = len(grades)
-    weights = np.zeros(DIMENSIONS)
-    share = np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / max(n, 1)
-    thresholds = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
+    w, seen, seen_t = np.zeros(n_features), np.full(n_features, 1e-8), np.full(GRADES - 1, 1e-8)
+    thresholds = _start(np.bincount(grades, minlength=GRADES))
     if not n:
-        return weights, thresholds
-    count = np.bincount(feats, minlength=DIMENSIONS)
-    below = np.concatenate([[0.0], _sigmoid(thresholds), [1.0]])
-    residual = (1 - below[1:] - below[:-1])[grades]
-    told = np.abs(np.bincount(feats, residual[docs], DIMENSIONS) - count * residual.mean())
-    told[count < least] = 0
-    told /= np.sqrt(np.maximum(count, 1) * np.maximum(1 - count / n, 1 / n))
-    enter = np.zeros(DIMENSIONS, dtype=bool)
-    enter[np.argsort(-told, kind="stable")[:screened]] = True
-    used = (enter & (told > 0))[feats]
-    docs = docs[used]
-    active, feats = np.unique(feats[used], return_inverse=True)
-    w, seen, seen_t = np.zeros(len(active)), np.full(len(active), 1e-8), np.full(GRADES - 1, 1e-8)
+        return w, thresholds
     for _ in range(rounds):
         score = np.bincount(docs, w[feats], n)
         upto = _sigmoid(np.concatenate([np.full((1, n), -50.0), thresholds[:, None] - score, np.full((1, n), 50.0)]))
         low, high = upto[grades, np.arange(n)], upto[grades + 1, np.arange(n)]
         mass = np.maximum(high - low, 1e-9)
-        slope = np.bincount(feats, (1 - high - low)[docs], len(active)) / n
+        slope = np.bincount(feats, (1 - high - low)[docs], n_features) / n
         seen += slope**2
         step = rate / np.sqrt(seen)
         w -= step * slope
@@ -142,8 +143,7 @@ def fit(docs, feats, grades, rounds=400, rate=0.3, sparsity=3e-4, least=4, scree
             pull[k] += (low * (1 - low) / mass)[grades == k + 1].sum() / n
         seen_t += pull**2
         thresholds = np.maximum.accumulate(thresholds - rate * pull / np.sqrt(seen_t))
-    weights[active] = w
-    return weights, thresholds
+    return w, thresholds
 
 
 def rated_features(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -168,14 +168,68 @@ def rated_features(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) ->
     return rated.mapInArrow(extract, "doc_id long, grade int, features binary")
 
 
+def screened_features(rated: DataFrame, by_grade, least: int = LEAST, most: int = SCREENED):
+    """Sorted numbers of the features that best tell the residuals of the model without weights.
+
+    Documents are counted by feature and grade on the executors; features in fewer than `least`
+    are left out, and at most `most` come to the driver.
+    """
+
+    def count(batches):
+        found = np.zeros((GRADES, DIMENSIONS), dtype=np.int64)
+        for batch in batches:
+            for grade, data in zip(batch.column("grade").to_pylist(), batch.column("features").to_pylist()):
+                found[grade, np.frombuffer(data, "<i4")] += 1  # a document has a feature once
+        at = np.flatnonzero(found.any(axis=0))
+        names = [f"n{g}" for g in range(GRADES)]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(c[at]) for c in found]], names=["feature", *names])
+
+    names = [f"n{g}" for g in range(GRADES)]
+    parts = rated.select("grade", "features").mapInArrow(count, "feature int, " + ", ".join(f"{c} long" for c in names))
+    n, residual = int(by_grade.sum()), _residuals(by_grade)
+    mean = float((residual * by_grade).sum() / n)
+    told = F.abs(sum((F.col(c) * F.lit(float(r)) for c, r in zip(names, residual)), F.lit(0.0)) - F.col("n") * F.lit(mean))
+    spread = F.sqrt(F.col("n") * F.greatest(1 - F.col("n") / F.lit(float(n)), F.lit(1.0 / n)))
+    best = (
+        parts.groupBy("feature")
+        .agg(*[F.sum(c).alias(c) for c in names])
+        .withColumn("n", sum((F.col(c) for c in names), F.lit(0)))
+        .where(F.col("n") >= least)
+        .select("feature", (told / spread).alias("told"))
+        .where(F.col("told") > 0)
+        .orderBy(F.desc("told"), "feature")
+        .limit(most)
+    )
+    return np.sort(np.array([r["feature"] for r in best.collect()], dtype=np.int64))
+
+
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE):
-    """(weights, thresholds) from rated documents; nothing rated gives a model that keeps all."""
-    rows = sorted(rated_features(docs, grades, sample).collect(), key=lambda r: (r.doc_id, r.grade, r.features))
-    parts = [np.frombuffer(r.features, dtype="<i4") for r in rows]
-    if not rows:
-        return np.zeros(DIMENSIONS), np.array([-30.0, -20.0])
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
-    return fit(of, np.concatenate(parts), np.array([r.grade for r in rows]))
+    """(weights, thresholds) from rated documents; nothing rated gives a model that keeps all.
+
+    The driver gets the screened features of the sample only, some megabytes.
+    """
+    weights = np.zeros(DIMENSIONS)
+    rated = written(rated_features(docs, grades, sample))
+    sizes = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
+    if not sizes:
+        return weights, np.array([-30.0, -20.0])
+    by_grade = np.array([sizes.get(g, 0) for g in range(GRADES)], dtype=np.int64)
+    active = screened_features(rated, by_grade)
+
+    def keep(batches):
+        for batch in batches:
+            lists = []
+            for data in batch.column("features").to_pylist():
+                own = np.frombuffer(data, "<i4")
+                lists.append(np.flatnonzero(np.isin(active, own)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lists, pa.binary())], names=batch.schema.names)
+
+    rows = rated.mapInArrow(keep, "doc_id long, grade int, features binary").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "grade", "features")])
+    parts = [np.frombuffer(x, "<u2") for x in rows.column("features").to_pylist()]
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    weights[active], thresholds = fit(of, np.concatenate(parts), rows.column("grade").to_numpy(), len(active))
+    return weights, thresholds
 
 
 def score(docs: DataFrame, model, keep: float = KEEP) -> DataFrame:
