@@ -24,9 +24,20 @@ def _judged(docs: DataFrame, judged: DataFrame) -> DataFrame:
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _aside(docs: DataFrame, names: set[str]) -> dict[str, str]:
+    """New names for the columns of `docs` that are called like one of `names`."""
+    taken = set(docs.columns) | names
+    return {c: next(n for k in range(len(taken) + 1) if (n := f"given_{k}_{c}") not in taken) for c in docs.columns if c in names}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade is not below one half."""
-    return ordinal.classify(docs, _table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents whose probability of the top grade is not below one half.
+
+    Null and empty texts are judged by their shape; all columns are handed on as they are.
+    """
+    aside = _aside(docs, {"expected_grade", "tail_probability", "kept"})
+    judged = ordinal.classify(docs.withColumnsRenamed(aside), _table(spark, sf_dir, "labels")).where("kept")
+    return judged.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +51,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the mix counts words, so texts without words go."""
+    """Documents as often as the mix takes them; the mix counts words, so texts without words go.
+
+    Rows keep all their columns, whatever these are called.
+    """
+    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source"), mixing.label_weights(_table(spark, sf_dir, "labels")))
     taken = (
-        mixing.mix_sources(docs, mixing.label_weights(_table(spark, sf_dir, "labels")))
-        .where(F.col("size") > 0)
+        mixed.where(F.col("size") > 0)
         .groupBy("doc_id", "source", "size")
         .agg(F.max("taken").alias("taken"))
         .select(
@@ -54,13 +68,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         )
         .where(F.col("times") > 0)
     )
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("of"))
-        & F.col("source").eqNullSafe(F.col("from"))
-        & (mixing.word_count(F.col("text")) == F.col("words"))
+        F.col("row.doc_id").eqNullSafe(F.col("of"))
+        & F.col("row.source").eqNullSafe(F.col("from"))
+        & (mixing.word_count(F.col("row.text")) == F.col("words"))
     )
     copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return docs.join(taken, same).withColumn("copy", copies).select(*docs.columns)
+    return rows.join(taken, same).select("row", copies).select("row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
