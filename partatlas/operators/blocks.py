@@ -41,8 +41,8 @@ def two_groups(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _block_rows(work: float, cores: int) -> int:
-    """Members of a block: so many that all cells together are some for each core."""
-    return int(min(max(np.sqrt(work / (CELLS_PER_CORE * cores)), 1), BLOCK_ROWS))
+    """Members of a block: a tile at least, and so many that all cells together are some for each core."""
+    return int(min(max(np.sqrt(work / (CELLS_PER_CORE * cores)), TILE), BLOCK_ROWS))
 
 
 def _held(table: DataFrame) -> DataFrame:

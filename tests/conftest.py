@@ -22,8 +22,8 @@ def tiny_limits(monkeypatch):
 
     monkeypatch.setattr(skew, "TASK_ROWS", 2)
     monkeypatch.setattr(skew, "PAIR_ROWS", 2)
-    monkeypatch.setattr(blocks, "TILE", 2)
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(blocks, "TILE", 4)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 15)
     monkeypatch.setattr(sku_pairs, "SMALL_CELL", 4)
     monkeypatch.setattr(tfidf, "CELL_PAIRS", 3)
     monkeypatch.setattr(tfidf, "SLICE", 5)
