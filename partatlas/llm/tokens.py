@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from partatlas.llm.coder import read_shard, write_shard
 
 END_ID = 2
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20
+SLICE_ROWS = 256  # rows whose texts are strings at a time
 VOCABULARY = "byte_bpe_50k.json"
 
 # A token of the byte-level vocabulary never reaches over a space from one word to the next.
@@ -36,18 +37,34 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class ByteLevelEncoder:
     """Ids of texts by the tokenizers library, which encodes every distinct word once.
 
-    A word goes with the space before it. Strings of special tokens are ordinary text.
+    A word goes with the space before it. Strings of special tokens are their ids, as the
+    library has it, or ordinary text with `special_as_text`.
     """
 
-    LIMIT = 600_000
+    LIMIT = 250_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        longest_first = sorted(added, key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         self._forget()
 
+    def _words(self, text):
+        """What is encoded on its own: words, and in tuples what has no space before it."""
+        if self.special is None or not self.special.search(text):
+            words = _CUT.split(text)
+            words[0] = (words[0],)
+            return words
+        out = []
+        for k, piece in enumerate(self.special.split(text)):
+            words = [piece] if k % 2 else _CUT.split(piece)
+            out += [(words[0],), *words[1:]]
+        return out
+
     def _forget(self):
         self.number, self.ids, self.size = {}, array("I"), array("I")
 
@@ -55,11 +72,7 @@ class ByteLevelEncoder:
         """(ids of all texts, number of ids by text)."""
         if len(self.number) > self.LIMIT:
             self._forget()
-        parts = []
-        for text in texts:
-            words = _CUT.split(text)
-            words[0] = (words[0],)  # the first word has no space before it
-            parts.append(words)
+        parts = [self._words(text) for text in texts]
         fresh = list(set(chain.from_iterable(parts)).difference(self.number))
         plain = [w[0] if isinstance(w, tuple) else " " + w for w in fresh]
         for word, one in zip(fresh, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
@@ -91,9 +104,19 @@ def _batches_of(texts, budget=2_000_000):
             begin, held = k + 1, 0
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = END_ID):
+def write_token_files(
+    docs: DataFrame,
+    path: str,
+    vocabulary: str | None = None,
+    end_id: int | None = END_ID,
+    special_as_text: bool = False,
+):
     """Write the ids of all texts of `docs` (doc_id, text) to token files under `path`.
 
+    A string of a special token in a text becomes that token, as the tokenizers library does by
+    default; with `special_as_text` it is encoded like any other text. Other columns are not
+    looked at. A text of any length is encoded whole and lies in one file.
+
     A null text counts as empty; every document ends with `end_id`. Rows without a doc_id come
     first; rows that repeat a doc_id follow each other in the order of their texts. An empty
     table writes no files. `path` must not exist.
@@ -101,7 +124,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     vocabulary = vocabulary or vocabulary_path()
 
     def encode(batches):
-        encoder = ByteLevelEncoder(vocabulary)
+        encoder = ByteLevelEncoder(vocabulary, special_as_text)
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids, counts, ids, held = [], [], [], 0
 
@@ -114,7 +137,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
                 ),
             )
 
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             numbers = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for begin, end in _batches_of(texts):
