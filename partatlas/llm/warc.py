@@ -11,6 +11,7 @@ that pyarrow opens (file, hdfs, s3, …).
 """
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -34,6 +35,8 @@ from partatlas.operators.skew import attach_by_key
 
 FILE_BYTES = 64 << 20
 BUNDLE_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
+SUFFIXES = (".warc", ".warc.gz")
 DATE = "2000-01-01T00:00:00Z"  # records carry no time of their own, so that a rerun writes the same bytes
 _ID = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,16 +113,43 @@ def read_header(stream):
     raise ValueError("a WARC record ends in its header")
 
 
-def _http_head(block: bytes):
-    """(length that the HTTP header states or None, where the payload begins)."""
-    end = block.find(b"\r\n\r\n")
+def _http_head(read, length):
+    """(the length that the HTTP header states or None, bytes of the header) of a block of `length` bytes.
+
+    Reads on to the blank line that ends the header, however long that is; without one, the whole
+    block is payload.
+    """
+    held, seen = bytearray(), 0
+    while (end := held.find(b"\r\n\r\n", seen)) < 0 and len(held) < length:
+        seen = max(0, len(held) - 3)
+        held += read(min(4096, length - len(held)))
     if end < 0:
-        return None, 0
-    for line in block[:end].split(b"\r\n")[1:]:
+        return None, 0, held
+    for line in held[:end].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         if name.strip().lower() == b"content-length" and value.strip().isdigit():
-            return int(value), end + 4
-    return None, end + 4
+            return int(value), end + 4, held
+    return None, end + 4, held
+
+
+class _Exact:
+    """A stream whose reads and skips fail where the file ends too early. `size` is None if it cannot be known."""
+
+    def __init__(self, stream, size):
+        self.stream, self.size = stream, size
+
+    def read(self, n):
+        data = self.stream.read(n)
+        if len(data) < n:
+            raise ValueError("a WARC record is cut short")
+        return data
+
+    def skip(self, n):
+        if self.size is None:  # compressed: what is skipped has to be inflated
+            for begin in range(0, n, 1 << 20):
+                self.read(min(1 << 20, n - begin))
+        elif self.stream.seek(n, io.SEEK_CUR) > self.size:
+            raise ValueError("a WARC record is cut short")
 
 
 def _plain(name, value):
@@ -130,33 +160,65 @@ def _plain(name, value):
     return value.removeprefix("sha1:") if name == "payload_digest" else value
 
 
-def records(stream, wanted, with_payload=True):
-    """Rows of READ_SCHEMA of the records whose header meets `wanted` ({column: values or None for any})."""
+def records(stream, wanted, with_payload=True, seekable=True):
+    """Rows of READ_SCHEMA of the records whose header meets `wanted` ({column: values or None for any}).
+
+    `payload_bytes` is the length of the payload in the record; of a revisit, which has none,
+    the length that its HTTP header states. A record that is cut short raises an error, whether
+    its payload is wanted or not.
+    """
+    size = None
+    if seekable:
+        begin = stream.tell()
+        size = stream.seek(0, io.SEEK_END)
+        stream.seek(begin)
+    exact = _Exact(stream, size)
     while (headers := read_header(stream)) is not None:
         length = int(headers.get("content-length", 0))
         row = {c: _plain(c, headers.get(h.lower())) for c, h in _COLUMNS.items()}
         if any(row[c] is None or (v is not None and row[c] not in v) for c, v in wanted.items()):
-            stream.seek(length + 4, io.SEEK_CUR)
+            exact.skip(length)
             continue
         http = "application/http" in (row["content_type"] or "")
-        size, payload = length, None
-        if http and (row["record_type"] == "revisit" or not with_payload):
-            head = stream.read(min(length, 4096))
-            stated, begin = _http_head(head)
-            size = stated if stated is not None else length - begin
-            stream.seek(length - len(head), io.SEEK_CUR)
+        n_bytes, payload = length, None
+        if http:
+            stated, begin, held = _http_head(exact.read, length)
+            n_bytes = length - begin
+            if row["record_type"] == "revisit":
+                n_bytes = stated if stated is not None else n_bytes
+                exact.skip(length - len(held))
+            elif with_payload:
+                payload = bytes(held[begin:]) + exact.read(length - len(held))
+            else:
+                exact.skip(length - len(held))
         elif with_payload:
-            block = stream.read(length)
-            if len(block) < length:
-                raise ValueError("a WARC record is cut short")
-            payload = block[_http_head(block)[1] :] if http else block
-            size = len(payload)
-            if row["record_type"] == "response" and row["payload_digest"] not in (None, payload_digest(payload)):
-                raise ValueError(f"the payload of {row['record_id']} does not match its digest")
+            payload = exact.read(length)
         else:
-            stream.seek(length, io.SEEK_CUR)
-        stream.seek(4, io.SEEK_CUR)
-        yield (*row.values(), size, payload)
+            exact.skip(length)
+        if payload is not None and row["record_type"] == "response" and row["payload_digest"] not in (None, payload_digest(payload)):
+            raise ValueError(f"the payload of {row['record_id']} does not match its digest")
+        yield (*row.values(), n_bytes, payload)
+
+
+def _batches(rows):
+    """Arrow batches of rows of READ_SCHEMA, of some megabytes each."""
+    import pyarrow as pa
+
+    kinds = [*[pa.string()] * len(_COLUMNS), pa.int64(), pa.binary()]
+    names = [*_COLUMNS, "payload_bytes", "payload"]
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 500 + len(row[-1] or b"")
+        if size >= BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 class Files(InputPartition):
@@ -193,13 +255,17 @@ class WarcReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         if info.type == fs.FileType.File:
             return [Files([path])]
-        found = system.get_file_info(fs.FileSelector(path))
+        found = system.get_file_info(fs.FileSelector(path, recursive=True))
+        found = [f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(".")]
         listed = set()
         manifests = [f for f in found if f.base_name.startswith("_manifest-")]
         for f in manifests:
             with system.open_input_stream(f.path) as stream:
                 listed |= set(json.loads(stream.read()))
-        files = [f for f in found if f.base_name.endswith(".warc") and (not manifests or f.base_name in listed)]
+        files = [f for f in found if not f.base_name.startswith("_")]
+        if foreign := [f.path for f in files if not f.base_name.endswith(SUFFIXES)]:
+            raise ValueError(f"not a WARC file: {foreign[0]}")
+        files = [f for f in files if not manifests or f.base_name in listed]
         bundles, held = [], BUNDLE_BYTES
         for f in sorted(files, key=lambda f: f.path):
             if held >= BUNDLE_BYTES:
@@ -213,7 +279,11 @@ class WarcReader(DataSourceReader):
         system, _ = _opened(self.path)
         for path in partition.paths:
             with system.open_input_file(path) as file, io.BufferedReader(file, 1 << 20) as stream:
-                yield from records(stream, self.wanted, self.with_payload)
+                if path.endswith(".gz"):  # a member for each record, one after the other
+                    with gzip.GzipFile(fileobj=stream) as inflated, io.BufferedReader(inflated, 1 << 20) as plain:
+                        yield from _batches(records(plain, self.wanted, self.with_payload, seekable=False))
+                else:
+                    yield from _batches(records(stream, self.wanted, self.with_payload))
 
 
 class Written(WriterCommitMessage):
@@ -309,13 +379,22 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write a record for every row of `pages` (page_id, url, html) to WARC files under `path`."""
+    """Write a record for every row of `pages` (page_id, url, html) to WARC files under `path`.
+
+    A null url leaves the target out, a null html is an empty payload; other columns are not
+    looked at, and an empty table writes no record.
+    """
     register(pages.sparkSession)
     deduplicated(pages, least_bytes).write.format("warc").mode("append").save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the WARC files under `path` with the columns of READ_SCHEMA."""
+    """Records of the WARC files under `path` with the columns of READ_SCHEMA.
+
+    Files end in .warc or .warc.gz; a folder is read with all folders in it, and a file of another
+    name in it is an error, but for names that begin with a dot or an underscore. An empty folder
+    has no records. A header field that a record lacks is null.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
