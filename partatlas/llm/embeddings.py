@@ -3,9 +3,11 @@
 Each pass draws random hyperplanes, hashes every vector to the signs of its projections
 and sorts the vectors of a label by these bits. Vectors at a small angle share long
 prefixes, so they stand close together in some of the passes: each vector is compared with
-all that stand in its tile of the order or the next one. Where more vectors share the first
-`PREFIX` bits than a window holds, all of them are compared tile by tile, so a dense group
-loses nothing to the width of the window.
+all that stand in its tile of the order or the next one. Where more vectors share a prefix
+of their bits than a window holds, all of them are compared tile by tile, so a dense group
+loses nothing to the width of the window. The prefix is as long as it takes for vectors in
+random directions to fill a tile by it, and the number of passes follows from the prefix, so
+the pairs compared per vector stay the same as the table grows, and the recall does.
 
 Equal vectors are compared once and counted. A pair that stands together in several passes
 is counted in the first of them, which both vectors know from their places in all passes;
@@ -24,14 +26,21 @@ from partatlas.llm.common import written
 from partatlas.operators.graph import connected_components
 
 COSINE = 0.98
-PASSES = 14
+MISSED = 4e-5  # chance that a pair at the threshold shares no prefix in any pass
 BITS = 60
-PREFIX = 10
+PREFIX = 10  # bits at least
 TILE = 256
 STRIP = 8  # tiles that one task compares in a row
 SEED = 20_240
 
 
+def resolution(rows: int) -> tuple[int, int]:
+    """(bits of the prefix, passes) for labels of at most `rows` different vectors."""
+    prefix = min(max(PREFIX, int(np.ceil(np.log2(max(rows, 1) / TILE)))), BITS)
+    agree = 1 - np.arccos(COSINE) / np.pi  # of a pair at the threshold, in one bit
+    return prefix, int(np.ceil(np.log(MISSED) / np.log(1 - agree**prefix)))
+
+
 def _planes(dimension, k):
     return np.random.default_rng([SEED, dimension, k]).standard_normal((dimension, BITS))
 
@@ -62,22 +71,26 @@ def _matrix(column):
     return flat.reshape(len(column), -1)
 
 
-def _codes(batches):
+def _codes(passes):
     """Arrow function: the code of every vector in every pass, as text of bits packed to a number."""
-    planes = {}
-    for batch in batches:
-        lengths = np.asarray(batch.column("length"))
-        codes = np.zeros((len(lengths), PASSES), dtype=np.int64)
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            vectors = _matrix(batch.column("vector").take(pa.array(at)))
-            for k in range(PASSES):
-                if (n, k) not in planes:
-                    planes[n, k] = _planes(n, k)
-                bits = (vectors @ planes[n, k]) > 0
-                codes[at, k] = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * PASSES), pa.array(codes.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("class"), lists], names=["id", "class", "codes"])
+
+    def run(batches):
+        planes = {}
+        for batch in batches:
+            lengths = np.asarray(batch.column("length"))
+            codes = np.zeros((len(lengths), passes), dtype=np.int64)
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                vectors = _matrix(batch.column("vector").take(pa.array(at)))
+                for k in range(passes):
+                    if (n, k) not in planes:
+                        planes[n, k] = _planes(n, k)
+                    bits = (vectors @ planes[n, k]) > 0
+                    codes[at, k] = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * passes), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("class"), lists], names=["id", "class", "codes"])
+
+    return run
 
 
 def _numbered(batches):
@@ -94,8 +107,10 @@ def _numbered(batches):
 
 def _placed(points: DataFrame) -> DataFrame:
     """(id, pass, class, run, tile) of all points in all passes; tiles count along the whole order."""
+    largest = points.groupBy("class").count().agg(F.max("count").alias("n")).first()["n"]
+    prefix, passes = resolution(largest or 0)
     coded = points.select("id", "class", F.col("class.length").alias("length"), "vector").mapInArrow(
-        _codes, f"id long, class {points.schema['class'].dataType.simpleString()}, codes array<long>"
+        _codes(passes), f"id long, class {points.schema['class'].dataType.simpleString()}, codes array<long>"
     )
     rows = coded.select("id", "class", F.posexplode("codes").alias("pass", "code"))
     order = ["pass", "class", "code", "id"]
@@ -109,7 +124,7 @@ def _placed(points: DataFrame) -> DataFrame:
     return numbered.join(offsets, "part").select(
         "id",
         "pass",
-        F.xxhash64("class", F.shiftright("code", BITS - PREFIX)).alias("run"),
+        F.xxhash64("class", F.shiftright("code", BITS - prefix)).alias("run"),
         F.floor((F.col("ahead") + F.col("place")) / TILE).alias("tile"),
     )
 
@@ -220,7 +235,7 @@ def vector_links(vectors: DataFrame) -> DataFrame:
     0.98. Vectors that cannot link (see `usable`) have no links and are their own component; a
     row without an id has no component and is kept. Vectors of different lengths do not link.
     Rows that repeat a vec_id are one vector with several places: links are counted for each of
-    its vectors and added up. An empty table gives no rows.
+    its vectors and added up. An empty table gives no rows; other columns are not looked at.
     """
     good = usable(vectors)
     # equal vectors are one point; its id is the smallest of theirs
@@ -247,9 +262,10 @@ def vector_links(vectors: DataFrame) -> DataFrame:
     blocked = each.withColumn("run", run_of).withColumn("block", block)
     dense = (
         blocked.groupBy("pass", "run")
-        .agg(F.min("tile").alias("low"), F.max("tile").alias("high"), F.collect_set("block").alias("others"))
+        .agg(F.min("tile").alias("low"), F.max("tile").alias("high"))
         .where(F.col("high") - F.col("low") > 1)
-        .select("pass", "run", F.explode("others").alias("other"))
+        # a run stands together in the order, so its blocks follow each other
+        .select("pass", "run", F.explode(F.sequence(F.floor(F.col("low") / STRIP), F.floor(F.col("high") / STRIP))).alias("other"))
     )
     cells = (
         blocked.join(dense, ["pass", "run"])
