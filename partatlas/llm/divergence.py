@@ -107,20 +107,10 @@ def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
 def _pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, i, j, extra): over all kept terms, |p_i - p_j| less its value for a term that neither has.
 
-    `counts` (lang, place, term, p) has the terms that occur, `groups` (lang, place, sources, zero)
-    every source with its place among those of the language and its share of an absent term.
+    `counts` (lang, place, slices, blocks, term, p) has the terms that occur, `groups` (lang, place, slices,
+    blocks, zero) every source with its place among those of the language and its share of an
+    absent term. The terms of a language are cut into `slices`, its sources into `blocks`.
     """
-    rows_of_lang = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    layout = (
-        groups.groupBy("lang")
-        .agg(F.max("sources").alias("sources"))
-        .join(rows_of_lang, "lang")
-        .select(
-            "lang",
-            F.ceil(F.col("rows") / F.lit(CELL_ROWS)).cast("int").alias("slices"),
-            F.ceil(F.col("sources") / F.lit(BLOCK)).cast("int").alias("blocks"),
-        )
-    )
 
     def celled(rows: DataFrame) -> DataFrame:
         """Every row once for each block that its own block meets."""
@@ -130,9 +120,9 @@ def _pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
             "lang", "slice", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "place", "term", "p"
         )
 
-    terms = counts.join(layout, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int"))
+    terms = counts.withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int"))
     heads = (
-        groups.join(layout, "lang")
+        groups.where(F.col("slices") > 0)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
         .select("lang", "slice", "blocks", "place", F.lit(None).cast("string").alias("term"), F.col("zero").alias("p"))
     )
@@ -186,27 +176,28 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     )
     counts = written(_only(parts, kept).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
     size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    n_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    by_place = Window.partitionBy("lang").orderBy("source")  # one row per source
+    n_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    by_place, whole = Window.partitionBy("lang").orderBy("source"), Window.partitionBy("lang")  # one row per source
     groups = written(
         docs.select(*group)
         .distinct()
         .join(n_group, ["lang", "source"], "left")
         .join(size, "lang", "left")
-        .fillna(0, ["total", "terms"])
+        .fillna(0, ["total", "rows", "terms"])
         .withColumn("place", F.row_number().over(by_place) - 1)
-        .withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy("lang")))
-        .withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang")))
+        .withColumn("blocks", F.ceil(F.count(F.lit(1)).over(whole) / F.lit(BLOCK)).cast("int"))
+        .withColumn("slices", F.ceil(F.sum("rows").over(whole) / F.lit(CELL_ROWS)).cast("int"))
+        .withColumn("lang_total", F.sum("total").over(whole))
         .withColumn("zero", F.when(F.col("terms") > 0, _share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(0))
     )
     shares = written(
         counts.join(groups, ["lang", "source"]).select(
-            "lang", "source", "place", "term", "n", "terms", "lang_total",
+            "lang", "source", "place", "slices", "blocks", "term", "n", "terms", "lang_total",
             _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
         )
     )
 
-    extras = _pair_sums(shares.select("lang", "place", "term", "p"), groups)
+    extras = _pair_sums(shares, groups)
     a = groups.select("lang", F.col("place").alias("i"), F.col("source").alias("one"), F.col("zero").alias("zero_i"), "terms")
     b = groups.select("lang", F.col("place").alias("j"), F.col("source").alias("two"), F.col("zero").alias("zero_j"))
     # the result has a row for every two sources of a language
