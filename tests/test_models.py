@@ -80,6 +80,18 @@ def test_forests_of_three_hundred_keys(spark, monkeypatch):
     assert scored._jdf.queryExecution().logical().toString().count("\n") < 1.5 * few._jdf.queryExecution().logical().toString().count("\n")
 
 
+def test_trees_of_one_key_are_grown_by_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(0, k, int(k % 3), [float(k % 3) + rng.random(), float(rng.random())]) for k in range(60)]
+    frame = spark.createDataFrame(rows, "key int, row_id long, label int, features array<double>")
+    whole = keyed_forest.train_forests(frame, 12, 5, 1)
+    assert whole.select(F.spark_partition_id()).distinct().count() == 1
+    monkeypatch.setattr(keyed_forest, "TASK_WORK", 120)  # two trees
+    cut = keyed_forest.train_forests(frame, 12, 5, 1)
+    assert cut.select(F.spark_partition_id()).distinct().count() == 6
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_one_tree_separates_what_can_be_separated():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 3))
