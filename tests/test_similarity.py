@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 
 import brute
 from partatlas import schema as S
-from partatlas.operators import graph, similarity
+from partatlas.operators import graph, similarity, tfidf
 from partatlas.operators.index import ItemIndex
 
 WORDS = ["red", "blue", "bolt", "nut", "wide", "x1", "é_2", "gear"]
@@ -176,3 +177,35 @@ def test_stars_and_cross_pairs_are_the_network(make_items, tiny_limits):
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(whole) > 40 * 39 / 2
     with pytest.raises(ValueError):
         similarity.network_stars(index, 0.7)
+
+
+def _shuffles_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_terms_are_counted_within_their_rows(make_items, spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "COUNT_TERMS", 3)
+    texts = ["bolt Bolt steel", None, "", "wire bolt wire wire a bolt", "x", "bolt bolt steel wire nut nut nut lamp"]
+    rows = [(k, f"C{k}", t, "M", "S") for k, t in enumerate(texts)]
+    want = Counter((k, w) for k, t in enumerate(texts) for w in (t or "").lower().split() if len(w) > 1)
+    index = ItemIndex(make_items(rows))
+    assert Counter({(r.row_id, r.term): r.tf for r in similarity.tokenize(index).collect()}) == want
+    posted = tfidf.postings(spark.createDataFrame([(k, 1, t or "") for k, t in enumerate(texts)], "text_id long, n_rows long, text string"))
+    assert _shuffles_of(posted) == 0
+    assert Counter({(r.text_id, r.term): r.tf for r in posted.collect()}) == want
+
+
+def test_rows_that_repeat_a_row_id_are_counted_together(make_items):
+    rows = [(1, "A", "bolt nut bolt", "M", "S"), (1, "A", "bolt wire", "M", "S"), (2, "B", "nut", "M", "S"), (None, "C", "nut nut", "M", "S"), (None, "D", "nut", "M", "S")]
+    got = sorted(((r.row_id or 0, r.term, r.tf) for r in similarity.tokenize(ItemIndex(make_items(rows))).collect()))
+    assert got == [(0, "nut", 3), (1, "bolt", 3), (1, "nut", 1), (1, "wire", 1), (2, "nut", 1)]
+
+
+def test_weights_come_with_their_terms(make_items):
+    rows = [(k, f"C{k}", t, "M", "S") for k, t in enumerate(["bolt nut", "bolt bolt wire", "nut lamp wire", ""])]
+    index = ItemIndex(make_items(rows))
+    names = {r.term_id: r.term for r in index.vocabulary.collect()}
+    want = {(r.text_id, names[t]): round(w, 9) for r in index.vectors.collect() for t, w in zip(r.terms, r.weights)}
+    weights = similarity.tfidf_weights(index)
+    assert {(r.text_id, r.term): r.weight for r in weights.collect()} == pytest.approx(want)
+    assert _shuffles_of(weights) <= 3  # by term on both sides and by text
