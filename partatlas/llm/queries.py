@@ -45,7 +45,7 @@ def op4_token_files(spark, sf_dir):
     path = new_folder(spark, "tokens")
     with freed_shuffles(spark):
         tokens.write_token_files(_table(spark, sf_dir, "documents"), path)
-    return tokens.read_token_files(spark, path, with_ids=False)
+    return written(tokens.read_token_files(spark, path, with_ids=False))  # a few numbers per document, decoded once
 
 
 def op5_mixing(spark, sf_dir):

@@ -42,6 +42,7 @@ class ByteLevelEncoder:
     """
 
     LIMIT = 250_000
+    BATCH = 2048  # words that are encoded at a time
 
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
@@ -74,11 +75,13 @@ class ByteLevelEncoder:
             self._forget()
         parts = [self._words(text) for text in texts]
         fresh = list(set(chain.from_iterable(parts)).difference(self.number))
-        plain = [w[0] if isinstance(w, tuple) else " " + w for w in fresh]
-        for word, one in zip(fresh, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            self.number[word] = len(self.size)
-            self.ids.extend(one.ids)
-            self.size.append(len(one.ids))
+        for at in range(0, len(fresh), self.BATCH):  # the library holds far more than the ids of a word
+            some = fresh[at : at + self.BATCH]
+            plain = [w[0] if isinstance(w, tuple) else " " + w for w in some]
+            for word, one in zip(some, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+                self.number[word] = len(self.size)
+                self.ids.extend(one.ids)
+                self.size.append(len(one.ids))
         number = self.number
         counts = [len(p) for p in parts]
         words = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), dtype=np.int32, count=sum(counts))

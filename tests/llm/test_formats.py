@@ -323,3 +323,31 @@ def test_pipeline_of_an_empty_table(spark):
         assert docs.collect() == []
         if docs.columns[0] == "doc_id" and "text" in docs.columns:
             docs = written(docs)
+
+
+def test_token_files_are_decoded_once(spark, tmp_path):
+    from partatlas.llm import queries
+
+    docs = spark.createDataFrame([(2, "two words"), (1, None), (3, "three more words")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op4_token_files(spark, str(tmp_path))
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.start, r.n_tokens > 1) for r in found.orderBy("doc_id").collect()] == [(1, 0, False), (2, 1, True), (3, 1 + found.where("doc_id = 2").first().n_tokens, True)]
+
+
+def test_words_are_encoded_in_bounded_batches(monkeypatch):
+    encoder = tokens.ByteLevelEncoder(tokens.vocabulary_path())
+    texts = ["one two three four five", "", " six seven  eight\nnine", "one ten"]
+    whole = encoder.encode(texts)
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, words, **options):
+            asked.append(len(words))
+            return encoder.tokenizer.encode_batch_fast(words, **options)
+
+    other = tokens.ByteLevelEncoder(tokens.vocabulary_path())
+    monkeypatch.setattr(other, "tokenizer", Library())
+    monkeypatch.setattr(tokens.ByteLevelEncoder, "BATCH", 3)
+    assert [x.tolist() for x in other.encode(texts)] == [x.tolist() for x in whole]
+    assert max(asked) == 3
