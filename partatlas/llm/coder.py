@@ -1,20 +1,19 @@
-"""Adaptive context-mixing range coder for token ids.
+"""Adaptive context-mixing entropy coder for token ids.
 
-Ids are cut into blocks that are coded independently of each other, each with its CRC-32.
-Inside a block the model is estimated again from all ids coded so far at positions 64, 256
-and 1024. Until the next of these points an id is predicted by three orders:
+Ids are cut into blocks, each with its CRC-32, which are coded side by side: every numpy
+operation of the coder advances one position of all blocks of a shard. The model is
+estimated again from all ids of all blocks coded so far at positions 4, 16, 64 and 256.
+Until the next of these points an id is predicted by three orders:
 
 * order 2: the id that followed the last two ids most often,
 * order 1: the id that followed the last id most often,
-* order 0: the frequencies of the ids of the block, with an escape for new ids.
+* order 0: the frequencies of the ids, with an escape for ids that are new or too rare.
 
 The mixture gives the order-2 guess the share in which guesses of its kind (how often and
-how reliably seen) were right so far in this block, the order-1 guess its share of the
-rest, and what remains to order 0. All shares are whole numbers of 1/65536, so that every
-machine decodes the same. The range coder is carryless with 64-bit state and 16-bit words.
-
-Blocks have no part in each other, so a shard's blocks are coded side by side: every numpy
-operation below advances one position of all blocks.
+how reliably seen) were right so far in this shard, the order-1 guess its share of the
+rest, and what remains to order 0. All shares are whole numbers of 1/2**20, so that every
+machine decodes the same. Shares become bits by interleaved range asymmetric numeral systems
+with 64-bit states and 32-bit words; escaped ids follow as plain numbers.
 """
 
 import struct
@@ -22,354 +21,278 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-EPOCHS = (64, 256, 1024)
-MAGIC = b"IDRC1\0"
-_HEAD = "<6sHIIQI"  # magic, id bits, block, documents, ids, blocks
-
-_TOTAL, _SLOTS, _KINDS = 16, 12, 8
-_SLICE = 128  # positions prepared at a time
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16, _U48 = np.uint64(16), np.uint64(48)
-
-
-def _ready(low, span):
-    """(which states give a word, whether its bits are settled) of range coder states."""
-    settled = (low ^ (low + span)) < _TOP
-    out = np.flatnonzero(settled | (span < _BOTTOM))
-    return out, settled[out]
-
-
-class _Writer:
-    def __init__(self, lanes, capacity):
-        self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-        self.words = np.zeros((lanes, capacity), dtype=np.uint16)
-        self.size = np.zeros(lanes, dtype=np.int64)
-
-    def put(self, at, start, share):
-        """Code [start, start + share) of 65536 in the lanes `at`, a slice from 0 or numbers."""
-        low, span = self.low[at], self.range[at] >> _U16
-        low = low + span * start
-        span = span * share
-        out, settled = _ready(low, span)
-        while len(out):
-            squeeze = out[~settled]
-            span[squeeze] = (~low[squeeze] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            lanes = out if isinstance(at, slice) else at[out]
-            self.words[lanes, self.size[lanes]] = (low[out] >> _U48).astype(np.uint16)
-            self.size[lanes] += 1
-            low[out] <<= _U16
-            span[out] <<= _U16
-            again, settled = _ready(low[out], span[out])
-            out = out[again]
-        self.low[at], self.range[at] = low, span
-
-    def finish(self):
-        for shift in (48, 32, 16, 0):
-            self.words[np.arange(len(self.low)), self.size] = (self.low >> np.uint64(shift)).astype(np.uint16)
-            self.size += 1
-        return [row[:n] for row, n in zip(self.words, self.size)]
-
-
-class _Reader:
-    def __init__(self, words, sizes):
-        """`words` holds the words of all lanes one after the other."""
-        self.words = np.concatenate([words, np.zeros(8, dtype=np.uint16)]).astype(np.uint64)
-        self.next = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.low = np.zeros(len(sizes), dtype=np.uint64)
-        self.range = np.full(len(sizes), (1 << 64) - 1, dtype=np.uint64)
-        self.code = np.zeros(len(sizes), dtype=np.uint64)
-        for _ in range(4):
-            self.code = self.code << _U16 | self.words[self.next]
-            self.next += 1
-
-    def look(self, at):
-        """The value in 65536 that the lanes `at` hold next."""
-        value = (self.code[at] - self.low[at]) // (self.range[at] >> _U16)
-        return np.minimum(value, np.uint64(65535)).astype(np.int64)
-
-    def take(self, at, start, share):
-        low, code, span = self.low[at], self.code[at], self.range[at] >> _U16
-        low = low + span * start
-        span = span * share
-        out, settled = _ready(low, span)
-        while len(out):
-            squeeze = out[~settled]
-            span[squeeze] = (~low[squeeze] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            lanes = out if isinstance(at, slice) else at[out]
-            code[out] = code[out] << _U16 | self.words[self.next[lanes]]
-            self.next[lanes] += 1
-            low[out] <<= _U16
-            span[out] <<= _U16
-            again, settled = _ready(low[out], span[out])
-            out = out[again]
-        self.low[at], self.code[at], self.range[at] = low, code, span
+BLOCK = 512
+EPOCHS = (4, 16, 64, 256)
+MAGIC = b"IDRC2\0"
+_HEAD = "<6sHIIQIQQ"  # magic, id bits, block, documents, ids, blocks, escaped ids, words
+
+_TOTAL, _SLOTS, _KINDS = 20, 16, 16
+_SYMBOLS = 1 << 14  # the most frequent ids, which order 0 holds; others are escaped
+_MOST2, _MOST1 = 960_000, 973_000  # what is left of _TOTAL has a value for every slot
+_TABLE_BITS = 20  # ids up to here are looked up in a table
+_SLICE = 64  # positions prepared at a time
+_LOWEST = np.uint64(1 << 32)
+_MASK32, _U32, _U20, _U44 = np.uint64((1 << 32) - 1), np.uint64(32), np.uint64(_TOTAL), np.uint64(64 - _TOTAL)
 
 
 def _best(keys, base):
-    """Of sorted keys context * base + follower: (contexts, most frequent follower, kind)."""
-    keys.sort()
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(start, len(keys)))
-    context, follower = np.divmod(keys[start], base)
+    """Of keys context * base + follower: (contexts, most frequent follower, kind), seen twice at least."""
+    keys, count = np.unique(keys, return_counts=True)
+    if not len(keys):
+        return keys, keys, keys
+    context, follower = np.divmod(keys, base)
     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     most = np.maximum.reduceat(count * (base + 1) + (base - follower), first)
     times, left = np.divmod(most, base + 1)
     whole = np.add.reduceat(count, first)
-    return context[first], base - left, (np.minimum(times, 4) - 1) * 2 + (times == whole)
+    kind = np.minimum(times * 8 // whole, 7) * 2 + (times >= 4)
+    often = times > 1
+    return context[first][often], (base - left)[often], kind[often]
 
 
 class _Model:
-    """What a block knows at the start of an epoch, for all lanes side by side.
+    """What a shard knows at the start of an epoch.
 
-    `known` has the ids so far, (lanes, positions). Symbols are ranks of the ids in their lane.
+    `known` has the ids so far, (blocks, positions). Symbols are ranks of ids in `ids`; the
+    number after the last symbol stands for all other ids.
     """
 
-    def __init__(self, known, right, tried):
-        lanes, n = known.shape
-        self.n, self.lanes = n, lanes
-        lane = np.arange(lanes, dtype=np.int64)
-        keys = (lane[:, None] << 32 | known).ravel()
-        self.keys, symbol, count = np.unique(keys, return_inverse=True, return_counts=True)
-        of = self.keys >> 32
-        self.first = np.searchsorted(of, np.arange(lanes + 1))
-        symbols = np.diff(self.first)
-        symbol = symbol.reshape(known.shape) - self.first[:-1, None]
+    def __init__(self, known, right, tried, bits):
+        self.ids, count = np.unique(known, return_counts=True)
+        n, single = known.size, int((count == 1).sum())
+        if len(self.ids) > _SYMBOLS:
+            kept = np.sort(np.argsort(-count, kind="stable")[:_SYMBOLS])
+            self.ids, count = self.ids[kept], count[kept]
+        self.n = n = len(self.ids)
+        self.table = None
+        if bits <= _TABLE_BITS:
+            self.table = np.full(1 << bits, n, dtype=np.int32)
+            self.table[self.ids] = np.arange(n)
         # order 0: every symbol a slot and its part of the others; the rest is the escape
-        single = np.bincount(of[count == 1], minlength=lanes)
-        share = 1 + count * ((1 << _SLOTS) - 1 - symbols)[of] // (n + single)[of]
-        before = np.cumsum(share) - share
-        self.start = before - before[self.first[:-1]][of]
-        self.share = share
-        self.escape = np.bincount(of, share, lanes).astype(np.int64)  # where the escape starts
-        self.slots = np.full(lanes << _SLOTS, -1, dtype=np.int16)
-        places = np.repeat((of << _SLOTS) + self.start - before, share) + np.arange(share.sum())
-        self.slots[places] = np.repeat(np.arange(len(of)) - self.first[of], share)
+        share = 1 + count * ((1 << _SLOTS) - 1 - n) // (known.size + single)
+        self.edges = np.concatenate([[0], np.cumsum(share), [1 << _SLOTS]])
+        self.slots = np.repeat(np.arange(n + 1, dtype=np.int32), np.diff(self.edges))
         # order 1 and order 2
-        base = lane[:, None] * n
-        context, follower, kind = _best(((base + symbol[:, :-1]) * n + symbol[:, 1:]).ravel(), n)
-        self.guess1, self.kind1 = np.full(lanes * n, -1, dtype=np.int16), np.zeros(lanes * n, dtype=np.int8)
-        self.guess1[context], self.kind1[context] = follower, kind
-        pair = ((base + symbol[:, :-2]) * n + symbol[:, 1:-1]) * n + symbol[:, 2:]
-        context, follower, kind = _best(pair.ravel(), n)
-        self.cells = 2 * n
-        cell = self._cell(context // (n * n), context % (n * n))
-        self.pair2 = np.full(lanes * self.cells, -1, dtype=np.int32)
-        self.guess2, self.kind2 = np.full(lanes * self.cells, -1, dtype=np.int16), np.zeros(lanes * self.cells, dtype=np.int8)
-        self.pair2[cell], self.guess2[cell], self.kind2[cell] = context % (n * n), follower, kind
-        self.odds = [((2 * r + 1) << 14) // (t + 1) for r, t in zip(right, tried)]
+        symbol, base = self.symbols(known), n + 1
         self.last = symbol[:, -2:]
-
-    def _cell(self, lane, pair):
-        return lane * self.cells + ((pair * 2654435761 >> 7) & (self.cells - 1))
-
-    def guesses(self, lane, last2, last1):
-        """(guess, kind) of both orders for contexts of symbols, -1 for an unknown one; ends of their shares."""
-        has1 = last1 >= 0
-        at1 = lane * self.n + np.where(has1, last1, 0)
-        guess1, kind1 = np.where(has1, self.guess1[at1], -1), self.kind1[at1]
-        pair = np.where(has1 & (last2 >= 0), last2 * self.n + last1, 0)
-        cell = self._cell(lane, pair)
-        has2 = has1 & (last2 >= 0) & (self.pair2[cell] == pair)
-        guess2, kind2 = np.where(has2, self.guess2[cell], -1), self.kind2[cell]
-        guess1 = np.where(guess1 == guess2, -1, guess1)
-        end2 = np.where(guess2 >= 0, 1 + (self.odds[1][lane * _KINDS + kind2] * 60000 >> 15), 0)
-        end1 = end2 + np.where(guess1 >= 0, 1 + (self.odds[0][lane * _KINDS + kind1] * (60800 - end2) >> 15), 0)
-        return guess2, kind2, guess1, kind1, end2, end1
+        odds1, odds2 = (((2 * r + 1) << 14) // (t + 1) for r, t in zip(right, tried))
+        keys = symbol[:, :-1] * base + symbol[:, 1:]
+        context, follower, kind = _best(keys[(symbol[:, :-1] < n) & (symbol[:, 1:] < n)], base)
+        self.guess1, self.kind1, self.part1 = np.full(base, -1), np.zeros(base, dtype=np.int64), np.zeros(base, dtype=np.int64)
+        self.guess1[context], self.kind1[context], self.part1[context] = follower, kind, odds1[kind]
+        within = (symbol[:, :-2] < n) & (symbol[:, 1:-1] < n) & (symbol[:, 2:] < n)
+        context, follower, kind = _best((keys[:, :-1] * base + symbol[:, 2:])[within], base)
+        self.cells = 1 << (2 * len(context) + 1).bit_length()
+        cell = self._cell(context)
+        self.pair2 = np.full(self.cells, -1)
+        self.guess2, self.kind2, self.part2 = np.full(self.cells, -1), np.zeros(self.cells, dtype=np.int64), np.zeros(self.cells, dtype=np.int64)
+        self.pair2[cell], self.guess2[cell] = context, follower
+        self.kind2[cell], self.part2[cell] = kind, 1 + (odds2[kind] * _MOST2 >> 15)
+
+    def symbols(self, ids):
+        if self.table is not None:
+            return self.table[ids].astype(np.int64)
+        place = np.minimum(np.searchsorted(self.ids, ids), self.n - 1)
+        return np.where(self.ids[place] == ids, place, self.n)
+
+    def _cell(self, pair):
+        return (pair * 2654435761 >> 7) & (self.cells - 1)
+
+    def guesses(self, last2, last1):
+        """(guess, end of its share) of order 2 and of order 1, -1 for none, and the cell of the order-2 context."""
+        pair = last2 * (self.n + 1) + last1
+        cell = self._cell(pair)
+        has2 = self.pair2[cell] == pair
+        guess2, end2 = np.where(has2, self.guess2[cell], -1), np.where(has2, self.part2[cell], 0)
+        guess1 = self.guess1[last1]
+        has1 = (guess1 >= 0) & (guess1 != guess2)
+        end1 = end2 + has1 * (1 + (self.part1[last1] * (_MOST1 - end2) >> 15))
+        return guess2, end2, np.where(has1, guess1, -1), end1, cell
+
+    def learn(self, symbol, last1, guess2, guess1, cell, right, tried):
+        for k, (guess, kind, asked) in enumerate(
+            ((guess1, self.kind1[last1], (guess1 >= 0) & (symbol != guess2)), (guess2, self.kind2[cell], guess2 >= 0))
+        ):
+            tried[k] += np.bincount(kind[asked], minlength=_KINDS)
+            right[k] += np.bincount(kind[asked & (symbol == guess)], minlength=_KINDS)
 
 
 def _spread(slot, end1):
-    """Where an order-0 slot begins among the 65536 values."""
+    """Where an order-0 slot begins among the values."""
     return end1 + (slot * ((1 << _TOTAL) - end1) >> _SLOTS)
 
 
-def _learn(right, tried, lane, symbol, guess2, kind2, guess1, kind1):
-    size = len(right[0])
-    for k, (guess, kind, asked) in enumerate(
-        ((guess1, kind1, (guess1 >= 0) & (symbol != guess2)), (guess2, kind2, guess2 >= 0))
-    ):
-        at = (lane * _KINDS + kind)[asked]
-        tried[k] += np.bincount(at, minlength=size)
-        right[k] += np.bincount(at[(symbol == guess)[asked]], minlength=size)
-
-
 def _epochs(length):
     ends = [e for e in EPOCHS if e < length]
     return list(zip([0, *ends], [*ends, length]))
 
 
-def _put_raw(writer, at, ids, bits):
-    if bits > 16:
-        writer.put(at, (ids >> 16).astype(np.uint64) << np.uint64(32 - bits), np.uint64(1 << (32 - bits)))
-    low = min(bits, 16)
-    writer.put(at, (ids & 0xFFFF).astype(np.uint64) << np.uint64(16 - low), np.uint64(1 << (16 - low)))
+def _records():
+    return tuple([np.zeros(_KINDS, dtype=np.int64) for _ in range(2)] for _ in range(2))
 
 
-def _take_raw(reader, at, bits):
-    value = 0
-    for width in ([bits - 16, 16] if bits > 16 else [bits]):
-        part = reader.look(at) >> (16 - width)
-        reader.take(at, part.astype(np.uint64) << np.uint64(16 - width), np.uint64(1 << (16 - width)))
-        value = value << 16 | part
-    return value
+def _grid(n):
+    """(blocks, ids of a block, ids of the last one)."""
+    lanes = -(-n // BLOCK)
+    return lanes, min(BLOCK, n), n - (lanes - 1) * BLOCK
 
 
-def _put_slice(writer, model, lane, part, last, tail, bits, right, tried):
-    """Code some positions of all lanes and learn from them; gives the last two symbols.
-
-    `tail` positions of the last block are left, counted from the first of these, if that block
-    is the last lane.
-    """
-    whole = len(writer.low)
-    keys = lane << 32 | part
-    place = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-    found = model.keys[place] == keys
-    symbol = np.where(found, place - model.first[:-1, None], -1)
-    seen = np.concatenate([last, symbol], axis=1)
-    lanes = np.broadcast_to(lane, part.shape)
-    guess2, kind2, guess1, kind1, end2, end1 = model.guesses(lanes, seen[:, :-2], seen[:, 1:-1])
-    slot = np.where(found, model.start[place], model.escape[lane])
-    after = np.where(found, slot + model.share[place], 1 << _SLOTS)
-    by2, by1 = found & (symbol == guess2), found & (symbol == guess1)
-    start = np.where(by2, 0, np.where(by1, end2, _spread(slot, end1))).astype(np.uint64)
-    stop = np.where(by2, end2, np.where(by1, end1, _spread(after, end1))).astype(np.uint64)
-    start, share = np.ascontiguousarray(start.T), np.ascontiguousarray((stop - start).T)
-    real = np.ones(part.shape, dtype=bool)
-    if len(lane) == whole:
-        real[-1, max(tail, 0) :] = False
-    fresh = ~found & real
-    for t in range(part.shape[1]):
-        now = len(lane) if real[-1, t] else len(lane) - 1
-        writer.put(slice(0, now), start[t, :now], share[t, :now])
-        raw = np.flatnonzero(fresh[:, t])
-        if len(raw):
-            _put_raw(writer, raw, part[raw, t], bits)
-    _learn(right, tried, lanes[real], *(x[real] for x in (symbol, guess2, kind2, guess1, kind1)))
-    return seen[:, -2:]
+def _pushed(start, share, tail):
+    """(states of the lanes, words) of shares by position and lane; the last lane has `tail` positions."""
+    lanes = start.shape[1]
+    state = np.full(lanes, _LOWEST)
+    words = []
+    for t in range(len(start) - 1, -1, -1):
+        now = lanes if t < tail else lanes - 1
+        x, part = state[:now], share[t, :now].astype(np.uint64)
+        out = np.flatnonzero(x >= part << _U44)
+        words.append((x[out] & _MASK32).astype(np.uint32))
+        x[out] >>= _U32
+        whole = x // part
+        state[:now] = (whole << _U20) + (x - whole * part) + start[t, :now]
+    return state, np.concatenate([np.zeros(0, dtype=np.uint32), *words[::-1]])
 
 
 def encode_blocks(ids, bits):
-    """List of word arrays, one for each block of `ids` (int64, below 2**bits)."""
-    lanes = -(-len(ids) // BLOCK)
-    if not lanes:
-        return []
-    tail = len(ids) - (lanes - 1) * BLOCK
-    grid = np.zeros((lanes, min(BLOCK, len(ids))), dtype=np.int64)
+    """(escaped ids, states of the blocks, words) of `ids` (int64, below 2**bits)."""
+    lanes, width, tail = _grid(len(ids))
+    grid = np.zeros((lanes, width), dtype=np.int64)
     grid.ravel()[: len(ids)] = ids
-    writer = _Writer(lanes, 4 * grid.shape[1] + 16)
-    right, tried = ([np.zeros(lanes * _KINDS, dtype=np.int64) for _ in range(2)] for _ in range(2))
-    for begin, end in _epochs(grid.shape[1]):
+    escaped, begins = [], EPOCHS[0] if width > EPOCHS[0] else width
+    start, share = (np.zeros((width - begins, lanes), dtype=np.uint32) for _ in range(2))
+    right, tried = _records()
+    for begin, end in _epochs(width):
         active = lanes if tail > begin else lanes - 1
         if not begin:
-            for t in range(end):
-                _put_raw(writer, slice(0, lanes if t < tail else lanes - 1), grid[: lanes if t < tail else lanes - 1, t], bits)
+            escaped += [grid[: lanes if t < tail else lanes - 1, t] for t in range(end)]
             continue
-        model = _Model(grid[:active, :begin], right, tried)
-        lane = np.arange(active)[:, None]
+        model = _Model(grid[:active, :begin], right, tried, bits)
         last = model.last
         for t in range(begin, end, _SLICE):
-            last = _put_slice(writer, model, lane, grid[:active, t : min(t + _SLICE, end)], last, tail - t, bits, right, tried)
-    return writer.finish()
-
-
-def decode_blocks(words, sizes, n_ids, bits):
-    """The ids of blocks whose words follow each other in `words`, `sizes` words each."""
-    lanes = len(sizes)
-    if not lanes:
-        return np.zeros(0, dtype=np.int64)
-    tail = n_ids - (lanes - 1) * BLOCK
-    grid = np.zeros((lanes, min(BLOCK, n_ids)), dtype=np.int64)
-    reader = _Reader(words, sizes)
-    right, tried = ([np.zeros(lanes * _KINDS, dtype=np.int64) for _ in range(2)] for _ in range(2))
-    for begin, end in _epochs(grid.shape[1]):
+            part = grid[:active, t : min(t + _SLICE, end)]
+            symbol = model.symbols(part)
+            seen = np.concatenate([last, symbol], axis=1)
+            last1 = seen[:, 1:-1]
+            guess2, end2, guess1, end1, cell = model.guesses(seen[:, :-2], last1)
+            by2, by1 = symbol == guess2, symbol == guess1
+            low = np.where(by2, 0, np.where(by1, end2, _spread(model.edges[symbol], end1)))
+            high = np.where(by2, end2, np.where(by1, end1, _spread(model.edges[symbol + 1], end1)))
+            rows = slice(t - begins, t - begins + part.shape[1])
+            start[rows, :active], share[rows, :active] = low.T, (high - low).T
+            real = np.ones(part.shape, dtype=bool)
+            if active == lanes:
+                real[-1, max(tail - t, 0) :] = False
+            escaped.append(part.T[((symbol == model.n) & real).T])  # by position, then block
+            model.learn(*(x[real] for x in (symbol, last1, guess2, guess1, cell)), right, tried)
+            last = seen[:, -2:]
+    state, words = _pushed(start, share, tail - begins)
+    return np.concatenate([np.zeros(0, dtype=np.int64), *escaped]), state, words
+
+
+def decode_blocks(escaped, state, words, n_ids, bits):
+    """The `n_ids` ids that `encode_blocks` was given; raises ValueError if something is missing."""
+    lanes, width, tail = _grid(n_ids)
+    grid = np.zeros((width, lanes), dtype=np.int64)  # by position
+    state, words = state.astype(np.uint64), words.astype(np.uint64)
+    at, read = 0, 0
+    right, tried = _records()
+    for begin, end in _epochs(width):
         active = lanes if tail > begin else lanes - 1
         if not begin:
             for t in range(end):
                 now = lanes if t < tail else lanes - 1
-                grid[:now, t] = _take_raw(reader, slice(0, now), bits)
+                grid[t, :now] = escaped[at : at + now]
+                at += now
             continue
-        model = _Model(grid[:active, :begin], right, tried)
-        lane = np.arange(active)
-        told = [np.full((end - begin, active), -1, dtype=np.int16) for _ in range(5)]
-        last2, last1 = model.last[:, 0], model.last[:, 1]
-        for t in range(end - begin):
-            now = active if t + begin < tail else lanes - 1
-            at, lane, last2, last1 = slice(0, now), lane[:now], last2[:now], last1[:now]
-            guess2, kind2, guess1, kind1, end2, end1 = model.guesses(lane, last2, last1)
-            value = reader.look(at)
-            rest = (1 << _TOTAL) - end1
-            slot = (((np.maximum(value - end1, 0) + 1) << _SLOTS) - 1) // rest
-            symbol = np.where(value < end2, guess2, np.where(value < end1, guess1, model.slots[(lane << _SLOTS) + slot])).astype(np.int64)
-            found = symbol >= 0
-            place = model.first[:-1][:now] + np.maximum(symbol, 0)
-            begins = np.where(found, model.start[place], model.escape[:now])
-            after = np.where(found, begins + model.share[place], 1 << _SLOTS)
-            start = np.where(value < end2, 0, np.where(value < end1, end2, _spread(begins, end1)))
-            stop = np.where(value < end2, end2, np.where(value < end1, end1, _spread(after, end1)))
-            reader.take(at, start.astype(np.uint64), (stop - start).astype(np.uint64))
-            ids = model.keys[place] & 0xFFFFFFFF
-            raw = np.flatnonzero(~found)
-            if len(raw):
-                ids[raw] = _take_raw(reader, raw, bits)
-            grid[:now, t + begin] = ids
-            for kept, x in zip(told, (symbol, guess2, kind2, guess1, kind1)):
-                kept[t, :now] = x
-            last2, last1 = last1, symbol
+        model = _Model(grid[:begin, :active].T, right, tried, bits)
+        ids = np.append(model.ids, 0)
+        seen = np.zeros((end - begin + 2, active), dtype=np.int64)
+        seen[:2] = model.last.T
+        for t in range(begin, end):
+            now = active if t < tail else lanes - 1
+            guess2, end2, guess1, end1, _ = model.guesses(seen[t - begin, :now], seen[t - begin + 1, :now])
+            value = (state[:now] & np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
+            slot = (((np.maximum(value - end1, 0) + 1) << _SLOTS) - 1) // ((1 << _TOTAL) - end1)
+            symbol = model.slots[slot].astype(np.int64)
+            low, high = _spread(model.edges[symbol], end1), _spread(model.edges[symbol + 1], end1)
+            guessed = np.flatnonzero(value < end1)
+            if len(guessed):
+                second = value[guessed] < end2[guessed]
+                symbol[guessed] = np.where(second, guess2[guessed], guess1[guessed])
+                low[guessed] = np.where(second, 0, end2[guessed])
+                high[guessed] = np.where(second, end2[guessed], end1[guessed])
+            x = (high - low).astype(np.uint64) * (state[:now] >> _U20) + (value - low).astype(np.uint64)
+            due = np.flatnonzero(x < _LOWEST)
+            x[due] = x[due] << _U32 | words[read : read + len(due)]
+            read += len(due)
+            state[:now] = x
+            seen[t - begin + 2, :now] = symbol
+            grid[t, :now] = ids[symbol]
+            new = np.flatnonzero(symbol == model.n)
+            grid[t, new] = escaped[at : at + len(new)]
+            at += len(new)
         for t in range(0, end - begin, _SLICE):
-            some = [x[t : t + _SLICE] for x in told]
-            real = np.ones(some[0].shape, dtype=bool)
+            some = seen[t : t + _SLICE + 2]
+            guess2, _, guess1, _, cell = model.guesses(some[:-2], some[1:-1])
+            real = np.ones(guess2.shape, dtype=bool)
             if active == lanes:
                 real[max(tail - begin - t, 0) :, -1] = False
-            of = np.broadcast_to(np.arange(active), real.shape)
-            _learn(right, tried, of[real], *(x[real].astype(np.int64) for x in some))
-    return grid.ravel()[:n_ids]
+            model.learn(*(x[real] for x in (some[2:], some[1:-1], guess2, guess1, cell)), right, tried)
+    if at != len(escaped) or read != len(words) or (state != _LOWEST).any():
+        raise ValueError("a token file is damaged")
+    return np.ascontiguousarray(grid.T).ravel()[:n_ids]
 
 
 def write_shard(doc_ids, lengths, ids):
-    """A self-contained token file: header, document index, block index, blocks.
+    """A self-contained token file: header, document index, block index, escaped ids, states, words.
 
     `doc_ids` may hold None. The header and both indexes share a CRC-32; every block has its own.
     """
     ids = np.asarray(ids, dtype=np.int64)
     bits = max(int(ids.max()).bit_length(), 1) if len(ids) else 1
-    blocks = encode_blocks(ids, bits)
-    raw = ids.astype("<u4").tobytes()
-    sums = [zlib.crc32(raw[k * BLOCK * 4 : (k + 1) * BLOCK * 4]) for k in range(len(blocks))]
+    escaped, state, words = encode_blocks(ids, bits) if len(ids) else [np.zeros(0, dtype=np.int64)] * 3
+    raw = memoryview(ids.astype("<u4").tobytes())
+    sums = [zlib.crc32(raw[k * BLOCK * 4 : (k + 1) * BLOCK * 4]) for k in range(len(state))]
     null = np.packbits([d is None for d in doc_ids]).tobytes()
     head = b"".join(
         [
-            struct.pack(_HEAD, MAGIC, bits, BLOCK, len(doc_ids), len(ids), len(blocks)),
+            struct.pack(_HEAD, MAGIC, bits, BLOCK, len(doc_ids), len(ids), len(state), len(escaped), len(words)),
             np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes(),
             null,
             np.array(lengths, dtype="<u4").tobytes(),
-            np.array([len(b) for b in blocks], dtype="<u4").tobytes(),
             np.array(sums, dtype="<u4").tobytes(),
         ]
     )
-    return b"".join([head, struct.pack("<I", zlib.crc32(head)), *[b.astype("<u2").tobytes() for b in blocks]])
+    body = [escaped.astype("<u2" if bits <= 16 else "<u4"), state.astype("<u8"), words.astype("<u4")]
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), *[x.tobytes() for x in body]])
 
 
 def read_shard(data):
     """(doc_ids, lengths, ids) of a token file; raises ValueError if it is damaged."""
-    magic, bits, block, n_docs, n_ids, n_blocks = struct.unpack_from(_HEAD, data)
+    magic, bits, block, n_docs, n_ids, n_blocks, n_escaped, n_words = struct.unpack_from(_HEAD, data)
     if magic != MAGIC or block != BLOCK:
         raise ValueError("not a token file of this version")
-    at, parts = struct.calcsize(_HEAD), []
-    for kind, n in (("<i8", n_docs), ("u1", -(-n_docs // 8)), ("<u4", n_docs), ("<u4", n_blocks), ("<u4", n_blocks)):
-        parts.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
-        at += parts[-1].nbytes
+    at = struct.calcsize(_HEAD)
+
+    def taken(*kinds):
+        nonlocal at
+        for kind, n in kinds:
+            part = np.frombuffer(data, dtype=kind, count=n, offset=at)
+            at += part.nbytes
+            yield part
+
+    numbers, null, lengths, sums = taken(("<i8", n_docs), ("u1", -(-n_docs // 8)), ("<u4", n_docs), ("<u4", n_blocks))
     if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
         raise ValueError("the index of a token file is damaged")
-    numbers, null, lengths, sizes, sums = parts
-    words = np.frombuffer(data, dtype="<u2", offset=at + 4)
-    if len(words) != sizes.sum(dtype=np.int64):
+    at += 4
+    escaped, state, words = taken(("<u2" if bits <= 16 else "<u4", n_escaped), ("<u8", n_blocks), ("<u4", n_words))
+    if at != len(data):
         raise ValueError("a token file is cut short")
     try:
-        ids = decode_blocks(words, sizes.astype(np.int64), n_ids, bits)
-    except IndexError:  # a damaged block may ask for words that are not there
+        ids = decode_blocks(escaped, state, words, n_ids, bits) if n_ids else np.zeros(0, dtype=np.int64)
+    except IndexError:  # damaged words may lead to ids that are not there
         raise ValueError("a block of a token file is damaged") from None
-    raw = ids.astype("<u4").tobytes()
+    raw = memoryview(ids.astype("<u4").tobytes())
     for k, want in enumerate(sums):
         if zlib.crc32(raw[k * BLOCK * 4 : (k + 1) * BLOCK * 4]) != want:
             raise ValueError(f"block {k} of a token file is damaged")

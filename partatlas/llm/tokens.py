@@ -1,4 +1,4 @@
-"""Token ids of documents in files of the range coder (`coder`), and back.
+"""Token ids of documents in files of the entropy coder (`coder`), and back.
 
 Documents are dealt by ranges of their ids and sorted, so the files follow the order of
 doc_id. A shard file holds whole documents up to about `SHARD_IDS` ids. Spark's writer
@@ -6,6 +6,7 @@ carries the files as binary rows (part, seq, data), which makes a write atomic a
 nothing behind by lost or repeated tasks; `data` is complete on its own.
 """
 
+import os
 import re
 import zlib
 from array import array
@@ -34,6 +35,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Number of every word seen; new words are listed in `fresh`."""
+
+    def __init__(self):
+        self.fresh = []
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class ByteLevelEncoder:
     """Ids of texts by the tokenizers library, which encodes every distinct word once.
 
@@ -42,16 +55,21 @@ class ByteLevelEncoder:
     """
 
     LIMIT = 250_000
-    BATCH = 2048  # words that are encoded at a time
+    BATCH, GROUP = 512, 4  # inputs that are encoded at a time, words of an input
 
     def __init__(self, path: str, special_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        longest_first = sorted(added, key=len, reverse=True)
-        self.special = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
+        added = {} if special_as_text else self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: number for number, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
+        # a token that parts the words of an input as if each were alone
+        marks = [(t.content, n) for n, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_id = marks[0] if marks else ("", -1)
         self._forget()
 
     def _words(self, text):
@@ -67,24 +85,33 @@ class ByteLevelEncoder:
         return out
 
     def _forget(self):
-        self.number, self.ids, self.size = {}, array("I"), array("I")
+        self.number, self.ids, self.size = _Numbers(), array("I", self.added.values()), array("I", [1] * len(self.added))
+        self.number.update(((content,), k) for k, content in enumerate(self.added))
+
+    def _encode_fresh(self):
+        fresh, self.number.fresh = self.number.fresh, []
+        group = self.GROUP if self.mark else 1
+        for at in range(0, len(fresh), self.BATCH * group):  # the library holds far more than the ids of a word
+            plain = [w[0] if isinstance(w, tuple) else " " + w for w in fresh[at : at + self.BATCH * group]]
+            inputs = [self.mark.join(plain[k : k + group]) for k in range(0, len(plain), group)]
+            ids = []
+            for one in self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False):
+                ids += one.ids
+                ids.append(self.mark_id)
+            ids = np.array(ids, dtype=np.int64)
+            ends = np.flatnonzero(ids == self.mark_id)
+            self.size.extend((np.diff(ends, prepend=-1) - 1).tolist())
+            self.ids.extend(ids[ids != self.mark_id].tolist())
 
     def encode(self, texts):
         """(ids of all texts, number of ids by text)."""
         if len(self.number) > self.LIMIT:
             self._forget()
         parts = [self._words(text) for text in texts]
-        fresh = list(set(chain.from_iterable(parts)).difference(self.number))
-        for at in range(0, len(fresh), self.BATCH):  # the library holds far more than the ids of a word
-            some = fresh[at : at + self.BATCH]
-            plain = [w[0] if isinstance(w, tuple) else " " + w for w in some]
-            for word, one in zip(some, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-                self.number[word] = len(self.size)
-                self.ids.extend(one.ids)
-                self.size.append(len(one.ids))
-        number = self.number
         counts = [len(p) for p in parts]
-        words = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), dtype=np.int32, count=sum(counts))
+        number = self.number.__getitem__
+        words = np.fromiter(map(number, chain.from_iterable(parts)), dtype=np.int32, count=sum(counts))
+        self._encode_fresh()
         size, table = np.array(self.size, dtype=np.int32), np.array(self.ids, dtype=np.uint32)
         begin = np.cumsum(size, dtype=np.int32) - size
         sizes = size[words]

@@ -42,6 +42,16 @@ def test_coder_learns_and_notices_damage():
         coder.read_shard(data[:-2])
 
 
+def test_coder_counts_ids_over_the_whole_shard():
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(50_000)[np.minimum(rng.pareto(1.0, 200_000) * 20, 49_999).astype(int)]
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    data = coder.write_shard([1], [len(ids)], ids)
+    assert len(data) * 8 < 1.1 * entropy * len(ids)
+    assert (coder.read_shard(data)[2] == ids).all()
+
+
 def test_token_files_equal_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(tokens, "SHARD_IDS", 50)
     from tokenizers import Tokenizer
@@ -351,3 +361,15 @@ def test_words_are_encoded_in_bounded_batches(monkeypatch):
     monkeypatch.setattr(tokens.ByteLevelEncoder, "BATCH", 3)
     assert [x.tolist() for x in other.encode(texts)] == [x.tolist() for x in whole]
     assert max(asked) == 3
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_words_of_an_input_are_encoded_as_if_alone(special_as_text):
+    texts = ["a<|endoftext|><|endoftext|> b", "<|endoftext|>", "<|endo ftext|> 's a's é漢 12,3", "", " ", "x\n\n y \t z"]
+    texts += [f"word{k}, don't{k}! {k}" for k in range(50)]
+    encoder = tokens.ByteLevelEncoder(tokens.vocabulary_path(), special_as_text)
+    assert special_as_text or encoder.mark
+    for _ in range(2):
+        ids, counts = encoder.encode(texts)
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
