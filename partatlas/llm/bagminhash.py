@@ -12,8 +12,8 @@ leader, the pair is verified by the exact multisets of both, and the pairs found
 connected. The leader is the member whose buckets hold most documents altogether: of copies
 that were edited apart, that is the text between them. Buckets that still hold documents of
 several components are compared member by member, in cells of bounded size, by their whole
-signatures, and the pairs that agree enough are verified; so the leaders lose no link, and
-within one component nothing is left to compare. Documents with equal word sequences are one
+signatures, and pairs that agree enough are verified in their cell until links connect them; so
+the leaders lose no link of components, and within one component nothing is left to compare. Documents with equal word sequences are one
 document in all of this.
 """
 
@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 SLACK = 4.0  # standard deviations that the agreement of a similar pair may fall short
 LEADER_PAIRS = 500  # verified per piece of a leader
 CELL_ROWS = 4096
+TEXT_ROWS = 256  # documents of a chunk that are held with their texts
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,41 +199,95 @@ def _leader_pairs(members: DataFrame) -> DataFrame:
     return members.join(leaders, "key").where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
 
 
-def _open_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of different components that share a bucket and whose signatures agree enough.
+def _cells(members: DataFrame, size: int) -> DataFrame:
+    """`members` (key, rows, rep, …) with their chunk, once for every cell (key, i, j) of two chunks of about `size`."""
+    chunks = F.ceil(F.col("rows") / size).cast("int")
+    return (
+        members.withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+        .drop("other", "rows")
+    )
+
 
-    `members` has key, rep, rows, comp and sketch. A bucket of more than `CELL_ROWS` is cut into
-    chunks; two chunks meet in a cell, which compares their sketches as matrices.
+def _agreeing(key, table, least):
+    """(x, all y of another component that agree enough with x) of the rows of a cell.
+
+    Two documents are compared in the first bucket that they share only.
+    """
+    agreeing = int(COMPONENTS * least - SLACK * (COMPONENTS * least * (1 - least)) ** 0.5)
+    comp, chunk = (table.column(c).to_numpy() for c in ("comp", "chunk"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COMPONENTS)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    bucket, i, j = (k.as_py() for k in key)
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    for x in left:
+        y = right[comp[right] > comp[x]] if i == j else right[comp[right] != comp[x]]
+        y = y[(sketch[y] == sketch[x]).sum(axis=1) >= agreeing]
+        if len(y):
+            y = y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == bucket]
+        if len(y):
+            yield x, y
+
+
+def _open_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame | None:
+    """(src, dst): links between different components of a bucket, no more in a cell than connect its components.
+
+    `members` has key, rep, rows and comp. Cells compare the signatures as matrices and name the documents
+    that agree with one of another component; these meet once more, in smaller cells and with their
+    texts, where a pair is verified unless links found before connect it. None if no document agrees.
     """
-    chunks = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
     mixed_ = (
         members.groupBy("key")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where(F.col("low") < F.col("high"))
         .select("key")
     )
-    cells = (
-        members.join(mixed_, "key")
-        .withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "sketch")
-    )
-    agreeing = int(COMPONENTS * least - SLACK * (COMPONENTS * least * (1 - least)) ** 0.5)
 
-    def compare(key, table):
-        rep, comp, chunk = (table.column(c).to_numpy() for c in ("rep", "comp", "chunk"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COMPONENTS)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for x in left:
-            y = right[comp[right] > comp[x]] if i == j else right[comp[right] != comp[x]]
-            y = y[(sketch[y] == sketch[x]).sum(axis=1) >= agreeing]
-            a.append(np.minimum(rep[x], rep[y]))
-            b.append(np.maximum(rep[x], rep[y]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    def named(key, table):
+        at = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(np.append(y, x) for x, y in _agreeing(key, table, least))]))
+        return table.select(["key", "rep", "comp"]).take(pa.array(at))
+
+    def linked(key, table):
+        rep, comp = (table.column(c).to_pylist() for c in ("rep", "comp"))
+        texts, known, bags, parent = as_bytes(table.column("text")), WordHashes(), {}, {}
+        src, dst = [], []
+
+        def root(c):
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        for x, others in _agreeing(key, table, least):
+            for y in others:
+                a, b = root(comp[x]), root(comp[y])
+                if a == b:
+                    continue
+                for k in (x, y):
+                    if k not in bags:
+                        bags[k] = _counted(texts[k], known)
+                if similarity(bags[x], bags[y]) >= least:
+                    parent[max(a, b)] = min(a, b)
+                    src.append(rep[x])
+                    dst.append(rep[y])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    cells = _cells(members.join(mixed_, "key").join(sketches, "rep"), CELL_ROWS)
+    near = written(cells.groupBy("key", "i", "j").applyInArrow(named, "key long, rep long, comp long").distinct())
+    if near.isEmpty():
+        return None
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    wanted = near.select(F.col("rep").alias("doc_id")).distinct()
+    found = written(texts.hint("merge").join(wanted, "doc_id", "left_semi").distinct())
+    sized = near.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
+    with_text = (
+        _cells(sized, min(TEXT_ROWS, CELL_ROWS))
+        .join(sketches, "rep")
+        .join(found.hint("merge"), F.col("rep") == F.col("doc_id"))
+        .drop("doc_id")
+    )
+    return with_text.groupBy("key", "i", "j").applyInArrow(linked, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -254,14 +309,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     buckets = written(_buckets(groups))
     edges = written(verified(written(_leader_pairs(buckets)), docs, least))
     comps = written(connected_components(edges))
-    with_comp = (
-        buckets.join(groups.select("rep", "sketch"), "rep")
-        .join(comps, F.col("rep") == F.col("node"), "left")
-        .select("key", "rep", "rows", F.coalesce("component", "rep").alias("comp"), "sketch")
+    with_comp = buckets.join(comps, F.col("rep") == F.col("node"), "left").select(
+        "key", "rep", "rows", F.coalesce("component", "rep").alias("comp")
     )
-    more = written(_open_pairs(with_comp, least))
-    if not more.isEmpty():
-        edges = edges.unionByName(written(verified(more, docs, least)))
+    more = _open_links(with_comp, groups.select("rep", "sketch", "bands"), docs, least)
+    if more is not None:
+        edges = edges.unionByName(written(more))
         comps = written(connected_components(edges))
     members = sig.select("doc_id", "digest").join(groups.select("digest", "rep"), "digest").select("doc_id", "rep")
     found = (

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import plain
 from partatlas.llm import bagminhash, embeddings, suffix
@@ -55,6 +56,26 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert got == {d: (c, c == d) for d, c in want.items()}
 
 
+@pytest.mark.parametrize("text_rows", [256, 5])
+def test_open_buckets_give_no_more_links_than_connect_them(spark, monkeypatch, text_rows):
+    monkeypatch.setattr(bagminhash, "TEXT_ROWS", text_rows)
+    rng = np.random.default_rng(3)
+    words = _words(rng, 200)
+    docs = _docs(spark, [(k, " ".join(_edited(rng, words, 1))) for k in range(40)]).cache()
+    groups = bagminhash.signed(docs).withColumnRenamed("doc_id", "rep").cache()
+    apart = bagminhash._buckets(groups).withColumn("comp", F.col("rep"))
+    links = [(r.src, r.dst) for r in bagminhash._open_links(apart, groups.select("rep", "sketch", "bands"), docs, 0.8).collect()]
+    by_bucket = sum(r.rows - 1 for r in apart.select("key", "rows").distinct().collect())
+    assert text_rows < 40 or len(links) <= min(by_bucket, 40 * 39 / 4)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(plain.weighted_jaccard(plain.bag(texts[a]), plain.bag(texts[b])) >= 0.8 for a, b in links)
+    of = {k: k for k in texts}
+    for a, b in links:
+        low, high = sorted((of[a], of[b]))
+        of = {k: low if c == high else c for k, c in of.items()}
+    assert of == plain.near_duplicates(texts)
+
+
 def test_near_duplicates_of_nulls_and_repeats(spark):
     rows = [(1, None), (2, ""), (None, "a b c"), (None, None), (3, "x y z"), (3, "x y z"), (4, "x  y z")]
     got = sorted(((r.doc_id or -1), r.component_id or -1, r.kept) for r in bagminhash.near_duplicates(_docs(spark, rows)).collect())
