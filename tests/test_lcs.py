@@ -29,3 +29,46 @@ def test_column_expression(spark):
     frame = spark.createDataFrame(pairs, "a string, b string")
     got = [r[0] for r in frame.select(sku_similarity(F.col("a"), F.col("b"))).collect()]
     assert got == [sku_ratio(a, b) for a, b in pairs]
+
+
+def test_shared_beginnings_are_run_once(monkeypatch):
+    from partatlas.functions import lcs
+
+    words = [f"AB-{k:03d}" for k in range(100)] + ["", "AB", "AB-0"]
+    strings, at = Strings(words), np.arange(len(words))
+    run, plain = [], lcs._step
+    monkeypatch.setattr(lcs, "_step", lambda state, hits: (run.append(len(hits[0])), plain(state, hits)))
+    table = lcs.lcs_table(strings, at, at, np.uint8)
+    # one state per different beginning, and the ends of shorter strings
+    assert sum(run) < 100 + 10 + 4 + 3 * 6
+    left, right = (x.ravel() for x in np.meshgrid(at, at, indexing="ij"))
+    assert (table.ravel() == lcs.lcs_pairs(strings, left, right)).all()
+
+
+def test_profile_of_mixed_lengths_against_brute_force():
+    import pyarrow as pa
+
+    from partatlas.functions.lcs import ratio
+    from partatlas.operators.sku_pairs import profiling
+
+    rng = np.random.default_rng(5)
+    for longest in (8, 40, 300):
+        words = ["", *("".join(rng.choice(list("Aé1"), rng.integers(0, longest + 1))) for _ in range(30))]
+        ids, n = rng.permutation(len(words)), rng.integers(1, 4, len(words))
+        rows = sorted(({"id": int(i), "sku": w, "n": int(k), "last": 0} for i, w, k in zip(ids, words, n)), key=lambda r: r["id"])
+        lists = pa.array([rows], pa.list_(pa.struct({"id": pa.int64(), "sku": pa.string(), "n": pa.int64(), "last": pa.int64()})))
+        batch = pa.RecordBatch.from_arrays([lists, lists, pa.array([True])], names=["a", "b", "diagonal"])
+        (found,) = profiling(0.6)(iter([batch]))
+        strings, at = Strings([r["sku"] for r in rows]), np.arange(len(rows))
+        left, right = (x.ravel() for x in np.meshgrid(at, at, indexing="ij"))
+        sims = ratio(lcs_pairs(strings, left, right), strings.lengths[left] + strings.lengths[right]).reshape(len(rows), -1)
+        others, weight = ~np.eye(len(rows), dtype=bool), np.array([r["n"] for r in rows])
+        got = found.to_pydict()
+        assert np.allclose(got["total"], (sims * others).sum(axis=1))
+        assert np.allclose(got["row_total"], (sims * others) @ weight)
+        high = others & (sims >= 0.6)
+        assert got["high_partners"] == high.sum(axis=1).tolist()
+        assert np.allclose(got["high_total"], (sims * high).sum(axis=1))
+        best = np.where(others, sims, -1).argmax(axis=1)
+        assert got["top_id"] == [rows[k]["id"] for k in best]
+        assert np.allclose(got["top"], sims[at, best])
