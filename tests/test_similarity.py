@@ -209,3 +209,19 @@ def test_weights_come_with_their_terms(make_items):
     weights = similarity.tfidf_weights(index)
     assert {(r.text_id, r.term): r.weight for r in weights.collect()} == pytest.approx(want)
     assert _shuffles_of(weights) <= 3  # by term on both sides and by text
+
+
+def test_sweep_lists_no_pairs_of_equal_texts(make_items, tiny_limits, monkeypatch):
+    """Profiles of one text are counted and linked in their tasks, with the results of the listed pairs."""
+    rows = random_rows(7) + [(1000 + k, f"{'AB'[k % 2]}{k % 5}1{k % 9}", "hot item") for k in range(30)]
+    index = ItemIndex(make_items(rows))
+    thresholds = [0.65, 0.8, 0.9]
+    listed = similarity.similar_pairs(index, min(thresholds))
+    expected = sorted(similarity.threshold_sweep(index, thresholds, pairs=listed).collect())
+    asked, plain = [], similarity.similar_pairs
+    monkeypatch.setattr(similarity, "similar_pairs", lambda *a, **k: asked.append(k) or plain(*a, **k))
+    assert sorted(similarity.threshold_sweep(index, thresholds).collect()) == expected
+    assert asked == [{"equal_texts": False}]
+    profile = similarity.item_similarity_profile(index)
+    one = similarity.similarity_statistics(index, 0.8, profile).first()
+    assert (one.similar_pairs, one.connected_components) == (expected[1].similar_pairs, expected[1].connected_components)
