@@ -225,3 +225,15 @@ def test_sweep_lists_no_pairs_of_equal_texts(make_items, tiny_limits, monkeypatc
     profile = similarity.item_similarity_profile(index)
     one = similarity.similarity_statistics(index, 0.8, profile).first()
     assert (one.similar_pairs, one.connected_components) == (expected[1].similar_pairs, expected[1].connected_components)
+
+
+def test_links_connect_catalogue_numbers_as_all_edges_do(make_items, tiny_limits):
+    """One number with several texts joins their parts; a number with itself alone is no edge; fewer edges than pairs."""
+    rows = [(k, f"AB-{k % 12}", ["hot item", "red bolt", "wide gear"][k % 3]) for k in range(40)] + [(90, "zz", "x1 nut"), (91, "zz", "x1 nut")]
+    index = ItemIndex(make_items(rows))
+    pairs = similarity.similar_pairs(index, 0.8)
+    links = similarity.catalog_links(index, pairs).collect()
+    edges = similarity.catalog_edges(index, pairs).collect()
+    nodes = {x for e in edges for x in (e.src, e.dst)}
+    assert {x for e in links for x in (e.src, e.dst)} == nodes
+    assert brute.components(nodes, [tuple(e) for e in links]) == brute.components(nodes, [tuple(e) for e in edges])
