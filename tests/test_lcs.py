@@ -72,3 +72,45 @@ def test_profile_of_mixed_lengths_against_brute_force():
         best = np.where(others, sims, -1).argmax(axis=1)
         assert got["top_id"] == [rows[k]["id"] for k in best]
         assert np.allclose(got["top"], sims[at, best])
+
+
+@settings(max_examples=40, deadline=None)
+@given(WORDS, WORDS)
+def test_tables_of_lengths_hold_every_pair(left, right):
+    import pyarrow as pa
+
+    from partatlas.functions.lcs import tables_of_lengths
+
+    got = np.full((len(left), len(right)), -1)
+    for rows, columns, table in tables_of_lengths(pa.array(left), pa.array(right)):
+        assert len({len(left[k]) for k in rows}) == len({len(right[k]) for k in columns}) == 1
+        got[np.ix_(rows, columns)] = table
+    assert (got == [[lcs(a, b) for b in right] for a in left]).all()
+
+
+def test_tables_run_what_all_columns_share_once(monkeypatch):
+    import pyarrow as pa
+
+    from partatlas.functions import lcs as kernel
+
+    words = pa.array([f"A-VERY-LONG-BEGINNING-{k:03d}" for k in range(100)])
+    run, plain = [], kernel._carried
+    monkeypatch.setattr(kernel, "_carried", lambda state, hits, last: (run.append(sum(h.nbytes for h in hits)), plain(state, hits, last))[1])
+    ((_, _, table),) = kernel.tables_of_lengths(words, words)
+    assert table.shape == (100, 100) and table.diagonal().tolist() == [25] * 100
+    # a byte for each column and different beginning, and a word for what all columns share
+    assert sum(run) < (22 + 1 + 10 + 100) * (100 + 8) + 1
+
+
+def test_a_member_leaves_a_cell_as_one_row(spark, monkeypatch):
+    from partatlas.operators import blocks, sku_pairs
+
+    members = spark.createDataFrame([(k, f"K-{k * 7919 % 10007:05d}", 1, k) for k in range(600)], "id long, sku string, n long, last long")
+    monkeypatch.setattr(blocks, "TILE", 8)
+    parts, plain = [], sku_pairs.grid
+    monkeypatch.setattr(sku_pairs, "grid", lambda *a, **k: (parts.append(plain(*a, **k)), parts[0])[1])
+    profile = sku_pairs.sku_profile(members, 0.8)
+    assert {r.partners for r in profile.collect()} == {599}
+    seen = {r.id: r["count"] for r in parts[0].groupBy("id").count().collect()}
+    n_blocks = set(seen.values())
+    assert len(seen) == 600 and len(n_blocks) == 1 and n_blocks.pop() <= 8
