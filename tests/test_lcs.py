@@ -82,10 +82,14 @@ def test_tables_of_lengths_hold_every_pair(left, right):
     from partatlas.functions.lcs import tables_of_lengths
 
     got = np.full((len(left), len(right)), -1)
-    for rows, columns, table in tables_of_lengths(pa.array(left), pa.array(right)):
+    for rows, columns, table, _ in tables_of_lengths(pa.array(left), pa.array(right)):
         assert len({len(left[k]) for k in rows}) == len({len(right[k]) for k in columns}) == 1
         got[np.ix_(rows, columns)] = table
     assert (got == [[lcs(a, b) for b in right] for a in left]).all()
+    seen = np.zeros((len(left), len(left)), dtype=int)
+    for rows, columns, table, wanted in tables_of_lengths(pa.array(left), pa.array(left), upper=True):
+        seen[np.ix_(rows, columns)] += np.ones(table.shape, dtype=bool) if wanted is None else wanted
+    assert (seen + seen.T == 1 - np.eye(len(left))).all()
 
 
 def test_tables_run_what_all_columns_share_once(monkeypatch):
@@ -96,7 +100,7 @@ def test_tables_run_what_all_columns_share_once(monkeypatch):
     words = pa.array([f"A-VERY-LONG-BEGINNING-{k:03d}" for k in range(100)])
     run, plain = [], kernel._carried
     monkeypatch.setattr(kernel, "_carried", lambda state, hits, last: (run.append(sum(h.nbytes for h in hits)), plain(state, hits, last))[1])
-    ((_, _, table),) = kernel.tables_of_lengths(words, words)
+    ((_, _, table, _),) = kernel.tables_of_lengths(words, words)
     assert table.shape == (100, 100) and table.diagonal().tolist() == [25] * 100
     # a byte for each column and different beginning, and a word for what all columns share
     assert sum(run) < (22 + 1 + 10 + 100) * (100 + 8) + 1
@@ -114,3 +118,35 @@ def test_a_member_leaves_a_cell_as_one_row(spark, monkeypatch):
     seen = {r.id: r["count"] for r in parts[0].groupBy("id").count().collect()}
     n_blocks = set(seen.values())
     assert len(seen) == 600 and len(n_blocks) == 1 and n_blocks.pop() <= 8
+
+
+def test_large_cells_link_and_match_as_brute_force(monkeypatch):
+    from functools import partial
+
+    import pyarrow as pa
+
+    from partatlas.functions.forest import smallest_labels
+    from partatlas.operators import sku_pairs
+
+    monkeypatch.setattr(sku_pairs, "SMALL_CELL", 1)
+    rng = np.random.default_rng(8)
+    words = sorted({"".join(rng.choice(list("AB1-"), rng.integers(0, 9))) for _ in range(120)})
+    members = [{"id": int(i), "sku": w, "n": int(n), "last": 0} for i, w, n in zip(rng.permutation(len(words)), words, rng.integers(1, 3, len(words)))]
+    kind = pa.list_(pa.struct({"id": pa.int64(), "sku": pa.string(), "n": pa.int64(), "last": pa.int64()}))
+    for cut, diagonal in ((0, True), (50, False)):
+        a, b = (members, members) if diagonal else (members[:cut], members[cut:])
+        names = ["a", "b", "diagonal", "floor"]
+        batch = pa.RecordBatch.from_arrays([pa.array([a], kind), pa.array([b], kind), pa.array([diagonal]), pa.array([0.7])], names=names)
+        near = {t: [(x, y) for x in a for y in b if (not diagonal or x["sku"] < y["sku"]) and sku_ratio(x["sku"], y["sku"]) >= t] for t in (0.7, 0.9)}
+        found = [(r["a"]["id"], r["b"]["id"], r["sku_sim"]) for part in sku_pairs._matching([])(iter([batch])) for r in part.to_pylist()]
+        assert len(found) == len(near[0.7])
+        assert {(*sorted(f[:2]), f[2]) for f in found} == {(*sorted((x["id"], y["id"])), sku_ratio(x["sku"], y["sku"])) for x, y in near[0.7]}
+        levels = [partial(sku_pairs._least, threshold=t) for t in near]
+        rows = [r for part in sku_pairs.linking(levels)(iter([batch])) for r in part.to_pylist()]
+        for level, pairs in enumerate(near.values()):
+            assert sum(r["pairs"] or 0 for r in rows if r["level"] == level) == sum(x["n"] * y["n"] for x, y in pairs)
+            links = np.array([(r["src"], r["dst"]) for r in rows if r["level"] == level and r["src"] is not None], dtype=int).reshape(-1, 2)
+            edges = np.array([(x["id"], y["id"]) for x, y in pairs], dtype=int).reshape(-1, 2)
+            labels = [smallest_labels(e[:, 0], e[:, 1], len(words)) for e in (links, edges)]
+            assert (labels[0] == labels[1]).all()
+            assert len(links) < len(words)
